@@ -35,7 +35,7 @@ def ticker_key(c: Column | str) -> Column:
 
 def issuer_key(c: Column | str) -> Column:
     """Upper case with single blanks and without a closing full stop."""
-    return F.rtrim(F.lit("."), F.upper(F.trim(F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"\s+", " "))))
+    return F.rtrim(F.upper(F.trim(F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"\s+", " "))), F.lit("."))
 
 
 def period(year: Column | str = "year", quarter: Column | str = "quarter") -> Column:
