@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarterloom.functions.keys import accession_key, cik_key, cusip_key, issuer_key
 from quarterloom.llm.bpe import encode_corpus
+from quarterloom.llm.sentences import split_sentences
 from quarterloom.llm.survivors import Field, survivors
 from quarterloom.llm.topn import top_n
 from quarterloom.plans import oracle as o
@@ -78,3 +79,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p8_ids")
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sentences(table(spark, sf_dir, "documents"))

@@ -1,0 +1,164 @@
+"""Sentence boundaries across languages and scripts, in SQL expressions.
+
+Every step replaces single characters by single private-use placeholders, so that positions never
+move: stops that end nothing (abbreviations, initials, ordinals, stops within quotations and
+brackets) are masked, paragraph breaks and list items become breaks, and the last character of every
+sentence becomes an end mark, found by the terminators of its script. The masked text is then cut at
+the marks; a sentence is the original text between its positions, which restores what was masked.
+Decimals, dates and addresses need no mask of their own: a stop with no white space behind it ends
+nothing in scripts that write spaces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+MASK, OPEN, CLOSE, CORNER, BREAK, END, INNER = "\ue000", "\ue001", "\ue002", "\ue006", "\ue003", "\ue004", "\ue005"
+
+WS_CHARS = r"\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" + BREAK
+WS = f"[{WS_CHARS}]"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" + BREAK
+H = r"[ \t\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"  # white space within a line
+NL = r"(?:\n|\r(?!\n))"
+BULLET = r"[•‣◦▪●∙*-]"
+NUMBER = r"(?:\d{1,3}[.)]|\(\d{1,3}\))"
+SPACED = ".!?…؟"  # stops of scripts that write a space behind them
+FREE = "。！？．।॥"  # stops that need none
+STOPS = SPACED + FREE
+#: Words behind which a stop may be followed by a small letter without more ado: eBrindle, iVantor.
+SMALL = r"\p{Ll}(?!\p{Lu})"
+#: A quotation or bracket is looked through for so many characters.
+REACH = 3000
+
+# Abbreviations that end no sentence, by language.
+NEVER = {
+    "en": "Mr Mrs Ms Messrs Dr Prof Rev Hon Gen Gov Sen Rep Lt Col Capt Sgt St Mt cf vs e.g i.e viz incl excl approx est adj acct avg max min No no Nos nos Sec sec Secs para paras Para Fig fig Figs figs Tab Vol vol Ch ch pp p.p Eq eq Art art Ex Rs dept Dept "
+    "Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec",
+    "de": "Nr Nrn Abb Abs Art Bd Fa Hr Hrn Fr Frl bzw ca evtl ggf inkl exkl rd sog vgl Vgl Tab Ziff zzgl Dipl Ing Dr Prof Str Kap Anm Anh Mio Mrd Tsd z.B d.h u.a i.d.R bspw",
+    "fr": "Mme Mlle MM Mgr art Art al chap cf env fig Fig p.ex pp vol av bd ét min max c.-à-d",
+    "es": "Sr Sra Srta Sres Sras Dr Dra Dres Prof Ud Uds Vd art Art arts cap núm num pág págs pag párr ap aprox fig Fig tab vol p.ej EE Lic Ing Gral",
+    "ru": "стр гл рис табл см ср напр тыс руб коп ул им проф акад др т.е т.к гр обл оз стат п.п ок прибл Табл Рис Стр См",
+    "hi": "डॉ प्रो श्री सु कु पं रु",
+}
+# Abbreviations that end a sentence only if the next word can begin one.
+SOMETIMES = "Inc Corp Co Ltd Bros plc Jr Sr.Jr etc a.m p.m usw ff uvm usf etw UU др пр г гг в вв млн млрд тыс S.A Cía Cia Hnos".split()
+# Names that contain a mark.
+NAMES = "Quorum Yahoo".split()
+# What attributes a quotation in corner brackets; words that go on after an ellipsis.
+QUOTED = "と って という 、 ，".split()
+ONWARD = "但 而 却 可是 不过 然而 只是 だが しかし".split()
+# Words behind a German ordinal.
+ORDINAL = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Quartal Quartals Halbjahr Halbjahres Jahrhundert Geschäftsjahr Auflage Kapitel Absatz".split()
+
+
+def _word(w: str) -> str:
+    """A pattern for a word, its accents composed or not."""
+    import re
+    import unicodedata
+
+    out = []
+    for ch in w:
+        d = unicodedata.normalize("NFD", ch)
+        c = re.escape(ch) if not ch.isalnum() else ch
+        out.append(c if d == ch else f"(?:{c}|{d})")
+    return "".join(out)
+
+
+def _any(words: list[str]) -> str:
+    return "|".join(_word(w) for w in sorted(set(words), key=lambda w: (-len(w), w)))
+
+
+def _mask(c: Column, pattern: str, by: str = MASK) -> Column:
+    return F.regexp_replace(c, F.lit(pattern), F.lit(by))
+
+
+def _mask_within(c: Column, opener: str, valid: str, delimiters: str) -> Column:
+    """Masks the stops between an opening mark that is ``valid`` and the next of the ``delimiters``.
+
+    A match begins at an opener or where the last one ended, so the text is gone through once.
+    """
+    run = f"[^{STOPS}{delimiters}{BREAK}]*+"
+    return F.regexp_replace(c, F.lit(f"({opener}{valid}{run}|\\G(?!^){run})[{STOPS}]"), F.lit(f"$1{MASK}"))
+
+
+def masked(text: Column) -> Column:
+    """The text with breaks and end marks in place, each character where it was.
+
+    In all patterns the rare character comes first and what must precede it is looked up behind it.
+    """
+    marks = MASK + OPEN + CLOSE + CORNER + BREAK + END + INNER
+    s = F.translate(text, marks, "\ufffd" * len(marks))
+    # a blank line ends a unit; list items begin one: bulleted ones on any line, numbered ones in a paragraph that begins so
+    s = _mask(s, f"{NL}(?={H}*[\\r\\n])", BREAK)
+    s = _mask(s, f"{NL}(?={H}*{BULLET}{H})", BREAK)
+    s = _mask(s, f"{NL}(?={H}*{NUMBER}{H})(?<=(?:^|{BREAK}){WS}{{0,9}}{NUMBER}{H}[^{BREAK}]{{0,1500}})", BREAK)
+    s = _mask(s, f"\\.(?={H})(?<=(?:^|{BREAK}){WS}{{0,9}}\\d{{1,3}}\\.)")
+    # quotation marks become opening and closing ones; those that are not closed in their paragraph are ordinary
+    s = _mask(s, f'"(?=[^{WS_CHARS}])(?<![^{WS_CHARS}(\\[{{«“‘—-]")', OPEN)
+    s = F.translate(s, '"”»„«「『」』', CLOSE * 3 + OPEN * 4 + CORNER * 2)
+    s = _mask(s, f"“(?=[{WS_CHARS},.;:!?)\\]{CLOSE}…]|$)", CLOSE)
+    s = F.translate(s, "“", OPEN)
+    shut = CLOSE + CORNER
+    s = _mask(s, f"{OPEN}(?![^{OPEN}{shut}{BREAK}]{{0,{REACH}}}+[{shut}])")
+    # stops within quotations: the last before the closing mark may end the whole, the others nothing
+    s = _mask(s, f"[{STOPS}](?=[{STOPS}{WS_CHARS}]*[{shut}])(?<={OPEN}[^{OPEN}{shut}{BREAK}]{{0,{REACH}}})", INNER)
+    s = _mask_within(s, OPEN, "", OPEN + shut)
+    s = _mask_within(s, "‘", f"(?=[^‘’{BREAK}]{{0,300}}+’(?!\\p{{L}}))", "‘’")
+    # stops within brackets: the last ends the whole if the bracket stands by itself
+    own = f"(?:^|[{STOPS}{shut}{BREAK}:]){WS}{{0,3}}[(（][^()（）{BREAK}]{{0,1000}}"
+    s = _mask(s, f"[{STOPS}](?=[{STOPS}]*[)）])(?<={own})", INNER)
+    s = _mask_within(s, "[(（]", f"(?=[^()（）{BREAK}]{{0,1000}}+[)）])", "()（）")
+    s = _mask_within(s, "\\[", f"(?=[^\\[\\]{BREAK}]{{0,1000}}+\\])", "\\[\\]")
+    # abbreviations, initials, ordinals, names
+    start, word = r"(?<![\p{L}\p{M}\p{N}.])", r"(?<![\p{L}\p{M}\p{N}])"
+    never = _any([w for ws in NEVER.values() for w in ws.split() if w not in SOMETIMES])
+    s = _mask(s, f"\\.(?={WS})(?<={word}(?:{never})\\.)")
+    able = f"{WS}+(?:<[^<>]{{1,20}}>{WS}*)?(?![,;:&/%)])[^\\p{{L}}\\p{{N}}{END}]{{0,9}}(?:\\p{{Lu}}|\\p{{Ll}}\\p{{Lu}})"
+    sometimes = _any(SOMETIMES) + r"|\p{Lu}\.\p{Lu}|\p{Lu}\.\p{Lu}\.\p{Lu}"
+    s = _mask(s, f"\\.(?={WS})(?<={word}(?:{sometimes})\\.)(?!{able})")
+    # a single letter, but for the last of a Russian pair that may end a sentence
+    s = _mask(s, f"\\.(?={WS})(?<={start}[\\p{{L}}&&[^гдп]]\\.)")
+    s = _mask(s, f"\\.(?={WS})(?<={start}[гдп]\\.)(?!{able})")
+    s = _mask(s, f"\\.(?={WS}+(?:{_any(ORDINAL)})(?!\\p{{L}}))(?<=\\d\\.)")
+    s = _mask(s, f"!(?<={word}(?:{_any(NAMES)})!)")
+    # end marks
+    closers = CLOSE + CORNER + r")\]）】’"
+    more = f"(?![{STOPS}{INNER}{closers}{END}])"
+    last = f"[{STOPS}{INNER}]{more}(?!{WS}{{1,2}}[{shut}])|[{closers}]{more}(?<=[{STOPS}{INNER}][{closers}]{{1,5}}|{INNER}{WS}{{1,2}}[{shut}])"
+    spaced = f"(?={WS}+(?!{SMALL})[^{WS_CHARS}])"
+    joined = "(?=\\p{Lu}\\p{Ll})(?<=[\\p{Ll}\\p{N}%)][\\p{Ll}\\p{N}%)][.!?]{1,3})"
+    s = _mask(s, f"(?:{last})(?:{spaced}|{joined})", END)
+    # scripts without spaces: any stop; a quotation if words before a colon introduce it or, in corner brackets, none attribute it
+    s = _mask(s, f"[{FREE}]{more}", END)
+    s = _mask(s, f"[{closers}]{more}(?<=[{FREE}][{closers}]{{1,5}})", END)
+    s = _mask(s, f"{CLOSE}(?=[\\p{{L}}\\p{{N}}{OPEN}])(?<=[：，:]{OPEN}[^{OPEN}{shut}]{{0,1000}}{INNER}{CLOSE})", END)
+    s = _mask(s, f"{CORNER}(?=[\\p{{L}}\\p{{N}}{OPEN}])(?!{_any(QUOTED)})(?<={INNER}{CORNER})", END)
+    s = _mask(s, f"…(?=[\\p{{Lo}}\\p{{N}}{OPEN}\\p{{Lu}}])(?!{_any(ONWARD)})(?<=\\p{{Lo}}…{{1,3}})", END)
+    # Thai writes no stops: a space between Thai letters parts sentences
+    return _mask(s, f"{WS}(?={WS}*[ก-๎])(?<=[ก-๎]{WS})", BREAK)
+
+
+def split_sentences(df: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+    """(doc_id, start_pos, end_pos[, sentence]): positions in code points from 0, end exclusive.
+
+    Units carry no white space at their edges. Blank lines end a unit, headings and list items are
+    units, a stop within quotation marks or brackets ends none. NULL, empty and blank texts give no
+    rows, nor does an empty table. Rows with the same or no doc_id are split one by one. Texts of any
+    length are cut as a whole; quotations and brackets are recognised up to 3,000 characters.
+    """
+    t = F.col("__t")
+    begun = F.ltrim(F.col("__p"), F.lit(BLANKS))
+    lead, body = F.length("__p") - F.length(begun), F.rtrim(begun, F.lit(BLANKS))
+    cut = F.split(masked(t), f"(?<=[{BREAK}{END}])")
+    rows = df.select(F.col(doc_id).alias("__d"), F.col(text).alias("__t")).filter(t.isNotNull() & (t != "")).withColumn("__r", F.monotonically_increasing_id())
+    parts = rows.select("__r", "__d", *(["__t"] if with_text else []), F.posexplode(cut).alias("__i", "__p"))
+    parts = parts.select("__r", "__d", *(["__t"] if with_text else []), "__i", F.length("__p").alias("__n"), lead.alias("__lead"), F.length(body).alias("__len"))
+    before = F.sum("__n").over(W.partitionBy("__r").orderBy("__i").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")
+    start = (before + F.col("__lead")).cast("int")
+    got = parts.withColumn("__s", start).filter(F.col("__len") > 0)
+    out = [F.col("__d").alias(doc_id), F.col("__s").alias("start_pos"), (F.col("__s") + F.col("__len")).cast("int").alias("end_pos")]
+    if with_text:
+        out.append(F.substring(F.col("__t"), F.col("__s") + 1, F.col("__len")).alias("sentence"))
+    return got.select(*out)
