@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarterloom.functions.keys import accession_key, cik_key, cusip_key, issuer_key
 from quarterloom.llm.bpe import encode_corpus
+from quarterloom.llm.mixing import Mix, mix_sources
 from quarterloom.llm.sentences import split_sentences
 from quarterloom.llm.survivors import Field, survivors
 from quarterloom.llm.topn import top_n
@@ -84,3 +85,22 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p10_found")
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(table(spark, sf_dir, "documents"))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> Mix:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).report.filter("short").select("source")
+
+
+@query("p9_report")
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).report
+
+
+@query("p9_mix")
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).documents.filter("copies > 0").select("doc_id", "source", "copies")
