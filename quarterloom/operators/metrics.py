@@ -88,20 +88,28 @@ def spearman(rows: DataFrame, x: str, y: str, *by: str, least: int = 5) -> DataF
     return got.withColumn("spearman", F.when(F.col("n") >= least, F.col("spearman")))
 
 
-def kendall(rows: DataFrame, x: str, y: str, *by: str, buckets: int = 0) -> DataFrame:
-    """Kendall's tau-b per group from counts of distinct (x, y) cells.
+def kendall(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
+    """Kendall's tau-b per group without forming pairs.
 
-    Cells are joined within their group only, on cells instead of rows; a group has at most as many
-    cells as distinct pairs of values.
+    Two cells whose y ranks differ share all bits above the highest differing one, so they are compared
+    once: at that bit, in the group of cells with the same higher bits. There a running sum in the order
+    of x counts, for every cell, the weights of smaller x with the other bit. n cells become n log n rows.
     """
-    c = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("c"))
-    d = c.select(*by, F.col(x).alias("x2"), F.col(y).alias("y2"), F.col("c").alias("c2"))
-    sign = F.signum(F.col(x) - F.col("x2")) * F.signum(F.col(y) - F.col("y2"))
-    pair = c.join(d, list(by)).filter((F.col("x2") < F.col(x)) | ((F.col("x2") == F.col(x)) & (F.col("y2") < F.col(y))))
-    s = pair.groupBy(*by).agg(F.sum(sign * F.col("c") * F.col("c2")).alias("s"))
+    c = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("c"))
+    ys = c.select(*by, "y").distinct().withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("y")) - 1)
+    cells = c.join(ys, [*by, "y"])
+    bits = cells.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    top = ys.groupBy(*by).agg(F.max("r").alias("top"))
+    bits = bits.join(top, list(by)).filter(F.expr("shiftright(top, bit)") > 0)
+    one = F.expr("shiftright(r, bit)").bitwiseAND(F.lit(1))
+    bits = bits.select(*by, "x", "bit", F.expr("shiftright(r, bit + 1)").alias("high"), F.when(one == 1, F.col("c")).otherwise(0).alias("ones"), F.when(one == 0, F.col("c")).otherwise(0).alias("zeros"))
+    at = bits.groupBy(*by, "bit", "high", "x").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    w = W.partitionBy(*by, "bit", "high").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
+    before = lambda v: F.coalesce(F.sum(v).over(w), F.lit(0))
+    won = at.select(*by, (F.col("ones") * before("zeros") - F.col("zeros") * before("ones")).cast("double").alias("s"))
+    s = won.groupBy(*by).agg(F.sum("s").alias("s"))
     tie = lambda v, n: c.groupBy(*by, v).agg(F.sum("c").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(n))
-    n = c.groupBy(*by).agg(F.sum("c").alias("n"))
-    j = n.join(tie(x, "tx"), list(by)).join(tie(y, "ty"), list(by)).join(s, list(by), "left")
+    j = c.groupBy(*by).agg(F.sum("c").alias("n")).join(tie("x", "tx"), list(by)).join(tie("y", "ty"), list(by)).join(s, list(by), "left")
     n0 = F.col("n") * (F.col("n") - 1) / 2
     return j.select(*by, "n", F.try_divide(F.coalesce("s", F.lit(0.0)), F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))).alias("tau"))
 

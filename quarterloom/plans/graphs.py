@@ -410,7 +410,7 @@ def precision_recall_at(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ndcg_sql(ks: tuple[int, ...]) -> str:
-    per = ", ".join(f"max(CASE WHEN rn <= {k} AND label = 1 THEN 1.0 ELSE 0 END) AS h{k}, sum(CASE WHEN rn <= {k} AND label = 1 THEN 1 / log2(rn + 1) ELSE 0 END) / list_sum(list_transform(range(1, least({k}, max(np)) + 1), x -> 1 / log2(x + 1))) AS n{k}" for k in ks)
+    per = ", ".join(f"max(CASE WHEN rn <= {k} AND label = 1 THEN 1.0 ELSE 0 END) AS h{k}, sum(CASE WHEN rn <= {k} AND label = 1 THEN 1 / log2(rn + 1) ELSE 0 END) / list_sum(list_transform(range(1, least({k}, max(np)) + 1), lambda x: 1 / log2(x + 1))) AS n{k}" for k in ks)
     out = ", ".join(f"round(avg(h{k}), 6) AS hit_{k}, round(avg(n{k}), 6) AS ndcg_{k}" for k in ks)
     return f", {SC}, rr AS (SELECT cik, label, row_number() OVER (PARTITION BY cik ORDER BY score DESC, cusip) AS rn, CAST(sum(label) OVER (PARTITION BY cik) AS BIGINT) AS np FROM sc), pg AS (SELECT cik, {per} FROM rr WHERE np > 0 GROUP BY 1) SELECT {out}, count(*) AS groups FROM pg, {ANY}"
 
@@ -429,3 +429,24 @@ def top_k_per_fund(spark: SparkSession, d: str) -> DataFrame:
     s = _scored(Base(spark, d))
     few = s.withColumn("r", F.row_number().over(W.partitionBy("cik", F.pmod(F.xxhash64("cusip"), F.lit(32))).orderBy(*order))).filter("r <= 3")
     return few.withColumn("rank", F.row_number().over(W.partitionBy("cik").orderBy(*order)).cast("bigint")).filter("rank <= 3").select("cik", "cusip", "rank")
+
+
+@query("learned_baselines")
+def learned_baselines(spark: SparkSession, d: str) -> DataFrame:
+    """Area under the curve of the classifiers on held-out pairs, with degrees and three scores as features."""
+    from quarterloom.operators.baselines import fit_and_score
+    from quarterloom.session import written
+
+    b = Base(spark, d)
+    e = _train(b)
+    ev = _eval(b, e)
+    f = ev
+    for n, s in (("aa", L.adamic_adar(ev, e)), ("jc", L.jaccard(ev, e)), ("pa", L.preferential(ev, e))):
+        f = f.join(s.select("cik", "cusip", F.col("score").alias(n)), ["cik", "cusip"])
+    f = written(f.withColumn("part", F.pmod(F.xxhash64("cik", "cusip"), F.lit(5))), "features")
+    got = None
+    for kind in ("logistic", "boosted", "perceptron"):
+        scored = fit_and_score(f.filter("part > 0"), f.filter("part = 0"), ["aa", "jc", "pa"], kind)
+        one = M.auc(scored).select(F.lit(kind).alias("model"), *rnd("auc"))
+        got = one if got is None else got.unionByName(one)
+    return got
