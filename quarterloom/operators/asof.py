@@ -48,8 +48,10 @@ def asof_known(
 
     Events keep all their columns and, unless ``drop_copies``, their repetitions. Events without entity or day, or with no
     version known, get ``known`` NULL. Versions without entity or ``known_day`` are never known.
-    Columns of the two inputs may bear the same names. Empty inputs give no events or only NULLs.
+    Columns of the two inputs may bear the same names; a column ``known`` of the events gives way to
+    the result's. Empty inputs give no events or only NULLs.
     """
+    events = events.drop("known")
     names = list(dict.fromkeys([*order, *take]))
     v = versions.filter(F.col(entity).isNotNull() & F.col(known_day).isNotNull()).select(
         F.col(entity).alias("__e"), F.col(known_day).alias("__day"), F.struct(*names).alias("__v")
