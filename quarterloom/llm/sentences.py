@@ -15,18 +15,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-MASK, OPEN, CLOSE, CORNER, BREAK, END, INNER = "\ue000", "\ue001", "\ue002", "\ue006", "\ue003", "\ue004", "\ue005"
+MASK, OPEN, CLOSE, CORNER, BREAK, END, INNER, FULL = "\ue000", "\ue001", "\ue002", "\ue006", "\ue003", "\ue004", "\ue005", "\ue007"
 
-WS_CHARS = r"\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" + BREAK
+#: Characters that one step maps to one of their kind: white space, stops, brackets, quotation marks.
+SPACES = "\t\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+KINDS = {SPACES: " ", "。！？．।॥": FULL, "؟": "?", "）】": ")", "（": "(", "”»": CLOSE, "„«「『": OPEN, "」』": CORNER}
+BLANKS = " \n\r" + BREAK
+WS_CHARS = r" \n\r" + BREAK
 WS = f"[{WS_CHARS}]"
-BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" + BREAK
-H = r"[ \t\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"  # white space within a line
 NL = r"(?:\n|\r(?!\n))"
 BULLET = r"[•‣◦▪●∙*-]"
 NUMBER = r"(?:\d{1,3}[.)]|\(\d{1,3}\))"
-SPACED = ".!?…؟"  # stops of scripts that write a space behind them
-FREE = "。！？．।॥"  # stops that need none
-STOPS = SPACED + FREE
+STOPS = ".!?…" + FULL  # FULL stands for the stops of scripts that write no space behind them
 #: Words behind which a stop may be followed by a small letter without more ado: eBrindle, iVantor.
 SMALL = r"\p{Ll}(?!\p{Lu})"
 #: A quotation or bracket is looked through for so many characters.
@@ -88,54 +88,49 @@ def masked(text: Column) -> Column:
 
     In all patterns the rare character comes first and what must precede it is looked up behind it.
     """
-    marks = MASK + OPEN + CLOSE + CORNER + BREAK + END + INNER
-    s = F.translate(text, marks, "\ufffd" * len(marks))
+    marks = MASK + OPEN + CLOSE + CORNER + BREAK + END + INNER + FULL
+    s = F.translate(text, marks + "".join(KINDS), "\ufffd" * len(marks) + "".join(v * len(k) for k, v in KINDS.items()))
     # a blank line ends a unit; list items begin one: bulleted ones on any line, numbered ones in a paragraph that begins so
-    s = _mask(s, f"{NL}(?={H}*[\\r\\n])", BREAK)
-    s = _mask(s, f"{NL}(?={H}*{BULLET}{H})", BREAK)
-    s = _mask(s, f"{NL}(?={H}*{NUMBER}{H})(?<=(?:^|{BREAK}){WS}{{0,9}}{NUMBER}{H}[^{BREAK}]{{0,1500}})", BREAK)
-    s = _mask(s, f"\\.(?={H})(?<=(?:^|{BREAK}){WS}{{0,9}}\\d{{1,3}}\\.)")
+    s = _mask(s, f"{NL}(?= *(?:[\\r\\n]|{BULLET} ))", BREAK)
+    s = _mask(s, f"{NL}(?= *{NUMBER} )(?<=(?:^|{BREAK}){WS}{{0,9}}{NUMBER} [^{BREAK}]{{0,1500}})", BREAK)
+    s = _mask(s, f"\\.(?= )(?<=(?:^|{BREAK}){WS}{{0,9}}\\d{{1,3}}\\.)")
     # quotation marks become opening and closing ones; those that are not closed in their paragraph are ordinary
-    s = _mask(s, f'"(?=[^{WS_CHARS}])(?<![^{WS_CHARS}(\\[{{«“‘—-]")', OPEN)
-    s = F.translate(s, '"”»„«「『」』', CLOSE * 3 + OPEN * 4 + CORNER * 2)
-    s = _mask(s, f"“(?=[{WS_CHARS},.;:!?)\\]{CLOSE}…]|$)", CLOSE)
-    s = F.translate(s, "“", OPEN)
     shut = CLOSE + CORNER
+    s = _mask(s, f'"(?=[^{WS_CHARS}])(?<![^{WS_CHARS}(\\[{{{OPEN}“‘—-]")|“(?![{WS_CHARS},.;:!?)\\]{CLOSE}…]|$)', OPEN)
+    s = F.translate(s, '"“', CLOSE * 2)
     s = _mask(s, f"{OPEN}(?![^{OPEN}{shut}{BREAK}]{{0,{REACH}}}+[{shut}])")
     # stops within quotations: the last before the closing mark may end the whole, the others nothing
     s = _mask(s, f"[{STOPS}](?=[{STOPS}{WS_CHARS}]*[{shut}])(?<={OPEN}[^{OPEN}{shut}{BREAK}]{{0,{REACH}}})", INNER)
     s = _mask_within(s, OPEN, "", OPEN + shut)
     s = _mask_within(s, "‘", f"(?=[^‘’{BREAK}]{{0,300}}+’(?!\\p{{L}}))", "‘’")
     # stops within brackets: the last ends the whole if the bracket stands by itself
-    own = f"(?:^|[{STOPS}{shut}{BREAK}:]){WS}{{0,3}}[(（][^()（）{BREAK}]{{0,1000}}"
-    s = _mask(s, f"[{STOPS}](?=[{STOPS}]*[)）])(?<={own})", INNER)
-    s = _mask_within(s, "[(（]", f"(?=[^()（）{BREAK}]{{0,1000}}+[)）])", "()（）")
+    own = f"(?:^|[{STOPS}{shut}{BREAK}:]){WS}{{0,3}}\\([^(){BREAK}]{{0,1000}}"
+    s = _mask(s, f"[{STOPS}](?=[{STOPS}]*\\))(?<={own})", INNER)
+    s = _mask_within(s, "\\(", f"(?=[^(){BREAK}]{{0,1000}}+\\))", "()")
     s = _mask_within(s, "\\[", f"(?=[^\\[\\]{BREAK}]{{0,1000}}+\\])", "\\[\\]")
-    # abbreviations, initials, ordinals, names
+    # abbreviations, initials (but for the last of a Russian pair that may end a sentence), ordinals, names
     start, word = r"(?<![\p{L}\p{M}\p{N}.])", r"(?<![\p{L}\p{M}\p{N}])"
     never = _any([w for ws in NEVER.values() for w in ws.split() if w not in SOMETIMES])
-    s = _mask(s, f"\\.(?={WS})(?<={word}(?:{never})\\.)")
-    able = f"{WS}+(?:<[^<>]{{1,20}}>{WS}*)?(?![,;:&/%)])[^\\p{{L}}\\p{{N}}{END}]{{0,9}}(?:\\p{{Lu}}|\\p{{Ll}}\\p{{Lu}})"
+    able = f"{WS}+(?:<[^<>]{{1,20}}>{WS}*)?(?![,;:&/%)])[^\\p{{L}}\\p{{N}}]{{0,9}}(?:\\p{{Lu}}|\\p{{Ll}}\\p{{Lu}})"
     sometimes = _any(SOMETIMES) + r"|\p{Lu}\.\p{Lu}|\p{Lu}\.\p{Lu}\.\p{Lu}"
-    s = _mask(s, f"\\.(?={WS})(?<={word}(?:{sometimes})\\.)(?!{able})")
-    # a single letter, but for the last of a Russian pair that may end a sentence
-    s = _mask(s, f"\\.(?={WS})(?<={start}[\\p{{L}}&&[^гдп]]\\.)")
-    s = _mask(s, f"\\.(?={WS})(?<={start}[гдп]\\.)(?!{able})")
-    s = _mask(s, f"\\.(?={WS}+(?:{_any(ORDINAL)})(?!\\p{{L}}))(?<=\\d\\.)")
-    s = _mask(s, f"!(?<={word}(?:{_any(NAMES)})!)")
-    # end marks
-    closers = CLOSE + CORNER + r")\]）】’"
-    more = f"(?![{STOPS}{INNER}{closers}{END}])"
-    last = f"[{STOPS}{INNER}]{more}(?!{WS}{{1,2}}[{shut}])|[{closers}]{more}(?<=[{STOPS}{INNER}][{closers}]{{1,5}}|{INNER}{WS}{{1,2}}[{shut}])"
+    kinds = [
+        f"(?<={start}[\\p{{L}}&&[^гдп]]\\.)", f"(?<={word}(?:{never})\\.)", f"(?<=\\d\\.)(?={WS}+(?:{_any(ORDINAL)})(?!\\p{{L}}))",
+        f"(?:(?<={start}[гдп]\\.)|(?<={word}(?:{sometimes})\\.))(?!{able})",
+    ]
+    s = _mask(s, f"\\.(?={WS})(?:{'|'.join(kinds)})|!(?<={word}(?:{_any(NAMES)})!)")
+    # end marks: the last of stops and closing marks, if what follows can begin a sentence
+    closers = shut + r")\]’"
+    any_ = f"[{STOPS}{INNER}{closers}]"
+    last = f"(?:(?<=[{STOPS}{INNER}])(?!{WS}{{1,2}}[{shut}])|(?<=[{STOPS}{INNER}][{closers}]{{1,5}})|(?<={INNER}{WS}{{1,2}}[{shut}]))"
     spaced = f"(?={WS}+(?!{SMALL})[^{WS_CHARS}])"
     joined = "(?=\\p{Lu}\\p{Ll})(?<=[\\p{Ll}\\p{N}%)][\\p{Ll}\\p{N}%)][.!?]{1,3})"
-    s = _mask(s, f"(?:{last})(?:{spaced}|{joined})", END)
     # scripts without spaces: any stop; a quotation if words before a colon introduce it or, in corner brackets, none attribute it
-    s = _mask(s, f"[{FREE}]{more}", END)
-    s = _mask(s, f"[{closers}]{more}(?<=[{FREE}][{closers}]{{1,5}})", END)
-    s = _mask(s, f"{CLOSE}(?=[\\p{{L}}\\p{{N}}{OPEN}])(?<=[：，:]{OPEN}[^{OPEN}{shut}]{{0,1000}}{INNER}{CLOSE})", END)
-    s = _mask(s, f"{CORNER}(?=[\\p{{L}}\\p{{N}}{OPEN}])(?!{_any(QUOTED)})(?<={INNER}{CORNER})", END)
-    s = _mask(s, f"…(?=[\\p{{Lo}}\\p{{N}}{OPEN}\\p{{Lu}}])(?!{_any(ONWARD)})(?<=\\p{{Lo}}…{{1,3}})", END)
+    goes_on = f"(?=[\\p{{L}}\\p{{N}}{OPEN}])"
+    ends = [
+        f"{last}(?:{spaced}|{joined})", f"(?<={FULL}[{closers}]{{0,5}})", f"{goes_on}(?<=[：，:]{OPEN}[^{OPEN}{shut}]{{0,1000}}{INNER}{CLOSE})",
+        f"{goes_on}(?!{_any(QUOTED)})(?<={INNER}{CORNER})", f"(?=[\\p{{Lo}}\\p{{N}}{OPEN}\\p{{Lu}}])(?!{_any(ONWARD)})(?<=\\p{{Lo}}…{{1,3}})",
+    ]
+    s = _mask(s, f"{any_}(?!{any_})(?:{'|'.join(ends)})", END)
     # Thai writes no stops: a space between Thai letters parts sentences
     return _mask(s, f"{WS}(?={WS}*[ก-๎])(?<=[ก-๎]{WS})", BREAK)
 
