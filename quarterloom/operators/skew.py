@@ -89,7 +89,7 @@ def heavy_keys(df: DataFrame, scope: str, key: str, value: str, share: float) ->
     Rows with a NULL key count in the scope's total but are no key. An empty table gives no rows.
     """
     freq = compress(df.select(scope, key, value), [scope, key], value)
-    rows = freq.groupBy(scope, key).agg(F.sum("freq").alias("n_rows"))
+    rows = written(freq.groupBy(scope, key).agg(F.sum("freq").alias("n_rows")), "keys")  # one row per key, read twice
     totals = rows.groupBy(F.col(scope).alias("__scope")).agg(F.sum("n_rows").alias("__all"))
     return (
         rows.join(totals, F.col(scope).eqNullSafe(F.col("__scope")))
