@@ -223,3 +223,9 @@ def embedding_rank(spark: SparkSession, d: str) -> DataFrame:
     """One side of the vectors (even ids) stands for funds, the other for securities."""
     e = Base(spark, d).raw("embeddings")
     return V.mean_score(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1")).select("item", *rnd("score"))
+
+
+@query("yearly_metrics", f", {RR}, q AS (SELECT p, count(*) AS n, avg(ret) AS m FROM rr WHERE rank <= 10 GROUP BY 1) SELECT CAST(p // 4 AS BIGINT) AS year, count(*) AS quarters, round(avg(m), 6) AS mean_return, round(stddev_samp(m), 6) AS std_return FROM q, (SELECT 1 FROM rk, ret LIMIT 1) GROUP BY 1")
+def yearly_metrics(spark: SparkSession, d: str) -> DataFrame:
+    q = _rr(Base(spark, d)).filter("rank <= 10").groupBy("p").agg(F.avg("ret").alias("m"))
+    return q.groupBy(F.floor(F.col("p") / 4).alias("year")).agg(F.count(F.lit(1)).alias("quarters"), F.round(F.avg("m"), 6).alias("mean_return"), F.round(F.stddev_samp("m"), 6).alias("std_return"))

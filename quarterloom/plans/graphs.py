@@ -450,3 +450,25 @@ def learned_baselines(spark: SparkSession, d: str) -> DataFrame:
         one = M.auc(scored).select(F.lit(kind).alias("model"), *rnd("auc"))
         got = one if got is None else got.unionByName(one)
     return got
+
+
+@query("min_max_weights", "SELECT cik, cusip, CAST(p AS BIGINT) AS p, round(CASE WHEN hi = lo THEN 1 ELSE (dw - lo) / (hi - lo) END, 6) AS scaled FROM buys JOIN (SELECT p, min(dw) AS lo, max(dw) AS hi FROM buys GROUP BY 1) USING (p)")
+def min_max_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Per quarter; a quarter without variation gives 1."""
+    x = Base(spark, d).buys()
+    ends = x.groupBy("p").agg(F.min("dw").alias("lo"), F.max("dw").alias("hi"))
+    scaled = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("dw") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    return x.join(ends, "p").select("cik", "cusip", *big("p"), F.round(scaled, 6).alias("scaled"))
+
+
+@query("hard_negatives", "WITH s AS (SELECT a.vec_id AS query, b.vec_id AS item, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS c FROM embeddings a JOIN embeddings b ON b.vec_id % 2 = 1 WHERE a.vec_id % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, item) AS rn FROM s) SELECT query, item FROM k WHERE rn <= 20 AND item % 7 <> query % 7")
+def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """Of the 20 most similar securities of each query (every fiftieth vector) those it is not linked to;
+    links stand between ids that are equal modulo 7."""
+    from quarterloom.operators import vectors as V
+
+    e = Base(spark, d).raw("embeddings")
+    top = V.nearest(e.filter("vec_id % 2 = 1"), e.filter("vec_id % 50 = 0"), 20)
+    linked = e.select(F.col("vec_id").alias("item"), (F.col("vec_id") % 7).alias("m"))
+    near = top.withColumn("m", F.col("query") % 7)
+    return near.join(linked, ["item", "m"], "left_anti").select("query", "item")
