@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from quarterloom.functions.keys import cik_key, cusip_key, finite, period, ticker_key
 from quarterloom.operators import holdings as H
 from quarterloom.plans import oracle as o
+from quarterloom.session import written
 from quarterloom.sources.tables import table
 
 RATIOS = ["diluted_eps", "roe", "ev_ebitda", "pe_ratio", "price_to_sales", "price_to_book", "debt_to_equity", "dividend_yield", "fcf_per_share"]
@@ -61,6 +62,14 @@ class Base:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
+        self._px: DataFrame | None = None
+        self._vp: DataFrame | None = None
+
+    def kept(self) -> Base:
+        """For plans that read the valued positions several times: they and the prices are written once."""
+        self._px = written(H.median_per_share(self.raw("holdings")), "prices")
+        self._vp = written(self.vp(), "positions")
+        return self
 
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.dir, name)
@@ -69,9 +78,11 @@ class Base:
         return H.positions(self.raw("holdings"))
 
     def px(self) -> DataFrame:
-        return H.median_per_share(self.raw("holdings"))
+        return self._px if self._px is not None else H.median_per_share(self.raw("holdings"))
 
     def vp(self) -> DataFrame:
+        if self._vp is not None:
+            return self._vp
         return H.value_positions(self.pos(), self.px()).select("cik", "cusip", "p", "shares", "price", "pv")
 
     def nh(self) -> DataFrame:
@@ -84,6 +95,7 @@ class Base:
         return H.returns(self.px())
 
     def dl(self) -> DataFrame:
+        self.kept()
         return H.deltas(self.nh(), self.aum())
 
     def ch(self) -> DataFrame:

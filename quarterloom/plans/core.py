@@ -46,11 +46,10 @@ def period_normalisation(spark: SparkSession, d: str) -> DataFrame:
     return r.select("o_orderkey", "period", y.cast("bigint").alias("year"), q.cast("bigint").alias("quarter"))
 
 
-@query("submission_join", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, o_custkey, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 7 IN (1, 3)")
+@query("submission_join", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, o_custkey, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def submission_join(spark: SparkSession, d: str) -> DataFrame:
     b = Base(spark, d)
-    sub = b.raw("orders").filter((F.col("o_custkey") % 7).isin(1, 3))
-    return b.raw("lineitem").join(sub, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", *big("l_linenumber"), "o_custkey", "o_orderpriority")
+    return b.raw("lineitem").join(b.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", *big("l_linenumber"), "o_custkey", "o_orderpriority")
 
 
 @query(
@@ -64,10 +63,10 @@ def median_value_per_share(spark: SparkSession, d: str) -> DataFrame:
     return b.pos().join(med, "p").select("cik", "cusip", *big("p"), "shares", F.round(F.col("shares") * F.col("m"), 4).alias("value"))
 
 
-@query("filtered_holdings", "SELECT cik, cusip, CAST(p AS BIGINT) AS p, shares, CAST(year AS BIGINT) AS year, ticker FROM pos JOIN ru USING (cusip) WHERE p // 4 >= year AND ticker IS NOT NULL AND (e IS NULL OR year(e) * 4 + quarter(e) - 1 >= p) AND year = 2020")
+@query("filtered_holdings", "SELECT cik, cusip, CAST(p AS BIGINT) AS p, shares, CAST(year AS BIGINT) AS year, ticker FROM pos JOIN ru USING (cusip) WHERE p // 4 >= year AND ticker IS NOT NULL AND (e IS NULL OR year(e) * 4 + quarter(e) - 1 >= p)")
 def filtered_holdings(spark: SparkSession, d: str) -> DataFrame:
     b = Base(spark, d)
-    ru = b.ru().filter("ticker IS NOT NULL AND year = 2020").select("cusip", "year", "ticker", (F.col("year") * 4).alias("start_p"), period(F.year("e"), F.quarter("e")).alias("end_p"))
+    ru = b.ru().filter("ticker IS NOT NULL").select("cusip", "year", "ticker", (F.col("year") * 4).alias("start_p"), period(F.year("e"), F.quarter("e")).alias("end_p"))
     return H.interval_join(b.pos(), ru, "cusip", "p", "start_p", "end_p").select("cik", "cusip", *big("p"), "shares", *big("year"), "ticker")
 
 
@@ -111,7 +110,7 @@ def normalized_holdings(spark: SparkSession, d: str) -> DataFrame:
 
 @query("weight_sum_audit", "SELECT count(*) AS portfolios, CAST(sum(CASE WHEN abs(t - 1) > 1e-6 THEN 1 ELSE 0 END) AS BIGINT) AS off FROM (SELECT sum(weight) AS t FROM nh GROUP BY cik, p)")
 def weight_sum_audit(spark: SparkSession, d: str) -> DataFrame:
-    nh = Base(spark, d).nh()
+    nh = Base(spark, d).kept().nh()
     off = H.weight_audit(nh).agg(F.count(F.lit(1)).alias("off"))
     return nh.select("cik", "p").distinct().agg(F.count(F.lit(1)).alias("portfolios")).select("portfolios", off.scalar().alias("off"))
 

@@ -189,7 +189,7 @@ FUND = f"""SELECT coalesce(a.cik, n.cik) AS cusip, ln(greatest(coalesce(a.total,
 
 @query("node_features", f", {ED}, " + _z_sql(["log_aum", "n_holdings", "profit"], FUND) + f" SELECT e.cik, coalesce(log_aum, 0) AS log_aum, coalesce(n_holdings, 0) AS n_holdings, coalesce(profit, 0) AS profit FROM (SELECT DISTINCT cik FROM te) e LEFT JOIN zs ON zs.cusip = e.cik, {ANY}")
 def node_features(spark: SparkSession, d: str) -> DataFrame:
-    b = Base(spark, d)
+    b = Base(spark, d).kept()
     te = _test(b)
     aum = b.aum().filter(F.col("p") == TEST).select("cik", "total")
     med = aum.agg(F.median("total")).scalar()
@@ -305,13 +305,13 @@ def negatives(spark: SparkSession, d: str) -> DataFrame:
     return _negatives(b, _train(b)).select("cik", "cusip")
 
 
-SPLIT = f"""o AS (SELECT cik, cusip, row_number() OVER (ORDER BY {HASH.format(NUM + " * 31 + " + "CAST(left(cusip, 5) AS BIGINT) * 17 + 3")}, cik, cusip) - 1 AS i FROM (SELECT * FROM ed WHERE regexp_matches(cusip, '^[0-9]{{5}}'))),
+LETTERS = " + ".join(f"ascii(substr(cusip, {i}, 1)) * {7 * i + 1}" for i in range(1, 10))  # a number of any cusip
+SPLIT = f"""o AS (SELECT cik, cusip, row_number() OVER (ORDER BY {HASH.format(NUM + " * 31 + (" + LETTERS + ") * 17 + 3")}, cik, cusip) - 1 AS i FROM ed),
 n AS (SELECT count(*) AS n FROM o), sp AS MATERIALIZED (SELECT cik, cusip, CASE WHEN i < floor(n * 0.8) THEN 'train' WHEN i < floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS part FROM o, n)"""
 
 
 def _split(b: Base) -> DataFrame:
-    e = _train(b).filter(F.col("cusip").rlike("^[0-9]{5}"))
-    return L.split(e, L.hash_order(3, F.substring("cik", 4, 7).cast("bigint"), F.substring("cusip", 1, 5).cast("bigint")))
+    return L.split(_train(b), L.hash_order(3, F.substring("cik", 4, 7).cast("bigint"), F.expr(LETTERS).cast("bigint")))
 
 
 @query("split_80_10_10", f", {ED}, {SPLIT} SELECT cik, cusip, part FROM sp, {ANY}")
@@ -438,8 +438,8 @@ def learned_baselines(spark: SparkSession, d: str) -> DataFrame:
     from quarterloom.session import written
 
     b = Base(spark, d)
-    e = _train(b)
-    ev = _eval(b, e)
+    e = written(_train(b), "edges")
+    ev = written(_eval(b, e), "pairs")
     f = ev
     for n, s in (("aa", L.adamic_adar(ev, e)), ("jc", L.jaccard(ev, e)), ("pa", L.preferential(ev, e))):
         f = f.join(s.select("cik", "cusip", F.col("score").alias(n)), ["cik", "cusip"])

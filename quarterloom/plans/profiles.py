@@ -26,7 +26,7 @@ METRICS = ["mean_holdings", "std_holdings", "mean_hhi", "mean_top5", "aum_log_st
 
 
 def _profile(spark: SparkSession, d: str) -> DataFrame:
-    b = Base(spark, d)
+    b = Base(spark, d).kept()
     return P.profile(b.nh(), b.aum(), LAST)
 
 

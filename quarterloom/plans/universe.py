@@ -27,13 +27,13 @@ def first_three_words(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "name_match_cusip",
     """, n AS (SELECT DISTINCT name, array_to_string(string_split_regex(trim(name), '\\s+')[1:2], ' ') AS w FROM tm),
-i AS (SELECT upper(trim(nameofissuer)) AS issuer, """ + o.cusip() + """ AS cusip, count(*) AS n FROM holdings WHERE year = 2020 AND quarter = 3 GROUP BY 1, 2),
+i AS (SELECT upper(trim(nameofissuer)) AS issuer, """ + o.cusip() + """ AS cusip, count(*) AS n FROM holdings GROUP BY 1, 2),
 s AS (SELECT n.name, i.cusip, CAST(sum(i.n) AS BIGINT) AS n FROM n JOIN i ON contains(i.issuer, n.w) AND list_contains(string_split(i.issuer, ' '), string_split(n.w, ' ')[1]) WHERE n.w <> '' GROUP BY 1, 2)
 SELECT name, cusip, n FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, cusip) AS rn FROM s) WHERE rn = 1""",
 )
 def name_match_cusip(spark: SparkSession, d: str) -> DataFrame:
     b = Base(spark, d)
-    h = b.raw("holdings").filter("year = 2020 AND quarter = 3").select(F.upper(F.trim("nameofissuer")).alias("issuer"), cusip_key("cusip").alias("cusip"))
+    h = b.raw("holdings").select(F.upper(F.trim("nameofissuer")).alias("issuer"), cusip_key("cusip").alias("cusip"))
     return U.match_names(b.tm(), h, "name", "issuer", "cusip", words=2)
 
 
@@ -84,10 +84,11 @@ def end_date_filter(spark: SparkSession, d: str) -> DataFrame:
     return Base(spark, d).ru().filter(F.col("e").isNull() | (F.col("e") >= F.lit("2018-01-01").cast("date"))).select("cusip", *big("year"), F.col("e").alias("end_date"))
 
 
-@query("next_trading_day", "WITH c AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 50 = 0), f AS (SELECT DISTINCT filingdate AS f FROM holdings WHERE filingdate IS NOT NULL), g AS (SELECT DISTINCT f - INTERVAL 22 YEAR AS m FROM f) SELECT DISTINCT CAST(m AS DATE) AS day_at, (SELECT min(d) FROM c WHERE d >= m AND d <= m + INTERVAL 10 DAY) AS next_day FROM g")
+@query("next_trading_day", "WITH c AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE dayofweek(o_orderdate) BETWEEN 1 AND 5), f AS (SELECT DISTINCT filingdate AS f FROM holdings WHERE filingdate IS NOT NULL), g AS (SELECT DISTINCT f - INTERVAL 22 YEAR AS m FROM f) SELECT DISTINCT CAST(m AS DATE) AS day_at, (SELECT min(d) FROM c WHERE d >= m AND d <= m + INTERVAL 10 DAY) AS next_day FROM g")
 def next_trading_day(spark: SparkSession, d: str) -> DataFrame:
+    """The calendar is the order dates from Monday to Friday; the dates are moved into its years."""
     b = Base(spark, d)
-    cal = b.raw("orders").filter("o_orderkey % 50 = 0").select(F.to_date("o_orderdate").alias("d"))
+    cal = b.raw("orders").filter("dayofweek(o_orderdate) BETWEEN 2 AND 6").select(F.to_date("o_orderdate").alias("d"))
     at = b.raw("holdings").filter("filingdate IS NOT NULL").select(F.add_months("filingdate", -264).alias("day_at")).distinct()
     return U.asof_next(at, cal, "day_at", "d")
 
