@@ -114,8 +114,8 @@ def kendall(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     return j.select(*by, "n", F.try_divide(F.coalesce("s", F.lit(0.0)), F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))).alias("tau"))
 
 
-def confusion(rows: DataFrame, truth: str, guess: str, classes: Sequence[int]) -> DataFrame:
-    """(truth, guess, n) with all cells."""
+def confusion(rows: DataFrame, truth: str, guess: str) -> DataFrame:
+    """(truth, guess, n) of the cells that occur."""
     return rows.groupBy(truth, guess).agg(F.count(F.lit(1)).alias("n"))
 
 

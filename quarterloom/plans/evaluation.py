@@ -44,7 +44,7 @@ def _classes(b: Base) -> DataFrame:
 
 @query("confusion", f", {RR}, {CLS} SELECT truth, guess, count(*) AS n FROM cl, (SELECT 1 FROM rk, ret LIMIT 1) GROUP BY 1, 2")
 def confusion(spark: SparkSession, d: str) -> DataFrame:
-    return M.confusion(_classes(Base(spark, d)), "truth", "guess", [0, 1, 2])
+    return M.confusion(_classes(Base(spark, d)), "truth", "guess")
 
 
 @query("macro_f1", f", {RR}, {CLS}, f AS (SELECT " + ", ".join(f"2.0 * sum((truth = {k} AND guess = {k})::INT) / (sum((truth = {k})::INT) + sum((guess = {k})::INT)) AS f{k}" for k in range(3)) + ", avg((truth = guess)::INT) AS a FROM cl) SELECT round(a, 6) AS accuracy, round((f0 + f1 + f2) / 3, 6) AS macro_f1 FROM f, (SELECT 1 FROM rk, ret LIMIT 1)")

@@ -28,10 +28,20 @@ def build_session(app: str = "quarterloom", master: str | None = None, **conf: s
     return b.getOrCreate()
 
 
+#: The folders made for applications that name none, by application.
+_own: dict[str, str] = {}
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).deleteOnExit(p)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local runs, tests) a folder of this machine is made and set.
+    Only where that is unset (local runs, tests) a folder of this machine is made.
     """
     sc = spark.sparkContext
     there = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -39,9 +49,10 @@ def shared_dir(spark: SparkSession) -> str:
         return there
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
-    own = "file://" + tempfile.mkdtemp(prefix="quarterloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="quarterloom-")
+        delete_on_exit(spark, _own[sc.applicationId])
+    return _own[sc.applicationId]
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
@@ -55,7 +66,5 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     schema = df.schema
     df.write.mode("error").parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).deleteOnExit(p)
+    delete_on_exit(spark, path)
     return spark.read.schema(schema).parquet(path)

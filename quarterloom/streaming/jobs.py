@@ -15,12 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarterloom.session import shared_dir
+from quarterloom.session import delete_on_exit, shared_dir
 from quarterloom.sinks.writers import write_partitioned
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A place that does not exist yet, in a new folder that goes when the application ends."""
+    parent = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+    delete_on_exit(spark, parent)
+    return os.path.join(parent, name)
 
 
 def _finish(query) -> None:
