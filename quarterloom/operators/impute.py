@@ -1,7 +1,8 @@
 """Filling missing values from similar records: low-rank alternating least squares.
 
-A record is a row of cells: its numeric fields (scaled asinh), each field's latest earlier value of
-the same entity, further context fields and one-hot cells of categorical fields. Observed cells are
+A record is a row of cells: its numeric fields (asinh, as scaled deviations from the entity's latest
+earlier value or, without one, from the field's centre), those earlier values, further context fields
+and one-hot cells of categorical fields. Observed cells are
 factorised as record factors times feature factors. Given the feature factors, records solve their
 own small systems independently, in numpy over Arrow batches; given the record factors, a feature's
 normal equations are sums over all records, of which every task emits one partial set and Spark adds
@@ -37,11 +38,21 @@ def usable(c: Column, low: float, high: float) -> Column:
 class _Cells:
     """How a record's columns become cells, and back."""
 
-    def __init__(self, numeric: list[str], mean: np.ndarray, sd: np.ndarray, levels: dict[str, list], weight: float) -> None:
-        self.numeric, self.mean, self.sd, self.levels = numeric, mean, sd, levels
+    def __init__(self, numeric: list[str], anchors: dict[str, str], mean: np.ndarray, sd: np.ndarray, step: np.ndarray, levels: dict[str, list], weight: float) -> None:
+        self.numeric, self.anchors, self.mean, self.sd, self.step, self.levels = numeric, anchors, mean, sd, step, levels
         self.n = len(numeric) + sum(map(len, levels.values()))
         self.weight = np.concatenate([np.ones(len(numeric)), *[np.full(len(v), weight) for v in levels.values()]])
 
+    def anchor(self, b: pa.RecordBatch, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """What a cell deviates from and the scale of that: the record's earlier value and the usual step
+        from it, else the field's centre and spread."""
+        at, scale = np.full(b.num_rows, self.mean[j]), np.full(b.num_rows, self.sd[j])
+        if (c := self.anchors.get(self.numeric[j])) is not None:
+            v = b.column(b.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            ok = np.isfinite(v)
+            at[ok], scale[ok] = np.arcsinh(v[ok]), self.step[j]
+        return at, scale
+
     def encode(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """Values and weights of observed cells (0 where missing), records x cells."""
         x = np.zeros((b.num_rows, self.n))
@@ -49,7 +60,8 @@ class _Cells:
         for j, c in enumerate(self.numeric):
             v = b.column(b.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False)
             ok = np.isfinite(v)
-            x[ok, j] = (np.arcsinh(v[ok]) - self.mean[j]) / self.sd[j]
+            at, scale = self.anchor(b, j)
+            x[ok, j] = (np.arcsinh(v[ok]) - at[ok]) / scale[ok]
             m[ok, j] = 1
         at = len(self.numeric)
         for c, values in self.levels.items():
@@ -112,13 +124,15 @@ def als_impute(
     mean = np.array([stat[4 * i] or 0.0 for i in range(len(columns))], float)
     sd = np.array([stat[4 * i + 1] or 1.0 for i in range(len(columns))], float)
     low, high = ([stat[4 * i + k] for i in range(len(columns))] for k in (2, 3))
+    steps = cells.agg(*[F.stddev_pop(F.asinh(f) - F.asinh(f"__lag_{f}")) for f in fields]).first() if fields else []
+    step = np.array([x or 1.0 for x in steps] + [1.0] * (len(columns) - len(fields)), float)
     levels = {}
     for c in cats:
         found = cells.select(c).filter(F.col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
         if len(found) > MAX_LEVELS:
             raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
         levels[c] = sorted(r[0] for r in found)
-    coding = _Cells(columns, mean, sd, levels, weight=0.5)
+    coding = _Cells(columns, {f: f"__lag_{f}" for f in fields}, mean, sd, step, levels, weight=0.5)
 
     d, r = coding.n, rank
     v = np.random.default_rng(seed).normal(scale=0.5, size=(d, r))
@@ -164,7 +178,8 @@ def als_impute(
                 if low[j] is None:
                     done[f] = pa.nulls(batch.num_rows, pa.float64())
                 else:
-                    decoded = np.clip(np.sinh(np.clip(guess[:, j] * sd[j] + mean[j], -700, 700)), low[j], high[j])
+                    start, scale = coding.anchor(batch, j)
+                    decoded = np.clip(np.sinh(np.clip(guess[:, j] * scale + start, -700, 700)), low[j], high[j])
                     done[f] = pa.array(np.where(missing, decoded, col(f).to_numpy(zero_copy_only=False)))
                 done[f"{f}_filled"], done[f"{f}_from"] = pa.array(missing), col(f"{f}_from")
             at = len(columns)
