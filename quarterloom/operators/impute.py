@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from quarterloom.session import written
+from quarterloom.session import ship, written
 
 #: Categorical fields with more levels than this are refused (one cell each).
 MAX_LEVELS = 4096
@@ -104,6 +104,7 @@ def als_impute(
     any observed cell gets the fields' centres. An empty table gives no rows. Other columns are
     ignored, whatever their names.
     """
+    ship(df.sparkSession)
     context = dict(context or {})
     numeric = [*fields, *context]
     cats = list(dict.fromkeys([*categorical, *fill_categorical]))

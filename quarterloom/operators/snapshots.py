@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarterloom.session import ship
+
 
 def _differs(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
     """NULL-safe inequality; NaN equals NaN."""
@@ -120,6 +122,7 @@ def snapshot_diff(
     a NULL period are left out; NULL keys equal each other; NULLs and NaN compare as values. An
     empty table gives no rows; other columns are ignored.
     """
+    ship(snapshots.sparkSession)
     base = snapshots.filter(F.col(period).isNotNull()).select(*keys, F.col(period).cast("int").alias("__p"), *compare)
     owner = list(owner or [])
     if listed is None:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quarterloom.session import ship
+
 #: Queries are compared with all rows in blocks of this many.
 BLOCK = 256
 
@@ -20,6 +22,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vect
     Each query block meets each partition of the rows once: a task keeps only its own k best per query,
     which are then ranked over all tasks. Query blocks reach the tasks by a join on the block number.
     """
+    ship(df.sparkSession)
     q = queries.select(F.col(key).cast("bigint").alias("q"), F.col(vector).cast("array<double>").alias("v"))
     packed = q.withColumn("blk", F.floor(F.col("q") / BLOCK)).groupBy("blk").agg(F.sort_array(F.collect_list(F.struct("q", "v"))).alias("qs"))
     rows = df.select(F.col(key).cast("bigint").alias("i"), F.col(vector).cast("array<double>").alias("v")).withColumn("part", F.spark_partition_id())
@@ -50,6 +53,7 @@ def mean_score(left: DataFrame, right: DataFrame, key: str = "vec_id", vector: s
 
     The left rows are packed into blocks; each task adds up a block's scores before they are summed.
     """
+    ship(left.sparkSession)
     a = left.select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v"))
     packed = a.withColumn("blk", F.floor(F.col("k") / BLOCK)).groupBy("blk").agg(F.collect_list("v").alias("vs"))
     b = right.select(F.col(key).cast("bigint").alias("item"), F.col(vector).cast("array<double>").alias("w"))

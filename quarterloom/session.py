@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,24 @@ def build_session(app: str = "quarterloom", master: str | None = None, **conf: s
 _own: dict[str, str] = {}
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers, wherever they run: once per application its
+    sources go to the executors as a zip file."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    if sc.applicationId in _shipped or not root.is_dir():
+        return
+    name = os.path.join(tempfile.mkdtemp(prefix="quarterloom-code-"), f"{root.name}.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    sc.addPyFile(name)
+    _shipped.add(sc.applicationId)
+
+
 def delete_on_exit(spark: SparkSession, path: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)

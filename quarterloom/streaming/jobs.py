@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarterloom.session import delete_on_exit, shared_dir
+from quarterloom.session import delete_on_exit, shared_dir, ship
 from quarterloom.sinks.writers import write_partitioned
 
 
@@ -58,6 +58,7 @@ def ingest_quarters(stream: DataFrame, path: str, checkpoint: str, by: tuple[str
 def running_change(stream: DataFrame) -> DataFrame:
     """Stateful difference of a user's event values against the last one seen before: (user_id, n, last,
     change). The state is two numbers per user, so no user's history is held."""
+    ship(stream.sparkSession)
     schema = "user_id long, n long, last double, change double"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
