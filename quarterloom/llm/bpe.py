@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quarterloom.session import ship
+
 #: Where the vocabulary files are, unless a path is given.
 DEFAULT_PATH = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers") + "/byte_bpe_50k.json"
 
@@ -146,6 +148,7 @@ _vocabularies: dict[str, Vocabulary] = {}
 
 def broadcast_vocabulary(spark: SparkSession, path: str = DEFAULT_PATH):
     """The vocabulary's arrays on all executors (under 2 MB, fixed by the tokenizer)."""
+    ship(spark)
     if path not in _vocabularies:
         _vocabularies[path] = Vocabulary(path)
     return spark.sparkContext.broadcast(_vocabularies[path])
