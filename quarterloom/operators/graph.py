@@ -16,6 +16,8 @@ from pyspark.sql.window import Window as W
 from quarterloom.session import written
 
 CUT_EVERY = 3
+#: Sources of one row of the breadth-first search, in words of 64.
+BLOCK = 1024
 
 
 def edges(rows: DataFrame, left: str = "cik", right: str = "cusip") -> DataFrame:
@@ -132,21 +134,38 @@ def communities(pairs: DataFrame, rounds: int = 5) -> DataFrame:
     return label
 
 
-def closeness(pairs: DataFrame, sources: DataFrame, max_hops: int = 10) -> DataFrame:
-    """(node, closeness) of the ``sources`` (a bounded set of nodes): breadth-first levels, each a join of
-    the newest level with the edges and an anti-join with what was reached; scaled by the part reached."""
-    links = written(pairs.select("a", "b").distinct(), "links")
-    n = links.select("a").distinct().count()
-    front = sources.select(F.col("node").alias("src"), F.col("node").alias("at"), F.lit(0).alias("hops"))
-    seen = front
-    for i in range(max_hops):
-        nxt = front.join(links, F.col("at") == F.col("a")).select("src", F.col("b").alias("at")).distinct()
-        front = written(nxt.join(seen.select("src", "at"), ["src", "at"], "left_anti").withColumn("hops", F.lit(i + 1)), "front")
-        if front.isEmpty():
+def closeness(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, closeness) of all ``nodes`` on symmetric pairs (a, b): (n - 1) / sum of hops within the
+    largest component of n nodes (the one with the least node on ties), 0 for the others.
+
+    All nodes are sources at once: a row holds, for a node and a block of 1,024 sources, one bit per
+    source that has reached it. A level is one join with the edges and a bitwise OR, repeated until no
+    bit is new. As the pairs are symmetric, the bits of a node also count what it reaches itself.
+    """
+    ids = written(number_nodes(pairs.select(F.col("a").alias("node")), "node"), "ids")
+    to = lambda c: ids.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
+    links = written(pairs.select("a", "b").distinct().join(to("a"), "a").join(to("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "links")
+    words, none = range(BLOCK // 64), F.lit(0).cast("long")
+    own = [F.when(F.floor(F.col("id") % BLOCK / 64) == i, F.expr("shiftleft(1L, CAST(id % 64 AS INT))")).otherwise(none) for i in words]
+    state = ids.select(F.col("id").alias("node"), F.floor(F.col("id") / BLOCK).alias("block"), *[c.alias(f"s{i}") for i, c in enumerate(own)], *[c.alias(f"f{i}") for i, c in enumerate(own)], none.alias("d"))
+    hops, is_new = 0, " OR ".join(f"f{i} <> 0" for i in words)
+    while True:
+        hops += 1
+        front = state.filter(is_new).select(F.col("node").alias("b"), "block", *[f"f{i}" for i in words])
+        into = links.join(front, "b").groupBy(F.col("a").alias("node"), "block").agg(*[F.bit_or(f"f{i}").alias(f"n{i}") for i in words])
+        both = state.drop(*[f"f{i}" for i in words]).join(into, ["node", "block"], "full_outer")
+        both = both.fillna(0)
+        both = both.select("node", "block", "d", *[F.expr(f"s{i} | n{i}").alias(f"s{i}") for i in words], *[F.expr(f"n{i} & ~s{i}").alias(f"f{i}") for i in words])
+        reached = sum((F.bit_count(f"f{i}") for i in words), F.lit(0))
+        state = written(both.withColumn("d", F.col("d") + hops * reached), "reached")
+        if state.filter(is_new).isEmpty():
             break
-        seen = seen.unionByName(front)
-    s = seen.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("r"), F.sum("hops").alias("d"))
-    return s.select("node", F.coalesce(F.try_divide((F.col("r") - 1) * (F.col("r") - 1), F.col("d") * F.lit(max(n - 1, 1))), F.lit(0.0)).alias("closeness"))
+    least = F.coalesce(*[F.when(F.col(f"s{i}") != 0, F.col("block") * BLOCK + 64 * i + F.expr(f"coalesce(bit_count(~s{i} & try_subtract(s{i}, 1L)), 63)")) for i in words])
+    per = state.groupBy("node").agg(F.sum(sum((F.bit_count(f"s{i}") for i in words), none)).alias("n"), F.sum("d").alias("d"), F.min(least).alias("c"))
+    largest = per.agg(F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("m")).scalar()
+    value = F.when((F.col("n") == F.col("m.n")) & (F.col("c") == -F.col("m.c")), F.try_divide(F.col("n") - 1, F.col("d")))
+    got = per.withColumn("m", largest).select(F.col("node").alias("id"), value.alias("closeness")).join(ids, "id")
+    return nodes.select("node").distinct().join(got, "node", "left").select("node", F.coalesce("closeness", F.lit(0.0)).alias("closeness"))
 
 
 def rev2(e: DataFrame, rounds: int = 100, g1: float = 1.0, g2: float = 1.0, tolerance: float = 1e-6, cut: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -121,10 +121,8 @@ def communities(spark: SparkSession, d: str) -> DataFrame:
 
 @query("closeness")
 def closeness(spark: SparkSession, d: str) -> DataFrame:
-    """Of the ten filers with the most common holdings (a top-ten report)."""
-    w = _weighted(Base(spark, d))
-    top = w.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("s")).orderBy(F.desc("s"), "node").limit(10)
-    return G.closeness(w, top.select("node"))
+    e = _train(Base(spark, d))
+    return G.closeness(G.projection(e), e.select(F.col("cik").alias("node")))
 
 
 def _rev2_sql(rounds: int) -> str:

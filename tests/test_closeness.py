@@ -1,0 +1,51 @@
+from collections import deque
+
+import __spark_entry__ as entry
+from quarterloom.operators import graph as G
+from quarterloom.plans.base import Base
+from quarterloom.plans.graphs import _train
+
+DIR = "/root/testdata/sf0.001"
+
+
+def brute(pairs, nodes):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+    hops, parts = {}, []
+    for n in sorted(near):
+        d, q = {n: 0}, deque([n])
+        while q:
+            x = q.popleft()
+            for y in near[x] - d.keys():
+                d[y] = d[x] + 1
+                q.append(y)
+        hops[n] = d
+    for n in sorted(near):
+        if not any(n in p for p in parts):
+            parts.append(set(hops[n]))
+    top = max(parts, key=len) if parts else set()  # the first of equal size has the least node
+    return {n: (len(top) - 1) / sum(hops[n].values()) if n in top else 0.0 for n in nodes}
+
+
+def check(spark, pairs, nodes):
+    both = [*pairs, *[(b, a) for a, b in pairs]]
+    got = G.closeness(spark.createDataFrame(both, "a string, b string"), spark.createDataFrame([(n,) for n in nodes], "node string")).collect()
+    want = brute(both, nodes)
+    assert len(got) == len(want) and all(abs(r["closeness"] - want[r["node"]]) < 1e-12 for r in got)
+
+
+def test_long_chain_small_parts_and_blocks(spark):
+    chain = [f"c{i:02d}" for i in range(14)]  # further than ten hops
+    check(spark, [*zip(chain, chain[1:]), ("x", "y")], [*chain, "x", "y", "alone"])
+    check(spark, [("a", "b"), ("c", "d")], ["a", "b", "c", "d"])  # equal sizes
+    hubs = [("h0", f"n{i:04d}") for i in range(700)] + [("h1", f"n{i:04d}") for i in range(699, 1400)]  # more than one block
+    check(spark, hubs, sorted({n for p in hubs for n in p}))
+
+
+def test_query_has_every_filer(spark):
+    e = _train(Base(spark, DIR))
+    pairs = [(r["a"], r["b"]) for r in G.projection(e).collect()]
+    want = brute(pairs, [r["cik"] for r in e.select("cik").distinct().collect()])
+    got = {r["node"]: r["closeness"] for r in entry.queries()["closeness"](spark, DIR).collect()}
+    assert len(want) > 10 and got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-12 for n in want)
