@@ -1,12 +1,10 @@
 """Sentence boundaries across languages and scripts, in SQL expressions.
 
 Every step replaces single characters by single private-use placeholders, so that positions never
-move: stops that end nothing (abbreviations, initials, ordinals, stops within quotations and
-brackets) are masked, paragraph breaks and list items become breaks, and the last character of every
+move: stops that end nothing (decimals, addresses, file names, abbreviations, initials, ordinals, stops
+within quotations and brackets) are masked, paragraph breaks and list items become breaks, and the last character of every
 sentence becomes an end mark, found by the terminators of its script. The masked text is then cut at
 the marks; a sentence is the original text between its positions, which restores what was masked.
-Decimals, dates and addresses need no mask of their own: a stop with no white space behind it ends
-nothing in scripts that write spaces.
 """
 
 from __future__ import annotations
@@ -19,7 +17,8 @@ MASK, OPEN, CLOSE, CORNER, BREAK, END, INNER, FULL = "\ue000", "\ue001", "\ue002
 
 #: Characters that one step maps to one of their kind: white space, stops, brackets, quotation marks.
 SPACES = "\t\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-KINDS = {SPACES: " ", "。！？．।॥": FULL, "؟": "?", "）】": ")", "（": "(", "”»": CLOSE, "„«「『": OPEN, "」』": CORNER}
+KINDS = {SPACES: " ", "。！？।॥": FULL, "؟": "?", "）】": ")", "（": "(", "”»": CLOSE, "„«「『": OPEN, "」』": CORNER}
+WIDE = "．"  # FULL, too, but for decimals
 BLANKS = " \n\r" + BREAK
 WS_CHARS = r" \n\r" + BREAK
 WS = f"[{WS_CHARS}]"
@@ -52,6 +51,9 @@ ONWARD = "但 而 却 可是 不过 然而 只是 だが しかし".split()
 # Words behind a German ordinal.
 ORDINAL = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Quartal Quartals Halbjahr Halbjahres Jahrhundert Geschäftsjahr Auflage Kapitel Absatz".split()
 
+# What file names and addresses without a scheme end in.
+SUFFIXES = "pdf doc docx xls xlsx xlsm ppt pptx odt ods csv tsv txt rtf md log xml xsd xbrl htm html json yaml yml ini cfg sql py ipynb js css php zip gz tar parquet db dat png jpg jpeg gif svg mp3 mp4 com org net gov edu mil info biz eu uk de fr es ru cn jp kr".split()
+
 
 def _word(w: str) -> str:
     """A pattern for a word, its accents composed or not."""
@@ -90,6 +92,14 @@ def masked(text: Column) -> Column:
     """
     marks = MASK + OPEN + CLOSE + CORNER + BREAK + END + INNER + FULL
     s = F.translate(text, marks + "".join(KINDS), "\ufffd" * len(marks) + "".join(v * len(k) for k, v in KINDS.items()))
+    # decimals, then addresses and file names: stops from their first word to the last that a character of them follows
+    s = _mask(s, f"[.{WIDE}](?=\\p{{Nd}})(?<=\\p{{Nd}}.)")
+    s = F.translate(s, WIDE, FULL)
+    part = r"[\p{IsLatin}\p{M}\p{Nd}_%+" + MASK + "-]"
+    name = f"(?:\\.{part}++)++(?<=\\.(?:{_any(SUFFIXES)}))"
+    is_one = f"(?=://[^{WS_CHARS}]|(?:\\.{part}++)*+@{part}|{name})|(?<=[Ww]{{3}})(?=\\.)"
+    run = r"[\p{IsLatin}\p{M}\p{Nd}_~:/#@$&'*=%+" + MASK + "-]*+"
+    s = F.regexp_replace(s, F.lit(f"((?<!{part}|[.@]){part}++(?:{is_one}){run}|\\G(?!^){run})[.!?](?=[\\p{{IsLatin}}\\p{{Nd}}_~/#&=%+-])"), F.lit(f"$1{MASK}"))
     # a blank line ends a unit; list items begin one: bulleted ones on any line, numbered ones in a paragraph that begins so
     s = _mask(s, f"{NL}(?= *(?:[\\r\\n]|{BULLET} ))", BREAK)
     s = _mask(s, f"{NL}(?= *{NUMBER} )(?<=(?:^|{BREAK}){WS}{{0,9}}{NUMBER} [^{BREAK}]{{0,1500}})", BREAK)

@@ -26,6 +26,9 @@ CASES = {
     "hindi": "डॉ. Mel ने कहा, “हम नहीं।”| Bel Inc. ने बताया।| क्यों बेचा?",
     "arabic": "قال د. Wen إن السعر كان؛ ولم يضف.| قالت أ. Mel: «لن نبيع.»| لماذا؟| نعم.",
     "thai": "ผู้จัดการยื่นรายงาน |กองทุนเพิ่มหุ้น 6,859 หุ้นแล้ว |มูลค่ารวม $8.4M ต่ำ",
+    "addresses": "See www.Example.com for it.| Read https://data.Example.com/ab?Next=12.Of!Kind and www.Abc.Def.com.| Write to jane.Doe@fund.Example.com today.| Ask ab.Cd.Ef@x.org.| Go to shop.Example.com/list now.",
+    "file names": "Open report.Final.pdf first.| Then old-report.Draft.Two.xlsx.| It was complete.|Most are in data.All.csv.",
+    "decimals": "比率为３．１４倍。|它涨了7．5%。|占3。|5月结束．|完了。",
     "private use": " One  two.| Three.",
 }
 
