@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-MASK, OPEN, CLOSE, CORNER, BREAK, END, INNER, FULL = "\ue000", "\ue001", "\ue002", "\ue006", "\ue003", "\ue004", "\ue005", "\ue007"
+MASK, OPEN, CLOSE, CORNER, BREAK, END, INNER, FULL, HELD, SAID = "\ue000", "\ue001", "\ue002", "\ue006", "\ue003", "\ue004", "\ue005", "\ue007", "\ue008", "\ue009"
 
 #: Characters that one step maps to one of their kind: white space, stops, brackets, quotation marks.
 SPACES = "\t\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -28,8 +28,6 @@ NUMBER = r"(?:\d{1,3}[.)]|\(\d{1,3}\))"
 STOPS = ".!?…" + FULL  # FULL stands for the stops of scripts that write no space behind them
 #: Words behind which a stop may be followed by a small letter without more ado: eBrindle, iVantor.
 SMALL = r"\p{Ll}(?!\p{Lu})"
-#: A quotation or bracket is looked through for so many characters.
-REACH = 3000
 
 # Abbreviations that end no sentence, by language.
 NEVER = {
@@ -76,13 +74,13 @@ def _mask(c: Column, pattern: str, by: str = MASK) -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(by))
 
 
-def _mask_within(c: Column, opener: str, valid: str, delimiters: str) -> Column:
+def _mask_within(c: Column, opener: str, valid: str, delimiters: str, by: str = MASK) -> Column:
     """Masks the stops between an opening mark that is ``valid`` and the next of the ``delimiters``.
 
     A match begins at an opener or where the last one ended, so the text is gone through once.
     """
     run = f"[^{STOPS}{delimiters}{BREAK}]*+"
-    return F.regexp_replace(c, F.lit(f"({opener}{valid}{run}|\\G(?!^){run})[{STOPS}]"), F.lit(f"$1{MASK}"))
+    return F.regexp_replace(c, F.lit(f"({opener}{valid}{run}|\\G(?!^){run})[{STOPS}]"), F.lit(f"$1{by}"))
 
 
 def masked(text: Column) -> Column:
@@ -90,7 +88,7 @@ def masked(text: Column) -> Column:
 
     In all patterns the rare character comes first and what must precede it is looked up behind it.
     """
-    marks = MASK + OPEN + CLOSE + CORNER + BREAK + END + INNER + FULL
+    marks = MASK + OPEN + CLOSE + CORNER + BREAK + END + INNER + FULL + HELD + SAID
     s = F.translate(text, marks + "".join(KINDS), "\ufffd" * len(marks) + "".join(v * len(k) for k, v in KINDS.items()))
     # decimals, then addresses and file names: stops from their first word to the last that a character of them follows
     s = _mask(s, f"[.{WIDE}](?=\\p{{Nd}})(?<=\\p{{Nd}}.)")
@@ -102,22 +100,28 @@ def masked(text: Column) -> Column:
     s = F.regexp_replace(s, F.lit(f"((?<!{part}|[.@]){part}++(?:{is_one}){run}|\\G(?!^){run})[.!?](?=[\\p{{IsLatin}}\\p{{Nd}}_~/#&=%+-])"), F.lit(f"$1{MASK}"))
     # a blank line ends a unit; list items begin one: bulleted ones on any line, numbered ones in a paragraph that begins so
     s = _mask(s, f"{NL}(?= *(?:[\\r\\n]|{BULLET} ))", BREAK)
-    s = _mask(s, f"{NL}(?= *{NUMBER} )(?<=(?:^|{BREAK}){WS}{{0,9}}{NUMBER} [^{BREAK}]{{0,1500}})", BREAK)
-    s = _mask(s, f"\\.(?= )(?<=(?:^|{BREAK}){WS}{{0,9}}\\d{{1,3}}\\.)")
+    line = f"[^\n\r{BREAK}]*+(?:\r(?=\n))?+"
+    s = _mask(s, f"((?:^|{BREAK})[ \n\r]*+{NUMBER} {line}|\\G(?!^){line})[\n\r]", f"$1{HELD}")
+    s = F.translate(_mask(s, f"{HELD}(?= *{NUMBER} )", BREAK), HELD, "\n")
+    s = _mask(s, f"((?:^|{BREAK})[ \n\r]*+\\d{{1,3}})\\.(?= )", f"$1{MASK}")
     # quotation marks become opening and closing ones; those that are not closed in their paragraph are ordinary
     shut = CLOSE + CORNER
     s = _mask(s, f'"(?=[^{WS_CHARS}])(?<![^{WS_CHARS}(\\[{{{OPEN}“‘—-]")|“(?![{WS_CHARS},.;:!?)\\]{CLOSE}…]|$)', OPEN)
     s = F.translate(s, '"“', CLOSE * 2)
-    s = _mask(s, f"{OPEN}(?![^{OPEN}{shut}{BREAK}]{{0,{REACH}}}+[{shut}])")
+    s = _mask(s, f"{OPEN}(?![^{OPEN}{shut}{BREAK}]*+[{shut}])")
     # stops within quotations: the last before the closing mark may end the whole, the others nothing
-    s = _mask(s, f"[{STOPS}](?=[{STOPS}{WS_CHARS}]*[{shut}])(?<={OPEN}[^{OPEN}{shut}{BREAK}]{{0,{REACH}}})", INNER)
-    s = _mask_within(s, OPEN, "", OPEN + shut)
-    s = _mask_within(s, "‘", f"(?=[^‘’{BREAK}]{{0,300}}+’(?!\\p{{L}}))", "‘’")
+    s = _mask_within(s, OPEN, "", OPEN + shut, HELD)
+    s = F.translate(_mask(s, f"{HELD}(?=[{HELD}{WS_CHARS}]*+[{shut}])", INNER), HELD, MASK)
+    s = _mask_within(s, "‘", f"(?=[^‘’{BREAK}]*+’(?!\\p{{L}}))", "‘’")
     # stops within brackets: the last ends the whole if the bracket stands by itself
-    own = f"(?:^|[{STOPS}{shut}{BREAK}:]){WS}{{0,3}}\\([^(){BREAK}]{{0,1000}}"
-    s = _mask(s, f"[{STOPS}](?=[{STOPS}]*\\))(?<={own})", INNER)
-    s = _mask_within(s, "\\(", f"(?=[^(){BREAK}]{{0,1000}}+\\))", "()")
-    s = _mask_within(s, "\\[", f"(?=[^\\[\\]{BREAK}]{{0,1000}}+\\])", "\\[\\]")
+    closed = f"(?=[^(){BREAK}]*+\\))"
+    s = _mask_within(s, f"(?<=(?:^|[{STOPS}{shut}{BREAK}:]){WS}{{0,3}})\\(", closed, "()", HELD)
+    s = F.translate(_mask(s, f"{HELD}(?={HELD}*+\\))", INNER), HELD, MASK)
+    s = _mask_within(s, "\\(", closed, "()")
+    s = _mask_within(s, "\\[", f"(?=[^\\[\\]{BREAK}]*+\\])", "\\[\\]")
+    # the closing marks of quotations that words before a colon introduce
+    s = _mask(s, f"([：，:]{OPEN}[^{OPEN}{shut}]*+(?<={INNER})){CLOSE}", f"$1{SAID}")
+    shut += SAID
     # abbreviations, initials (but for the last of a Russian pair that may end a sentence), ordinals, names
     start, word = r"(?<![\p{L}\p{M}\p{N}.])", r"(?<![\p{L}\p{M}\p{N}])"
     never = _any([w for ws in NEVER.values() for w in ws.split() if w not in SOMETIMES])
@@ -137,7 +141,7 @@ def masked(text: Column) -> Column:
     # scripts without spaces: any stop; a quotation if words before a colon introduce it or, in corner brackets, none attribute it
     goes_on = f"(?=[\\p{{L}}\\p{{N}}{OPEN}])"
     ends = [
-        f"{last}(?:{spaced}|{joined})", f"(?<={FULL}[{closers}]{{0,5}})", f"{goes_on}(?<=[：，:]{OPEN}[^{OPEN}{shut}]{{0,1000}}{INNER}{CLOSE})",
+        f"{last}(?:{spaced}|{joined})", f"(?<={FULL}[{closers}]{{0,5}})", f"{goes_on}(?<={SAID})",
         f"{goes_on}(?!{_any(QUOTED)})(?<={INNER}{CORNER})", f"(?=[\\p{{Lo}}\\p{{N}}{OPEN}\\p{{Lu}}])(?!{_any(ONWARD)})(?<=\\p{{Lo}}…{{1,3}})",
     ]
     s = _mask(s, f"{any_}(?!{any_})(?:{'|'.join(ends)})", END)
@@ -150,8 +154,8 @@ def split_sentences(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     Units carry no white space at their edges. Blank lines end a unit, headings and list items are
     units, a stop within quotation marks or brackets ends none. NULL, empty and blank texts give no
-    rows, nor does an empty table. Rows with the same or no doc_id are split one by one. Texts of any
-    length are cut as a whole; quotations and brackets are recognised up to 3,000 characters.
+    rows, nor does an empty table. Rows with the same or no doc_id are split one by one. Texts, lists,
+    quotations and brackets may have any length; a quotation or bracket ends in its paragraph.
     """
     t = F.col("__t")
     begun = F.ltrim(F.col("__p"), F.lit(BLANKS))

@@ -61,3 +61,22 @@ def test_missing_blank_repeated_and_long(spark):
     assert set(by) == {4, None, 5} and sorted(by[4]) == [(0, 3), (0, 3), (4, 8), (4, 8)] and by[None] == [(0, 2)]
     assert sorted(by[5]) == [(15 * i, 15 * i + 14) for i in range(20_000)]
     assert split_sentences(df.limit(0)).count() == 0
+
+
+def test_no_window_on_lists_quotations_and_brackets(spark):
+    said = "The price was right. We would do it again. " * 200  # 8,600 characters
+    item = "one two three four " * 30
+    rows = {
+        "list": [f"{i}. {item}" for i in range(1, 20)],
+        "quotation": [f"“{said}It is so.” ", "The trust left. ", f'"{said}So." ', "End."],
+        "guillemets": [f"«{said}Так.» ", "End."],
+        "single": [f"He wrote ‘{said}so’ to us. ", "End."],
+        "bracket": [f"It fell (see {said}here) again. ", f"({said}So.) ", f"It rose [{said}here] again. ", "End."],
+        "introduced": ["经理说：“" + "价格合适。我们买入。" * 200 + "”", "他走了。"],
+    }
+    join = {n: "\n".join(u) if n == "list" else "".join(u) for n, u in rows.items()}
+    got = {}
+    for r in split_sentences(spark.createDataFrame(list(join.items()), "doc_id string, text string"), with_text=True).collect():
+        got.setdefault(r["doc_id"], []).append((r["start_pos"], r["sentence"]))
+    for n, units in rows.items():
+        assert [s for _, s in sorted(got[n])] == [u.strip() for u in units], n
