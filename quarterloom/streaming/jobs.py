@@ -57,17 +57,20 @@ def ingest_quarters(stream: DataFrame, path: str, checkpoint: str, by: tuple[str
 
 def running_change(stream: DataFrame) -> DataFrame:
     """Stateful difference of a user's event values against the last one seen before: (user_id, n, last,
-    change). The state is two numbers per user, so no user's history is held."""
+    change). The latest value of a call is that of its greatest (ts, event_id), whatever the chunks its rows
+    come in. The state is two numbers per user, so no user's history is held."""
     ship(stream.sparkSession)
     schema = "user_id long, n long, last double, change double"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, last = state.get if state.exists else (0, None)
-        start = last
-        for b in batches:
-            b = b.sort_values(["ts", "event_id"])
+        start, newest = last, None
+        for b in batches:  # in no order among themselves
             if len(b):
-                n, last = n + len(b), float(b["value"].iloc[-1])
+                at = b.sort_values(["ts", "event_id"], na_position="first").iloc[-1]
+                if newest is None or pd.isna(newest[0]) or (at["ts"], at["event_id"]) > newest:
+                    newest, last = (at["ts"], at["event_id"]), float(at["value"])
+                n += len(b)
         state.update((n, last))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last": [last], "change": [None if start is None else last - start]})
 
