@@ -57,19 +57,29 @@ def most_frequent(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     return n.groupBy(*group).agg(F.min(F.struct((-F.col("__n")).alias("n"), F.col(value).alias("v"))).alias("m")).select(*group, F.col("m.v").alias(value), (-F.col("m.n")).alias("n"))
 
 
-def match_names(names: DataFrame, issuers: DataFrame, name: str, issuer: str, value: str, words: int = 3) -> DataFrame:
+#: Characters of a name by which issuers that may contain it are found.
+LEAD = 6
+
+
+def match_names(names: DataFrame, issuers: DataFrame, name: str, issuer: str, value: str, words: int = 3, whole_first: bool = False) -> DataFrame:
     """For each name the most frequent value among issuers that contain its first words.
 
-    Issuers are counted per distinct (issuer, value) first. The containment is looked for only among
-    issuers that share the name's first word as one of theirs, an equi-join on words, so no pair of
-    unrelated names is formed.
+    Issuers are counted per distinct (issuer, value) first. Candidates are the issuers that contain, at
+    any position, the words' first ``LEAD`` characters (all of them, if fewer): an equi-join on pieces of
+    the issuers that loses no containment, so no pair of unrelated names is formed.
+    ``whole_first``: only issuers in which the first word stands between blanks.
     """
     n = names.select(name).distinct().withColumn("__w", first_words(F.col(name), words)).filter(F.col("__w") != "")
-    n = n.withColumn("__first", F.substring_index("__w", " ", 1))
+    n = n.withColumn("__lead", F.substring("__w", 1, LEAD))
     i = issuers.filter(F.col(issuer).isNotNull()).groupBy(issuer, value).agg(F.count(F.lit(1)).alias("__n"))
-    i = i.withColumn("__token", F.explode(F.array_distinct(F.split(F.col(issuer), " "))))
-    hit = n.join(i, F.col("__first") == F.col("__token")).filter(F.instr(F.col(issuer), F.col("__w")) > 0)
-    per = hit.groupBy(name, value).agg(F.sum("__n").alias("__n"))
+    lengths = F.broadcast(n.select(F.length("__lead").alias("__k")).distinct())  # at most LEAD rows
+    at = i.select(issuer).distinct().join(lengths, F.length(issuer) >= F.col("__k"))
+    pieces = F.transform(F.sequence(F.lit(1), F.length(issuer) - F.col("__k") + 1), lambda p: F.substring(F.col(issuer), p, F.col("__k")))
+    at = at.select(issuer, F.explode(F.array_distinct(pieces)).alias("__lead"))
+    hit = n.join(at, "__lead").filter(F.instr(F.col(issuer), F.col("__w")) > 0)
+    if whole_first:
+        hit = hit.filter(F.array_contains(F.split(F.col(issuer), " "), F.substring_index("__w", " ", 1)))
+    per = hit.select(name, issuer).join(i, issuer).groupBy(name, value).agg(F.sum("__n").alias("__n"))
     return per.groupBy(name).agg(F.min(F.struct((-F.col("__n")).alias("n"), F.col(value).alias("v"))).alias("m")).select(name, F.col("m.v").alias(value), (-F.col("m.n")).alias("n"))
 
 

@@ -34,7 +34,21 @@ SELECT name, cusip, n FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER
 def name_match_cusip(spark: SparkSession, d: str) -> DataFrame:
     b = Base(spark, d)
     h = b.raw("holdings").select(F.upper(F.trim("nameofissuer")).alias("issuer"), cusip_key("cusip").alias("cusip"))
-    return U.match_names(b.tm(), h, "name", "issuer", "cusip", words=2)
+    return U.match_names(b.tm(), h, "name", "issuer", "cusip", words=2, whole_first=True)
+
+
+@query(
+    "name_containment_cusip",
+    """, n AS (SELECT DISTINCT name, array_to_string(string_split_regex(trim(name), '\\s+')[1:3], ' ') AS w FROM tm),
+i AS (SELECT upper(trim(nameofissuer)) AS issuer, """ + o.cusip() + """ AS cusip, count(*) AS n FROM holdings GROUP BY 1, 2),
+s AS (SELECT n.name, i.cusip, CAST(sum(i.n) AS BIGINT) AS n FROM n JOIN i ON contains(i.issuer, n.w) WHERE n.w <> '' GROUP BY 1, 2)
+SELECT name, cusip, n FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, cusip) AS rn FROM s) WHERE rn = 1""",
+)
+def name_containment_cusip(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's match: three words, contained anywhere; name_match_cusip is its restricted form."""
+    b = Base(spark, d)
+    h = b.raw("holdings").select(F.upper(F.trim("nameofissuer")).alias("issuer"), cusip_key("cusip").alias("cusip"))
+    return U.match_names(b.tm(), h, "name", "issuer", "cusip")
 
 
 @query("ticker_lookup", f"""
