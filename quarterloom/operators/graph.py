@@ -134,9 +134,10 @@ def communities(pairs: DataFrame, rounds: int = 5) -> DataFrame:
     return label
 
 
-def closeness(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def closeness(pairs: DataFrame, nodes: DataFrame, per: Column | None = None) -> DataFrame:
     """(node, closeness) of all ``nodes`` on symmetric pairs (a, b): (n - 1) / sum of hops within the
     largest component of n nodes (the one with the least node on ties), 0 for the others.
+    With ``per``, an expression of ``node``, each such group of nodes has a largest component.
 
     All nodes are sources at once: a row holds, for a node and a block of 1,024 sources, one bit per
     source that has reached it. A level is one join with the edges and a bitwise OR, repeated until no
@@ -161,10 +162,11 @@ def closeness(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         if state.filter(is_new).isEmpty():
             break
     least = F.coalesce(*[F.when(F.col(f"s{i}") != 0, F.col("block") * BLOCK + 64 * i + F.expr(f"coalesce(bit_count(~s{i} & try_subtract(s{i}, 1L)), 63)")) for i in words])
-    per = state.groupBy("node").agg(F.sum(sum((F.bit_count(f"s{i}") for i in words), none)).alias("n"), F.sum("d").alias("d"), F.min(least).alias("c"))
-    largest = per.agg(F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("m")).scalar()
+    balls = state.groupBy("node").agg(F.sum(sum((F.bit_count(f"s{i}") for i in words), none)).alias("n"), F.sum("d").alias("d"), F.min(least).alias("c"))
+    balls = balls.join(ids, balls["node"] == ids["id"]).select(ids["node"], "n", "d", "c").withColumn("__per", per if per is not None else F.lit(0))
+    largest = balls.groupBy("__per").agg(F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("m"))
     value = F.when((F.col("n") == F.col("m.n")) & (F.col("c") == -F.col("m.c")), F.try_divide(F.col("n") - 1, F.col("d")))
-    got = per.withColumn("m", largest).select(F.col("node").alias("id"), value.alias("closeness")).join(ids, "id")
+    got = balls.join(largest, "__per").select("node", value.alias("closeness"))
     return nodes.select("node").distinct().join(got, "node", "left").select("node", F.coalesce("closeness", F.lit(0.0)).alias("closeness"))
 
 
@@ -226,18 +228,28 @@ def sample_neighbours(e: DataFrame, key: str, other: str, fan_out: int, order: C
     return few.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy("__o", other))).filter(F.col("__r") <= fan_out).drop("__r", "__o")
 
 
-def zscores(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+def zscores(rows: DataFrame, columns: Sequence[str], by: str | None = None) -> DataFrame:
     """(x - mean) / sample sd, missing values as the column's median first; 0 where the sd is 0.
 
-    Medians, then mean and sd: two rows of statistics over the whole table, joined as scalars.
+    Medians, then mean and sd: two rows of statistics over the whole table, joined as scalars;
+    with ``by`` such rows for each of its values.
     """
     clean = {c: F.when(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.col(c)) for c in columns}
     rows = rows.withColumns(clean)
-    med = rows.agg(*[F.median(c).alias(c) for c in columns]).select(F.struct("*").alias("m")).scalar()
-    filled = rows.withColumn("__m", med).withColumns({c: F.coalesce(F.col(c), F.col(f"__m.{c}")) for c in columns})
-    s = filled.agg(*[x for c in columns for x in (F.avg(c).alias(f"{c}_a"), F.stddev_samp(c).alias(f"{c}_s"))]).select(F.struct("*").alias("s")).scalar()
+    medians = [F.median(c).alias(c) for c in columns]
+    if by:
+        rows = rows.join(rows.groupBy(by).agg(*medians).select(by, F.struct(*columns).alias("__m")), by)
+    else:
+        rows = rows.withColumn("__m", rows.agg(*medians).select(F.struct("*").alias("m")).scalar())
+    filled = rows.withColumns({c: F.coalesce(F.col(c), F.col(f"__m.{c}")) for c in columns})
+    moments = [x for c in columns for x in (F.avg(c).alias(f"{c}_a"), F.stddev_samp(c).alias(f"{c}_s"))]
+    if by:
+        names = [f"{c}_{x}" for c in columns for x in "as"]
+        filled = filled.join(filled.groupBy(by).agg(*moments).select(by, F.struct(*names).alias("__s")), by)
+    else:
+        filled = filled.withColumn("__s", filled.agg(*moments).select(F.struct("*").alias("s")).scalar())
     z = {c: F.when(F.coalesce(F.col(f"__s.{c}_s"), F.lit(0.0)) == 0, F.lit(0.0)).otherwise((F.col(c) - F.col(f"__s.{c}_a")) / F.col(f"__s.{c}_s")) for c in columns}
-    return filled.withColumn("__s", s).withColumns(z).drop("__m", "__s")
+    return filled.withColumns(z).drop("__m", "__s")
 
 
 def profitability(w: DataFrame, ret: DataFrame) -> DataFrame:

@@ -35,12 +35,17 @@ def hash_order(seed: int, *numbers: Column) -> Column:
     return F.pmod(h * F.lit(7919), F.lit(1_000_003))
 
 
-def negatives(nodes_a: DataFrame, nodes_b: DataFrame, known: DataFrame, per_node: int, seed: int) -> DataFrame:
+def negatives(nodes_a: DataFrame, nodes_b: DataFrame, known: DataFrame, per_node: int, seed: int, per: str | None = None) -> DataFrame:
     """Candidate non-edges: every a-node proposes ``per_node`` partners by hashed position in the numbered
     b-side (ids 0 to n-1), so no cross product is formed; known edges are taken out.
 
-    nodes_a: (cik, a), nodes_b: (cusip, b) with dense ids.
+    nodes_a: (cik, a), nodes_b: (cusip, b) with dense ids; with ``per`` both have that column, their ids
+    are dense in it, and nodes_b has the number n of its ids.
     """
+    if per:
+        tries = nodes_a.join(nodes_b.groupBy(per).agg(F.max("n").alias("n")), per).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))))
+        tries = tries.withColumn("b", F.pmod(hash_order(seed, F.col("a"), F.col("t")), F.col("n"))).drop("n")
+        return tries.join(nodes_b.drop("n"), [per, "b"]).select("cik", "cusip").distinct().join(known, ["cik", "cusip"], "left_anti")
     n = nodes_b.agg(F.count(F.lit(1)).alias("n")).scalar()
     tries = nodes_a.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))))
     pick = F.pmod(hash_order(seed, F.col("a"), F.col("t")), n)
@@ -72,7 +77,12 @@ def repair_split(parts: DataFrame) -> DataFrame:
     return got.withColumn("part", F.when(F.col("__a").isNull() | F.col("__b").isNull(), "train").otherwise(F.col("part"))).drop("__a", "__b")
 
 
-def _scaled(scored: DataFrame) -> DataFrame:
+def _scaled(scored: DataFrame, per: Column | None = None) -> DataFrame:
+    """By the maximum, or by that of each group ``per``, an expression of the pair."""
+    if per is not None:
+        scored = scored.withColumn("__per", per)
+        scored = scored.join(scored.groupBy("__per").agg(F.max("raw").alias("__top")), "__per")
+        return scored.withColumn("score", F.when(F.col("__top") > 0, F.col("raw") / F.col("__top")).otherwise(F.col("raw"))).drop("__per", "__top")
     top = scored.agg(F.max("raw").alias("m")).scalar()
     return scored.withColumn("score", F.when(top > 0, F.col("raw") / top).otherwise(F.col("raw")))
 
@@ -82,7 +92,7 @@ def _co_holders(pairs: DataFrame, e: DataFrame) -> DataFrame:
     return pairs.select("cik", "cusip").join(e.select(F.col("cik").alias("other"), "cusip"), "cusip").filter("cik <> other")
 
 
-def adamic_adar(pairs: DataFrame, e: DataFrame) -> DataFrame:
+def adamic_adar(pairs: DataFrame, e: DataFrame, per: Column | None = None) -> DataFrame:
     """Sum over the other holders of the security of common holdings / ln(degree), scaled by the maximum.
 
     Common holdings are counted only for filers that occur in the pairs.
@@ -92,7 +102,7 @@ def adamic_adar(pairs: DataFrame, e: DataFrame) -> DataFrame:
     common = projection_for(pairs, e)
     hit = _co_holders(pairs, e).join(common, ["cik", "other"]).join(w, "other")
     s = hit.groupBy("cik", "cusip").agg(F.sum(F.col("common") * F.col("w")).alias("raw"))
-    return _scaled(pairs.select("cik", "cusip").join(s, ["cik", "cusip"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0))))
+    return _scaled(pairs.select("cik", "cusip").join(s, ["cik", "cusip"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0))), per)
 
 
 def projection_for(pairs: DataFrame, e: DataFrame) -> DataFrame:
@@ -102,21 +112,21 @@ def projection_for(pairs: DataFrame, e: DataFrame) -> DataFrame:
     return both.groupBy("cik", "other").agg(F.count(F.lit(1)).alias("common"))
 
 
-def jaccard(pairs: DataFrame, e: DataFrame) -> DataFrame:
+def jaccard(pairs: DataFrame, e: DataFrame, per: Column | None = None) -> DataFrame:
     """Mean Jaccard similarity with all other holders of the security, scaled by the maximum."""
     deg = e.groupBy("cik").agg(F.count(F.lit(1)).alias("d"))
     j = projection_for(pairs, e).join(deg, "cik").join(deg.select(F.col("cik").alias("other"), F.col("d").alias("d2")), "other")
     j = j.select("cik", "other", (F.col("common") / (F.col("d") + F.col("d2") - F.col("common"))).alias("j"))
     hit = _co_holders(pairs, e).join(j, ["cik", "other"], "left")
     s = hit.groupBy("cik", "cusip").agg((F.sum(F.coalesce("j", F.lit(0.0))) / F.count(F.lit(1))).alias("raw"))
-    return _scaled(pairs.select("cik", "cusip").join(s, ["cik", "cusip"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0))))
+    return _scaled(pairs.select("cik", "cusip").join(s, ["cik", "cusip"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0))), per)
 
 
-def preferential(pairs: DataFrame, e: DataFrame) -> DataFrame:
+def preferential(pairs: DataFrame, e: DataFrame, per: Column | None = None) -> DataFrame:
     a = e.groupBy("cik").agg(F.count(F.lit(1)).alias("a"))
     b = e.groupBy("cusip").agg(F.count(F.lit(1)).alias("b"))
     s = pairs.select("cik", "cusip").join(a, "cik", "left").join(b, "cusip", "left")
-    return _scaled(s.select("cik", "cusip", (F.coalesce("a", F.lit(0)) * F.coalesce("b", F.lit(0))).cast("double").alias("raw")))
+    return _scaled(s.select("cik", "cusip", (F.coalesce("a", F.lit(0)) * F.coalesce("b", F.lit(0))).cast("double").alias("raw")), per)
 
 
 def persistence(pairs: DataFrame, last: DataFrame) -> DataFrame:

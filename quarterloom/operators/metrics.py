@@ -49,8 +49,9 @@ def at_threshold(rows: DataFrame, threshold: float, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, tp + fn).alias("recall"), F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def hit_ndcg(rows: DataFrame, group: str, item: str, ks: Sequence[int]) -> DataFrame:
+def hit_ndcg(rows: DataFrame, group: str, item: str, ks: Sequence[int], *by: Column) -> DataFrame:
     """Hit and NDCG at each k, averaged over the groups with a positive; ties by item.
+    ``by``: expressions of the group to average by.
 
     Items of a group are first cut to the best max(k) within salted parts, so a heavy group's order is
     never made over all of its rows at once.
@@ -64,7 +65,7 @@ def hit_ndcg(rows: DataFrame, group: str, item: str, ks: Sequence[int]) -> DataF
     per = r.groupBy(group).agg(*[x for k in ks for x in (F.max(F.when((F.col("__r") <= k) & (F.col("label") == 1), 1.0).otherwise(0.0)).alias(f"hit_{k}"), F.sum(F.when(F.col("__r") <= k, gain).otherwise(0.0)).alias(f"dcg_{k}"))])
     ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.col("npos").cast("int"))), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     j = per.join(n, group)
-    return j.agg(*[x for k in ks for x in (F.avg(f"hit_{k}").alias(f"hit_{k}"), F.avg(F.col(f"dcg_{k}") / ideal(k)).alias(f"ndcg_{k}"))], F.count(F.lit(1)).alias("groups"))
+    return j.groupBy(*by).agg(*[x for k in ks for x in (F.avg(f"hit_{k}").alias(f"hit_{k}"), F.avg(F.col(f"dcg_{k}") / ideal(k)).alias(f"ndcg_{k}"))], F.count(F.lit(1)).alias("groups"))
 
 
 def average_rank(rows: DataFrame, value: str, name: str, *by: str) -> DataFrame:

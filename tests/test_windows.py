@@ -1,0 +1,52 @@
+import re
+from collections import defaultdict
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from tools_compare import TABLES, norm
+
+DIR = "/root/testdata/sf0.001"
+QUERIES, SQL = entry.queries(), entry.oracle_sql()
+OVER = [n for n in QUERIES if re.search("_(windows|quarters)$", n) and re.sub("_(windows|quarters)$", "", n) in SQL]
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    c.execute("SET TimeZone='UTC'")
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", OVER)
+def test_every_window(spark, con, name):
+    """The SQL of the query of one window, run for the quarters of each window."""
+    by = "win" if name.endswith("_windows") else "p"
+    got = defaultdict(list)
+    df = QUERIES[name](spark, DIR)
+    cols = sorted(c for c in df.columns if c != by)
+    for r in df.collect():
+        got[r[by]].append(tuple(norm(r[c]) for c in cols))
+    quarters = [q for (q,) in con.execute("SELECT DISTINCT year * 4 + quarter - 1 FROM changed_holdings WHERE change_in_weight > 0 ORDER BY 1").fetchall()]
+    assert quarters == list(range(quarters[0], quarters[-1] + 1))
+    tests = {i: q for i, q in enumerate(quarters[3:])} if by == "win" else {q: q for q in got}
+    assert by == "win" and len(tests) == 20 or len(tests) > 20
+    assert set(got) <= set(tests)
+    for w, test in tests.items():
+        sql = re.sub(r"\b80(8[89]|9[01])\b", lambda m: str(int(m[0]) - 8091 + test), SQL[re.sub("_(windows|quarters)$", "", name)])
+        cur = con.execute(sql)
+        at = {x[0]: i for i, x in enumerate(cur.description)}
+        assert sorted(at) == cols
+        assert sorted(got[w]) == sorted(tuple(norm(r[at[c]]) for c in cols) for r in cur.fetchall()), w
+
+
+@pytest.mark.parametrize("name", ["closeness", "communities"])
+def test_without_sql(spark, name):
+    """The window of the query of one window has its rows."""
+    one = QUERIES[name](spark, DIR).collect()
+    got = [r for r in QUERIES[f"{name}_windows"](spark, DIR).collect()]
+    assert len({r["win"] for r in got}) == 20
+    assert sorted((r["node"], norm(r[name if name == "closeness" else "community"])) for r in got if r["win"] == 11) == sorted((r["node"], norm(r[1])) for r in one)
