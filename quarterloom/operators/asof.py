@@ -73,7 +73,11 @@ def asof_known(
     n_hot = hot.count()
     if n_hot:
         hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
-        salt = F.pmod(F.xxhash64(*[F.col(f"__ev.`{c}`") for c in events.columns], F.monotonically_increasing_id()), F.coalesce("__salts", F.lit(1)))
+        own = [F.col(f"__ev.`{c}`") for c in events.columns]
+        if not drop_copies:  # copies are parted by a number, written so that a task run again sees the same
+            e = written(e.withColumn("__copy", F.monotonically_increasing_id()), "events")
+            own.append(F.col("__copy"))
+        salt = F.pmod(F.xxhash64(*own), F.coalesce("__salts", F.lit(1)))
         e = e.join(hot, ["__e", "__shard"], "left").withColumn("__salt", salt.cast("int")).drop("__salts")
     else:
         e = e.withColumn("__salt", F.lit(0))
