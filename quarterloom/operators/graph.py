@@ -93,15 +93,22 @@ def pagerank(pairs: DataFrame, rounds: int = 20, alpha: float = 0.85, tolerance:
     return rank.select("node", "rank")
 
 
-def hits(pairs: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, hub) by power iteration on a symmetric weighted graph (hub equals authority), sum 1."""
+def hits(pairs: DataFrame, rounds: int = 20, tolerance: float | None = None) -> DataFrame:
+    """(node, hub) by power iteration on a symmetric weighted graph (hub equals authority), sum 1.
+    With a ``tolerance`` it ends once the hubs' changes sum up to less."""
     links = written(pairs.select("a", "b", "weight"), "links")
     score = links.select(F.col("a").alias("node")).distinct().withColumn("hub", F.lit(1.0))
     for i in range(rounds):
         raw = links.join(score, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.sum(F.col("weight") * F.col("hub")).alias("h"))
         raw = written(raw, "hits") if i % CUT_EVERY == CUT_EVERY - 1 else raw
         total = raw.agg(F.sum("h").alias("t")).scalar()
-        score = raw.select(F.col("n").alias("node"), (F.col("h") / total).alias("hub"))
+        new = raw.select(F.col("n").alias("node"), (F.col("h") / total).alias("hub"))
+        if tolerance:
+            new = written(new, "hubs")
+            moved = new.join(score.withColumnRenamed("hub", "old"), "node").agg(F.sum(F.abs(F.col("hub") - F.col("old")))).first()[0] or 0.0
+            if moved < tolerance:
+                return new
+        score = new
     return score
 
 
@@ -122,15 +129,19 @@ def components(e: DataFrame, max_rounds: int = 100) -> DataFrame:
     return label.select("node", F.col("label").alias("component"))
 
 
-def communities(pairs: DataFrame, rounds: int = 5) -> DataFrame:
+def communities(pairs: DataFrame, rounds: int = 5, until_stable: bool = False) -> DataFrame:
     """(node, community): label propagation by the heaviest label among neighbours, the least on ties.
-    An approximation of modularity communities."""
+    An approximation of modularity communities. ``until_stable``: ends once no label changes;
+    labels may also alternate for ever, so ``rounds`` remains the bound."""
     links = written(pairs.select("a", "b", "weight"), "links")
     label = links.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
     for i in range(rounds):
         votes = links.join(label, F.col("b") == F.col("node")).groupBy("a", "community").agg(F.sum("weight").alias("w"))
+        old = label.withColumnRenamed("community", "old")
         label = votes.groupBy(F.col("a").alias("node")).agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("community").alias("c")))["c"].alias("community"))
-        label = written(label, "labels") if i % CUT_EVERY == CUT_EVERY - 1 else label
+        label = written(label, "labels") if until_stable or i % CUT_EVERY == CUT_EVERY - 1 else label
+        if until_stable and label.join(old, "node").filter("community <> old").isEmpty():
+            break
     return label
 
 

@@ -1,0 +1,18 @@
+from quarterloom.operators import graph as G
+
+EDGES = [("a", "b", 2.0), ("a", "c", 2.0), ("b", "c", 2.0), ("c", "d", 0.5), ("d", "e", 2.0), ("d", "f", 2.0), ("e", "f", 2.0)]
+
+
+def test_hits_and_communities_run_until_converged(spark, monkeypatch):
+    both = EDGES + [(b, a, w) for a, b, w in EDGES]
+    p = spark.createDataFrame(both, "a string, b string, weight double")
+    steps = []
+    real = G.written
+    monkeypatch.setattr(G, "written", lambda df, name="step": steps.append(name) or real(df, name))
+    h = {r["node"]: r["hub"] for r in G.hits(p, 60, tolerance=1e-3).collect()}
+    assert steps.count("hubs") < 60
+    raw = {n: sum(w * h[b] for a, b, w in both if a == n) for n in h}
+    total = sum(raw.values())
+    assert sum(abs(raw[n] / total - h[n]) for n in h) < 2e-3
+    c = {r["node"]: r["community"] for r in G.communities(p, 30, until_stable=True).collect()}
+    assert steps.count("labels") < 30 and len({c[n] for n in "abc"}) == 1 and len({c[n] for n in "def"}) == 1
