@@ -29,6 +29,18 @@ CASES = {
     "addresses": "See www.Example.com for it.| Read https://data.Example.com/ab?Next=12.Of!Kind and www.Abc.Def.com.| Write to jane.Doe@fund.Example.com today.| Ask ab.Cd.Ef@x.org.| Go to shop.Example.com/list now.",
     "file names": "Open report.Final.pdf first.| Then old-report.Draft.Two.xlsx.| It was complete.|Most are in data.All.csv.",
     "decimals": "比率为３．１４倍。|它涨了7．5%。|占3。|5月结束．|完了。",
+    "code and names": "See https://www.Example.com/Report.Final for details.| Mail bob@mail.Foo.com today.| It calls System.Out.println there.| Open budget.Xlsx now.| Then Pvt. Ryan met Adm. Jones and Supt. Lee.| Shares of Yum! Brands fell.| We sold some of Kalto! Foods.| What a day in Paris!| The end.",
+    "own english": "The U.S. economy grew 2.1% in Q3.| Is it over?| \"No,\" she said.| \"It isn't over. We wait.\"| Dr. Smith (b. 1970) agrees.| See Fig. 2 etc. for more.",
+    "own german": "Das Haus steht am Rhein.| Prof. Weber kam am 3. Oktober um 8.30 Uhr.| „Warum? Ich weiß es nicht.“| Er ging z. B. nach Bonn.",
+    "own french": "M. Dupont habite à Lyon.| Il a dit : « Je pars. Adieu ! »| Quelle heure est-il ?| Voir p. 12.",
+    "own spanish": "La Sra. López llegó a las 9.30.| ¿Quién es?| ¡Hola!| «Ven. Te espero.»| Fin.",
+    "own russian": "Он приехал в г. Тверь.| Кто там?| «Войдите. Открыто.»| Рост составил 3,5 %.| А. П. Чехов писал пьесы.",
+    "own chinese": "今天天气很好。|你去哪儿？|他说：“我不去。你去吧。”|价格是3.5元。|太好了！",
+    "own japanese": "今日は晴れです。|どこへ行きますか？|「行こう。早く。」|はい！",
+    "own korean": "오늘은 날씨가 좋다.| 어디로 갑니까?| 값은 3.5원이다.| 좋아!",
+    "own hindi": "आज मौसम अच्छा है।|तुम कहाँ जा रहे हो?| मूल्य 3.5 रुपये है।|ठीक है!",
+    "own arabic": "الطقس جميل اليوم.| إلى أين تذهب؟| السعر 3.5 ريال.| حسنا!",
+    "own thai": "วันนี้อากาศดี |เขาไปตลาด |ราคา 3.5 บาท",
     "private use": " One  two.| Three.",
 }
 
@@ -63,8 +75,14 @@ def test_missing_blank_repeated_and_long(spark):
     assert split_sentences(df.limit(0)).count() == 0
 
 
+def test_many_closing_marks(spark):
+    rows = [(1, "It fell (see [a. B" + "]" * 15 + ") again. End.")]
+    got = split_sentences(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).orderBy("start_pos").collect()
+    assert [r["sentence"] for r in got] == [rows[0][1][:-5], "End."]
+
+
 def test_no_window_on_lists_quotations_and_brackets(spark):
-    said = "The price was right. We would do it again. " * 200  # 8,600 characters
+    said = "The price was right. We would do it again. " * 500  # 21,500 characters
     item = "one two three four " * 30
     rows = {
         "list": [f"{i}. {item}" for i in range(1, 20)],
