@@ -88,3 +88,15 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.mode("error").parquet(path)
     delete_on_exit(spark, path)
     return spark.read.schema(schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a frame that ``written`` gave, once nothing reads it any more: steps of a long
+    iteration would else fill the shared folder."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    shared = shared_dir(spark).rstrip("/").removeprefix("file://")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if shared in folder:
+            p = jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(conf).delete(p, True)
