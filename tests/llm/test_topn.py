@@ -38,3 +38,34 @@ def test_small_groups_and_empty(spark):
     assert run(spark, [("g", "a", 1.0)], 3) == [("g", "a", 1.0)]
     df = spark.createDataFrame([], "g string, i string, s double")
     assert top_n(df, ["g"], "s", "i", 3).count() == 0
+
+
+def test_no_task_reads_a_hot_group_as_a_whole(spark):
+    """A million rows of one group, without help of the adaptive planner; the tasks' records are what Spark counted."""
+    from pyspark.sql import functions as F
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = spark.range(1_000_000).select(F.lit("g").alias("g"), F.col("id").cast("string").alias("i"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 7).alias("s"))
+        df = df.unionByName(spark.range(2000).select(F.concat(F.lit("h"), F.col("id") % 500).alias("g"), F.col("id").cast("string").alias("i"), F.lit(1.0).alias("s")))
+        first = max([s.stageId() for s in _stages(store)], default=-1)
+        got = top_n(df, ["g"], "s", "i", 3, hot_rows=20_000).collect()
+        best = df.filter("g = 'g'").orderBy(F.desc("s"), "i").limit(3).collect()
+        assert sorted((r["i"], r["s"]) for r in got if r["g"] == "g") == sorted((r["i"], r["s"]) for r in best)
+        assert len(got) == 3 + 3 * 500
+        read = [t.taskMetrics().get().shuffleReadMetrics().recordsRead() for s in _stages(store) if s.stageId() > first for t in _list(store.taskList(s.stageId(), s.attemptId(), 10_000)) if t.taskMetrics().isDefined()]
+        assert 50_000 < max(read) < 200_000  # 50 salts fall into 16 tasks by hash
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def _stages(store):
+    return _list(store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None))
+
+
+def _list(seq):
+    return [seq.apply(i) for i in range(seq.size())]
