@@ -162,17 +162,14 @@ def _steps() -> list[tuple[Step | None, Step]]:
     opening = f'"(?=[^{WS_CHARS}])(?<![^{WS_CHARS}(\\[{{{OPEN}“‘—-]")|“(?![{WS_CHARS},.;:!?)\\]{CLOSE}…]|$)'
     steps.append((_has('"', "“"), _all(_mask(opening, OPEN), _swap('"', CLOSE), _swap("“", CLOSE))))
     # stops within quotations: the last before the closing mark may end the whole, the others nothing
-    steps.append((_has(OPEN), _all(
-        _mask(f"{OPEN}(?![^{OPEN}{shut}{BREAK}]*+[{shut}])"), _mask_within(OPEN, "", OPEN + shut, HELD),
-        _mask(f"{HELD}(?=[{HELD}{WS_CHARS}]*+[{shut}])", INNER), _swap(HELD, MASK),
-    )))
+    steps.append((_has(OPEN), _all(_mask(f"{OPEN}(?![^{OPEN}{shut}{BREAK}]*+[{shut}])"), _mask_within(OPEN, "", OPEN + shut, HELD))))
+    steps.append((_has(HELD), _all(_mask(f"{HELD}(?=[{HELD}{WS_CHARS}]*+[{shut}])", INNER), _swap(HELD, MASK))))
     steps.append((_has("‘"), _mask_within("‘", f"(?=[^‘’{BREAK}]*+’(?!\\p{{L}}))", "‘’")))
     # stops within brackets: the last ends the whole if the bracket stands by itself
     closed = f"(?=[^(){BREAK}]*+\\))"
-    steps.append((_has("("), _all(
-        _mask_within(f"\\((?<=(?:^|[{STOPS}{shut}{BREAK}:]){WS}{{0,99}}\\()", closed, "()", HELD),
-        _mask(f"{HELD}(?={HELD}*+\\))", INNER), _swap(HELD, MASK), _mask_within("\\(", closed, "()"),
-    )))
+    steps.append((_has("("), _mask_within(f"\\((?<=(?:^|[{STOPS}{shut}{BREAK}:]){WS}{{0,99}}\\()", closed, "()", HELD)))
+    steps.append((_has(HELD), _all(_mask(f"{HELD}(?={HELD}*+\\))", INNER), _swap(HELD, MASK))))
+    steps.append((_has("("), _mask_within("\\(", closed, "()")))
     steps.append((_has("["), _mask_within("\\[", f"(?=[^\\[\\]{BREAK}]*+\\])", "\\[\\]")))
     # the closing marks of quotations that words before a colon introduce
     steps.append((lambda s: _has(OPEN)(s) & _has(INNER)(s), _mask(f"([：，:]{OPEN}[^{OPEN}{shut}]*+(?<={INNER})){CLOSE}", f"$1{SAID}")))
