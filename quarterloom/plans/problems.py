@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarterloom.functions.keys import OPEN_END, cik_key, cusip_key, finite, period, period_quarter, period_year, quarter_end, ticker_key
 from quarterloom.operators.asof import asof_known
 from quarterloom.operators.history import build_history
-from quarterloom.operators.impute import als_impute
+from quarterloom.operators.impute import als_impute, held_out_errors
 from quarterloom.operators.skew import heavy_keys, key_percentiles, key_profile
 from quarterloom.operators.snapshots import snapshot_diff
 from quarterloom.plans import oracle as o
@@ -204,11 +204,14 @@ RANGES = {"ev_ebitda": (-5000.0, 5000.0), "dividend_yield": (0.0, 10.0), "fcf_pe
 CONTEXT = {c: (-5000.0, 5000.0) for c in ("diluted_eps", "pe_ratio", "price_to_sales", "price_to_book", "debt_to_equity")}
 
 
-def completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = table(spark, sf_dir, "cusip_financial_data").select(cusip_key("cusip").alias("cusip"), period().alias("period"), "revision", *RANGES, *CONTEXT)
     # of each quarter the highest revision, with map-side combining
-    f = f.groupBy("cusip", "period").agg(F.max(F.struct("revision", *RANGES, *CONTEXT)).alias("s")).select("cusip", "period", "s.*")
-    return als_impute(f, "cusip", "period", RANGES, CONTEXT, categorical=["period"])
+    return f.groupBy("cusip", "period").agg(F.max(F.struct("revision", *RANGES, *CONTEXT)).alias("s")).select("cusip", "period", "s.*")
+
+
+def completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return als_impute(ratios(spark, sf_dir), "cusip", "period", RANGES, CONTEXT, categorical=["period"])
 
 
 def _p7_sql() -> str:
@@ -240,3 +243,19 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("period")
     return completed(spark, sf_dir).select("cusip", period_year(p).alias("year"), period_quarter(p).alias("quarter"), *[c for f in RANGES for c in (f, f"{f}_filled")])
+
+
+@query("p7_held_out")
+def p7_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median absolute errors on known cells kept out of the fit: of the method, of the last value and of the security's median."""
+    return held_out_errors(ratios(spark, sf_dir), "cusip", "period", RANGES, CONTEXT, categorical=["period"])
+
+
+@query("p7_status")
+def p7_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listings' trading_status, a category, filled from similar listings."""
+    r = table(spark, sf_dir, "russell3000")
+    end = F.when(F.col("trading_end_date") < F.lit(OPEN_END).cast("date"), F.col("trading_end_date"))
+    r = r.select(cusip_key("cusip").alias("cusip"), "year", F.initcap(F.trim("trading_status")).alias("trading_status"), F.year("trading_start_date").alias("since"), (F.year(end) - F.col("year")).alias("left"), end.isNotNull().cast("double").alias("ends"))
+    got = als_impute(r, "cusip", "year", {}, {"since": (1800.0, 2100.0), "left": (-300.0, 300.0), "ends": (0.0, 1.0)}, fill_categorical=["trading_status"])
+    return got.select("cusip", "year", "trading_status", "trading_status_filled")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarterloom.operators.impute import als_impute
+from quarterloom.operators.impute import als_impute, held_out_errors
 
 R = {"a": (-1000.0, 1000.0), "b": (0.0, 1000.0)}
 
@@ -52,3 +52,40 @@ def test_categories_and_nothing_observed(spark):
     assert all(r["b"] is None and r["b_filled"] for r in got.values())
     assert als_impute(df.limit(0), "e", "p", R).count() == 0
     assert als_impute(df.filter(F.col("e") == "none"), "e", "p", R, categorical=["c"]).count() == 0
+
+
+def test_better_than_the_last_value(spark):
+    """a: a level and noise. b: a level and a shock in proportion to it that the context field c shows as well."""
+    rng, rows = np.random.default_rng(3), []
+    for e in range(150):
+        la, lb = rng.normal(0, 20), 20 * np.exp(rng.normal())
+        for p in range(12):
+            shock = rng.normal()
+            a = la + rng.normal()
+            rows.append((f"e{e}", p, None if rng.random() < 0.1 else float(a), None if rng.random() < 0.1 else float(lb * np.exp(0.15 * shock + 0.01 * rng.normal())), float(10 * shock)))
+    df = spark.createDataFrame(rows, "e string, p int, a double, b double, c double")
+    wide = (-1e6, 1e6)
+    got = {r["field_name"]: r for r in held_out_errors(df, "e", "p", {"a": wide, "b": wide}, {"c": wide}, reg=0.1, rounds=10).collect()}
+    assert got["a"]["n"] > 40 and got["a"]["als"] < 0.9 * got["a"]["last"]
+    assert got["b"]["belief"] > 0 and got["b"]["als"] < 0.8 * got["b"]["mid"] < got["b"]["last"]
+
+
+def test_median_of_others_against_brute_force(spark):
+    import statistics
+
+    from quarterloom.operators.impute import _median_of_others
+
+    rng = random.Random(4)
+    rows = [([rng.choice([1.0, 2.0, 2.0, 5.0, -3.0, rng.random()]) for _ in range(rng.randrange(1, 7))], i) for i in range(60)]
+    df = spark.createDataFrame([(v, None if i % 4 == 0 else v[i % len(v)], i) for v, i in rows], "v array<double>, own double, i int")
+    for r in df.select("v", "own", "i", _median_of_others(F.array_sort("v"), F.col("own")).alias("m")).collect():
+        rest = sorted(r["v"])
+        if r["own"] is not None:
+            rest.remove(r["own"])
+        assert r["m"] == (statistics.median(rest) if rest else None)
+
+
+def test_many_levels_stay_codes(spark):
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("e"), F.lit(1).alias("p"), (F.col("id") % 7).cast("double").alias("a"), F.when(F.col("id") % 11 > 0, F.col("id") % 4000).cast("string").alias("c"))
+    got = als_impute(df, "e", "p", {"a": (0.0, 10.0)}, fill_categorical=["c"], rounds=2)
+    assert got.filter("c IS NULL").count() == 0 and got.filter("c_filled").count() == 1819
