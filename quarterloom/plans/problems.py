@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarterloom.functions.keys import OPEN_END, cik_key, cusip_key, finite, period, period_quarter, period_year, quarter_end, ticker_key
 from quarterloom.operators.asof import asof_known
-from quarterloom.operators.history import build_history
+from quarterloom.operators.history import new_store
 from quarterloom.operators.impute import als_impute, held_out_errors
 from quarterloom.operators.skew import heavy_keys, key_percentiles, key_profile
 from quarterloom.operators.snapshots import snapshot_diff
@@ -160,8 +160,12 @@ def p5_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "russell3000").select(
         cusip_key("cusip").alias("cusip"), "year", ticker_key("ticker").alias("ticker"), "trading_start_date", F.when(end < F.lit(OPEN_END).cast("date"), end).alias("trading_end_date")
     )
-    got = build_history(r, "cusip", "year", {"symbol": ["ticker"], "trading": ["trading_start_date", "trading_end_date"]}, carried=["ticker"])
-    return got.withColumnsRenamed({"from_at": "from_year", "to_at": "to_year"})
+    # two deliveries: all listings but the newest, then that one, which only appends what it changes
+    store = new_store(spark, "cusip", "year", {"symbol": ["ticker"], "trading": ["trading_start_date", "trading_end_date"]}, carried=["ticker"])
+    newest = r.agg(F.max("year")).first()[0]
+    store.load(r.filter(F.col("year") < newest))
+    store.load(r.filter(F.col("year") == newest))
+    return store.versions().withColumnsRenamed({"from_at": "from_year", "to_at": "to_year"})
 
 
 # ---------------------------------------------------------------- p6: what changed between full snapshots
