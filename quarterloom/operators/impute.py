@@ -174,18 +174,19 @@ def _cells(
     )
     cells = cells.select(
         *one.columns, *[F.col(f"__last_{f}.p").alias(f"{f}_from") for f in names], *[F.col(f"__last_{f}.v").alias(f"__lag_{f}") for f in names], *[f"__lead_{f}" for f in names],
-        *[_median_of_others(F.array_sort(f"__all_{f}"), F.col(f)).alias(f"__mid_{f}") for f in names], F.pmod(F.xxhash64(entity, period), F.lit(2**31)).alias("__hash"),
+        *[_median_of_others(F.sort_array(f"__all_{f}"), F.col(f)).alias(f"__mid_{f}") for f in names], F.pmod(F.xxhash64(entity, period), F.lit(2**31)).alias("__hash"),
     )
     cells = written(cells, "cells")
 
     near = [*[f"__lag_{f}" for f in names], *[f"__lead_{f}" for f in names]]
     columns = [*names, *context, *near]
     anchors = {c: f"__mid_{f}" for f in names for c in (f, f"__lag_{f}", f"__lead_{f}")}
-    stat = cells.agg(*[x for c in columns for x in (
-        F.avg(F.asinh(c)), F.stddev_pop(F.asinh(c)), F.min(c), F.max(c), F.stddev_pop(F.asinh(c) - F.asinh(anchors[c])) if c in anchors else F.lit(None).cast("double")
+    bent = cells.select(*[F.asinh(c).alias(c) for c in dict.fromkeys([*columns, *anchors.values()])])
+    stat = bent.agg(*[x for c in columns for x in (
+        F.avg(c), F.stddev_pop(c), F.min(c), F.max(c), F.stddev_pop(F.col(c) - F.col(anchors[c])) if c in anchors else F.lit(None).cast("double")
     )]).first()
     at = lambda k, other: np.array([stat[5 * i + k] or other for i in range(len(columns))], float)
-    low, high = ([stat[5 * i + k] for i in range(len(columns))] for k in (2, 3))
+    low, high = ([None if (x := stat[5 * i + k]) is None else float(np.sinh(x)) for i in range(len(columns))] for k in (2, 3))
     levels = {}
     for c in cats:
         found = cells.select(c).filter(F.col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()

@@ -78,7 +78,7 @@ def test_median_of_others_against_brute_force(spark):
     rng = random.Random(4)
     rows = [([rng.choice([1.0, 2.0, 2.0, 5.0, -3.0, rng.random()]) for _ in range(rng.randrange(1, 7))], i) for i in range(60)]
     df = spark.createDataFrame([(v, None if i % 4 == 0 else v[i % len(v)], i) for v, i in rows], "v array<double>, own double, i int")
-    for r in df.select("v", "own", "i", _median_of_others(F.array_sort("v"), F.col("own")).alias("m")).collect():
+    for r in df.select("v", "own", "i", _median_of_others(F.sort_array("v"), F.col("own")).alias("m")).collect():
         rest = sorted(r["v"])
         if r["own"] is not None:
             rest.remove(r["own"])
