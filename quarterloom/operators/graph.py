@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quarterloom.session import written
+from quarterloom.session import discard, written
 
 CUT_EVERY = 3
 #: Sources of one row of the breadth-first search, in words of 64.
@@ -25,8 +25,8 @@ def edges(rows: DataFrame, left: str = "cik", right: str = "cusip") -> DataFrame
 
 
 def latest_edges(rows: DataFrame, value: str, at: str = "p") -> DataFrame:
-    """Union of several quarters; an edge keeps the value of its latest quarter."""
-    return rows.groupBy("cik", "cusip").agg(F.max_by(value, at).alias(value))
+    """Union of several quarters; an edge keeps the value of its latest quarter, of several the greatest."""
+    return rows.groupBy("cik", "cusip").agg(F.max(F.struct(at, value))[value].alias(value))
 
 
 def degrees(e: DataFrame, side: str, *by: str) -> DataFrame:
@@ -37,13 +37,13 @@ def degree_frequency(e: DataFrame, side: str) -> DataFrame:
     return degrees(e, side).groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
 
 
-def degree_shares(e: DataFrame, side: str) -> DataFrame:
-    """Share of nodes above the average degree and above twice of it, from the frequency table."""
-    f = degree_frequency(e, side)
-    t = f.agg((F.sum(F.col("degree") * F.col("n")) / F.sum("n")).alias("a")).scalar()
-    f = f.withColumn("a", t)
+def degree_shares(e: DataFrame, side: str, per: Column | None = None) -> DataFrame:
+    """(per, avg_degree, above_avg, above_twice): the average degree, and the share of nodes above it and above twice of it,
+    from the frequency table; with ``per``, an expression of the node, for each of its values."""
+    f = degrees(e, side).groupBy((F.lit(0) if per is None else per).alias("per"), "degree").agg(F.count(F.lit(1)).alias("n"))
+    t = f.groupBy("per").agg((F.sum(F.col("degree") * F.col("n")) / F.sum("n")).alias("a"))
     above = lambda k: F.sum(F.when(F.col("degree") > k * F.col("a"), F.col("n")).otherwise(0)) / F.sum("n")
-    return f.agg(F.max("a").alias("avg_degree"), above(1).alias("above_avg"), above(2).alias("above_twice"))
+    return f.join(t, "per").groupBy("per").agg(F.max("a").alias("avg_degree"), above(1).alias("above_avg"), above(2).alias("above_twice"))
 
 
 def log_histogram(rows: DataFrame, value: str, bins: int = 40) -> DataFrame:
@@ -56,60 +56,74 @@ def log_histogram(rows: DataFrame, value: str, bins: int = 40) -> DataFrame:
 
 
 def projection(e: DataFrame, node: str = "cik", via: str = "cusip") -> DataFrame:
-    """(a, b, common): number of shared neighbours of ordered pairs of different nodes.
+    """(a, b, common), a < b: number of shared neighbours of two nodes.
 
-    The pairs are the operator's result; a node on the other side with n neighbours makes n * (n - 1)
-    of them, summed up on the map side.
+    The pairs are the operator's result; a node on the other side with n neighbours makes n * (n - 1) / 2
+    of them, summed up on the map side. Whatever only needs sums over the pairs works on the edges instead.
     """
     a = e.select(F.col(via).alias("__v"), F.col(node).alias("a"))
     b = e.select(F.col(via).alias("__v"), F.col(node).alias("b"))
-    return a.join(b, "__v").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    return a.join(b, "__v").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
 
 
-def degree_centrality(pairs: DataFrame, nodes: DataFrame, node: str = "cik") -> DataFrame:
-    n = nodes.agg(F.count(F.lit(1)).alias("n")).scalar()
-    d = pairs.groupBy(F.col("a").alias(node)).agg(F.count(F.lit(1)).alias("d"))
-    return nodes.join(d, node, "left").select(node, F.try_divide(F.coalesce("d", F.lit(0)), n - 1).alias("centrality"))
+def _bipartite(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges (f, s), and of every node f that shares a neighbour with another (f, d, t): its degree and the sum of its
+    weights in the projection, which is B * B^T without its diagonal: the sum of its neighbours' degrees less one."""
+    e = written(e.select(F.col("cik").alias("f"), F.col("cusip").alias("s")).distinct(), "edges")
+    deg = e.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    t = e.join(deg, "s").groupBy("f").agg(F.count(F.lit(1)).alias("d"), F.sum(F.col("n") - 1).alias("t")).filter("t > 0")
+    return e, written(t, "nodes")
 
 
-def pagerank(pairs: DataFrame, rounds: int = 20, alpha: float = 0.85, tolerance: float | None = None) -> DataFrame:
-    """(node, rank) on weighted directed pairs (a, b, weight); nodes without exit spread evenly."""
-    out = pairs.groupBy("a").agg(F.sum("weight").alias("__t"))
-    links = written(pairs.join(out, "a").select("a", "b", (F.col("weight") / F.col("__t")).alias("w")), "links")
-    nodes = written(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(out.select(F.col("a").alias("node"), F.lit(True).alias("exits")), "node", "left"), "nodes")
-    n = nodes.count()
-    rank = nodes.select("node", "exits", F.lit(1.0 / n if n else 0.0).alias("rank"))
+def _round_trip(e: DataFrame, value: DataFrame) -> DataFrame:
+    """(f, x): B * (B^T * x) for (f, x), by two joins on the edges."""
+    there = e.join(value, "f").groupBy("s").agg(F.sum("x").alias("x"))
+    return e.join(there, "s").groupBy("f").agg(F.sum("x").alias("x"))
+
+
+def pagerank(e: DataFrame, rounds: int = 20, alpha: float = 0.85, tolerance: float | None = None, per: Column | None = None) -> DataFrame:
+    """(node, rank) on the projection of the edges (cik, cusip), weighted by shared neighbours, without forming it.
+
+    Nodes without a shared neighbour have no row. With ``per``, an expression of ``node``, every such group of nodes
+    is a graph of its own. With a ``tolerance`` it ends once the changes sum up to less than it times the nodes.
+    """
+    e, nodes = _bipartite(e)
+    nodes = nodes.withColumn("node", F.col("f")).withColumn("per", F.lit(0) if per is None else per).drop("node")
+    n = nodes.groupBy("per").agg(F.count(F.lit(1)).alias("n"))
+    rank = written(nodes.join(n, "per").select("f", "d", "t", "n", (1.0 / F.col("n")).alias("rank")), "rank")
+    count = rank.count() if tolerance else 0
     for i in range(rounds):
-        loose = rank.filter(F.col("exits").isNull()).agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("s")).scalar()
-        into = links.join(rank, F.col("a") == F.col("node")).groupBy(F.col("b").alias("__n")).agg(F.sum(F.col("w") * F.col("rank")).alias("__in"))
-        new = F.lit((1 - alpha) / n if n else 0.0) + F.lit(alpha) * (F.coalesce("__in", F.lit(0.0)) + loose / F.lit(float(max(n, 1))))
-        nxt = rank.withColumnRenamed("rank", "__old").join(into, F.col("node") == F.col("__n"), "left").select("node", "exits", new.alias("rank"), "__old")
-        if i % CUT_EVERY == CUT_EVERY - 1 or tolerance:
-            nxt = written(nxt, "rank")
-        if tolerance and (nxt.agg(F.sum(F.abs(F.col("rank") - F.col("__old")))).first()[0] or 0.0) < tolerance * n:
-            rank = nxt.drop("__old")
-            break
-        rank = nxt.drop("__old")
-    return rank.select("node", "rank")
+        share = F.col("rank") / F.col("t")
+        into = _round_trip(e, rank.select("f", share.alias("x")))
+        new = (1 - alpha) / F.col("n") + alpha * (F.col("x") - F.col("d") * share)
+        nxt = rank.join(into, "f").select("f", "d", "t", "n", new.alias("new"), "rank")
+        if tolerance or i % CUT_EVERY == CUT_EVERY - 1:
+            old, nxt = rank, written(nxt, "rank")
+            moved = nxt.agg(F.sum(F.abs(F.col("new") - F.col("rank")))).first()[0] or 0.0 if tolerance else None
+            if tolerance:
+                discard(old)
+            if tolerance and moved < tolerance * count:
+                rank = nxt.drop("rank").withColumnRenamed("new", "rank")
+                break
+        rank = nxt.drop("rank").withColumnRenamed("new", "rank")
+    return rank.select(F.col("f").alias("node"), "rank")
 
 
-def hits(pairs: DataFrame, rounds: int = 20, tolerance: float | None = None) -> DataFrame:
-    """(node, hub) by power iteration on a symmetric weighted graph (hub equals authority), sum 1.
-    With a ``tolerance`` it ends once the hubs' changes sum up to less."""
-    links = written(pairs.select("a", "b", "weight"), "links")
-    score = links.select(F.col("a").alias("node")).distinct().withColumn("hub", F.lit(1.0))
+def hits(e: DataFrame, rounds: int = 20, tolerance: float | None = None, per: Column | None = None) -> DataFrame:
+    """(node, hub) by power iteration on the projection of the edges (hub equals authority), sum 1, without
+    forming it; with ``per`` for every group of nodes. With a ``tolerance`` it ends once the hubs' changes sum up to less."""
+    e, nodes = _bipartite(e)
+    score = nodes.select("f", "d", F.lit(1.0).alias("hub")).withColumn("node", F.col("f")).withColumn("per", F.lit(0) if per is None else per).drop("node")
     for i in range(rounds):
-        raw = links.join(score, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.sum(F.col("weight") * F.col("hub")).alias("h"))
-        raw = written(raw, "hits") if i % CUT_EVERY == CUT_EVERY - 1 else raw
-        total = raw.agg(F.sum("h").alias("t")).scalar()
-        new = raw.select(F.col("n").alias("node"), (F.col("h") / total).alias("hub"))
-        if tolerance:
-            new = written(new, "hubs")
-            moved = new.join(score.withColumnRenamed("hub", "old"), "node").agg(F.sum(F.abs(F.col("hub") - F.col("old")))).first()[0] or 0.0
-            if moved < tolerance:
-                return new
-        score = new
-    return score
+        raw = score.join(_round_trip(e, score.select("f", F.col("hub").alias("x"))), "f").select("f", "d", "per", (F.col("x") - F.col("d") * F.col("hub")).alias("h"), "hub")
+        raw = written(raw, "hits") if tolerance or i % CUT_EVERY == CUT_EVERY - 1 else raw
+        total = raw.groupBy("per").agg(F.sum("h").alias("t"))
+        new = raw.join(total, "per").select("f", "d", "per", (F.col("h") / F.col("t")).alias("new"), "hub")
+        moved = new.agg(F.sum(F.abs(F.col("new") - F.col("hub")))).first()[0] or 0.0 if tolerance else None
+        score = new.drop("hub").withColumnRenamed("new", "hub")
+        if tolerance and moved < tolerance:
+            break
+    return score.select(F.col("f").alias("node"), "hub")
 
 
 def components(e: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -129,73 +143,130 @@ def components(e: DataFrame, max_rounds: int = 100) -> DataFrame:
     return label.select("node", F.col("label").alias("component"))
 
 
-def communities(pairs: DataFrame, rounds: int = 5, until_stable: bool = False) -> DataFrame:
-    """(node, community): label propagation by the heaviest label among neighbours, the least on ties.
-    An approximation of modularity communities. ``until_stable``: ends once no label changes;
-    labels may also alternate for ever, so ``rounds`` remains the bound."""
-    links = written(pairs.select("a", "b", "weight"), "links")
-    label = links.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
+def communities(e: DataFrame, rounds: int = 5, until_stable: bool = False) -> DataFrame:
+    """(node, community): label propagation on the projection of the edges, by the heaviest label among
+    neighbours, the least on ties. An approximation of modularity communities. ``until_stable``: ends once no label
+    changes; labels may also alternate for ever, so ``rounds`` remains the bound.
+
+    A node's votes are its securities' counts of labels, less its own: no pairs are stored.
+    """
+    e, nodes = _bipartite(e)
+    label = nodes.select("f", "d", F.col("f").alias("c"))
     for i in range(rounds):
-        votes = links.join(label, F.col("b") == F.col("node")).groupBy("a", "community").agg(F.sum("weight").alias("w"))
-        old = label.withColumnRenamed("community", "old")
-        label = votes.groupBy(F.col("a").alias("node")).agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("community").alias("c")))["c"].alias("community"))
+        there = e.join(label, "f").groupBy("s", "c").agg(F.count(F.lit(1)).alias("w"))
+        votes = e.join(there, "s").groupBy("f", "c").agg(F.sum("w").alias("w"))
+        own = label.select("f", "d", F.col("c").alias("old"))
+        votes = votes.join(own, "f").withColumn("w", F.col("w") - F.when(F.col("c") == F.col("old"), F.col("d")).otherwise(0)).filter("w > 0")
+        label = votes.groupBy("f").agg(F.first("d").alias("d"), F.min(F.struct((-F.col("w")).alias("w"), "c"))["c"].alias("c"), F.first("old").alias("old"))
         label = written(label, "labels") if until_stable or i % CUT_EVERY == CUT_EVERY - 1 else label
-        if until_stable and label.join(old, "node").filter("community <> old").isEmpty():
+        if until_stable and label.filter("c <> old").isEmpty():
             break
-    return label
+        label = label.select("f", "d", "c")
+    return label.select(F.col("f").alias("node"), F.col("c").alias("community"))
+
 
+def modularity(e: DataFrame, labels: DataFrame, per: Column | None = None) -> DataFrame:
+    """(per, modularity) of the labels (node, community) on the projection of the edges: the weight within
+    communities less what their totals let expect, as shares; from counts per security and community."""
+    e, nodes = _bipartite(e)
+    label = labels.withColumn("per", F.lit(0) if per is None else per).select(F.col("node").alias("f"), F.col("community").alias("c"), "per")
+    k = F.col("k")
+    within = e.join(label, "f").groupBy("per", "s", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("per", "c").agg(F.sum(k * (k - 1)).alias("w"))
+    total = nodes.join(label, "f").groupBy("per", "c").agg(F.sum("t").alias("t"))
+    per_label = total.join(within, ["per", "c"])
+    m = per_label.groupBy("per").agg(F.sum("t").alias("m"))
+    q = F.col("w") / F.col("m") - (F.col("t") / F.col("m")) * (F.col("t") / F.col("m"))
+    return per_label.join(m, "per").groupBy("per").agg(F.sum(q).alias("modularity"))
 
-def closeness(pairs: DataFrame, nodes: DataFrame, per: Column | None = None) -> DataFrame:
-    """(node, closeness) of all ``nodes`` on symmetric pairs (a, b): (n - 1) / sum of hops within the
+
+_WORDS = range(BLOCK // 64)
+
+
+def _sources(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The edges (f, s) by number of f, the numbers of the nodes, and for every node its own bit: (f, block, b0...)."""
+    ids = written(number_nodes(e.select(F.col("cik").alias("node")), "node"), "ids")
+    links = written(e.select("cik", "cusip").distinct().join(ids, F.col("cik") == F.col("node")).select(F.col("id").alias("f"), F.col("cusip").alias("s")), "links")
+    none = F.lit(0).cast("long")
+    bits = [F.when(F.floor(F.col("id") % BLOCK / 64) == i, F.expr("shiftleft(1L, CAST(id % 64 AS INT))")).otherwise(none).alias(f"b{i}") for i in _WORDS]
+    return links, ids, ids.select(F.col("id").alias("f"), F.floor(F.col("id") / BLOCK).alias("block"), *bits)
+
+
+def _spread(links: DataFrame, front: DataFrame) -> DataFrame:
+    """The bits of a node's neighbours in the projection (and its own), by a bitwise OR over each security and back."""
+    either = [F.bit_or(f"b{i}").alias(f"b{i}") for i in _WORDS]
+    there = links.join(front, "f").groupBy("s", "block").agg(*either)
+    return links.join(there, "s").groupBy("f", "block").agg(*either)
+
+
+def degree_centrality(e: DataFrame, per: Column | None = None) -> DataFrame:
+    """(node, centrality): a node's neighbours in the projection over the number of other nodes (with ``per``, an
+    expression of ``node``, of its group). Neighbours are counted as bits in blocks of 1,024 nodes, so no pairs are formed."""
+    links, ids, own = _sources(e)
+    d = _spread(links, own).groupBy("f").agg((F.sum(sum((F.bit_count(f"b{i}") for i in _WORDS), F.lit(0))) - 1).alias("d"))
+    nodes = ids.withColumn("per", F.lit(0) if per is None else per)
+    n = nodes.groupBy("per").agg(F.count(F.lit(1)).alias("n"))
+    return nodes.join(n, "per").join(d, F.col("id") == F.col("f")).select("node", F.try_divide(F.col("d"), F.col("n") - 1).alias("centrality"))
+
+
+def closeness(e: DataFrame, per: Column | None = None) -> DataFrame:
+    """(node, closeness) of all nodes cik of the edges, in their projection: (n - 1) / sum of hops within the
     largest component of n nodes (the one with the least node on ties), 0 for the others.
     With ``per``, an expression of ``node``, each such group of nodes has a largest component.
 
     All nodes are sources at once: a row holds, for a node and a block of 1,024 sources, one bit per
-    source that has reached it. A level is one join with the edges and a bitwise OR, repeated until no
-    bit is new. As the pairs are symmetric, the bits of a node also count what it reaches itself.
+    source that has reached it. A level is a bitwise OR over each security and back, repeated until no
+    bit is new. As neighbours are mutual, the bits of a node also count what it reaches itself.
     """
-    ids = written(number_nodes(pairs.select(F.col("a").alias("node")), "node"), "ids")
-    to = lambda c: ids.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
-    links = written(pairs.select("a", "b").distinct().join(to("a"), "a").join(to("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "links")
-    words, none = range(BLOCK // 64), F.lit(0).cast("long")
-    own = [F.when(F.floor(F.col("id") % BLOCK / 64) == i, F.expr("shiftleft(1L, CAST(id % 64 AS INT))")).otherwise(none) for i in words]
-    state = ids.select(F.col("id").alias("node"), F.floor(F.col("id") / BLOCK).alias("block"), *[c.alias(f"s{i}") for i, c in enumerate(own)], *[c.alias(f"f{i}") for i, c in enumerate(own)], none.alias("d"))
-    hops, is_new = 0, " OR ".join(f"f{i} <> 0" for i in words)
+    links, ids, own = _sources(e)
+    none = F.lit(0).cast("long")
+    state = own.select(F.col("f").alias("node"), "block", *[F.col(f"b{i}").alias(f"{x}{i}") for x in "sf" for i in _WORDS], none.alias("d"))
+    hops, is_new = 0, " OR ".join(f"f{i} <> 0" for i in _WORDS)
     while True:
         hops += 1
-        front = state.filter(is_new).select(F.col("node").alias("b"), "block", *[f"f{i}" for i in words])
-        into = links.join(front, "b").groupBy(F.col("a").alias("node"), "block").agg(*[F.bit_or(f"f{i}").alias(f"n{i}") for i in words])
-        both = state.drop(*[f"f{i}" for i in words]).join(into, ["node", "block"], "full_outer")
-        both = both.fillna(0)
-        both = both.select("node", "block", "d", *[F.expr(f"s{i} | n{i}").alias(f"s{i}") for i in words], *[F.expr(f"n{i} & ~s{i}").alias(f"f{i}") for i in words])
-        reached = sum((F.bit_count(f"f{i}") for i in words), F.lit(0))
-        state = written(both.withColumn("d", F.col("d") + hops * reached), "reached")
+        front = state.filter(is_new).select(F.col("node").alias("f"), "block", *[F.col(f"f{i}").alias(f"b{i}") for i in _WORDS])
+        into = _spread(links, front).select(F.col("f").alias("node"), "block", *[F.col(f"b{i}").alias(f"n{i}") for i in _WORDS])
+        both = state.drop(*[f"f{i}" for i in _WORDS]).join(into, ["node", "block"], "full_outer").fillna(0)
+        both = both.select("node", "block", "d", *[F.expr(f"s{i} | n{i}").alias(f"s{i}") for i in _WORDS], *[F.expr(f"n{i} & ~s{i}").alias(f"f{i}") for i in _WORDS])
+        reached = sum((F.bit_count(f"f{i}") for i in _WORDS), F.lit(0))
+        old, state = state, written(both.withColumn("d", F.col("d") + hops * reached), "reached")
+        if hops > 1:
+            discard(old)
         if state.filter(is_new).isEmpty():
             break
-    least = F.coalesce(*[F.when(F.col(f"s{i}") != 0, F.col("block") * BLOCK + 64 * i + F.expr(f"coalesce(bit_count(~s{i} & try_subtract(s{i}, 1L)), 63)")) for i in words])
-    balls = state.groupBy("node").agg(F.sum(sum((F.bit_count(f"s{i}") for i in words), none)).alias("n"), F.sum("d").alias("d"), F.min(least).alias("c"))
+    least = F.coalesce(*[F.when(F.col(f"s{i}") != 0, F.col("block") * BLOCK + 64 * i + F.expr(f"coalesce(bit_count(~s{i} & try_subtract(s{i}, 1L)), 63)")) for i in _WORDS])
+    balls = state.groupBy("node").agg(F.sum(sum((F.bit_count(f"s{i}") for i in _WORDS), none)).alias("n"), F.sum("d").alias("d"), F.min(least).alias("c"))
     balls = balls.join(ids, balls["node"] == ids["id"]).select(ids["node"], "n", "d", "c").withColumn("__per", per if per is not None else F.lit(0))
-    largest = balls.groupBy("__per").agg(F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("m"))
+    largest = balls.filter("n > 1").groupBy("__per").agg(F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("m"))
     value = F.when((F.col("n") == F.col("m.n")) & (F.col("c") == -F.col("m.c")), F.try_divide(F.col("n") - 1, F.col("d")))
-    got = balls.join(largest, "__per").select("node", value.alias("closeness"))
-    return nodes.select("node").distinct().join(got, "node", "left").select("node", F.coalesce("closeness", F.lit(0.0)).alias("closeness"))
+    return balls.join(largest, "__per", "left").select("node", F.coalesce(value, F.lit(0.0)).alias("closeness"))
 
 
-def rev2(e: DataFrame, rounds: int = 100, g1: float = 1.0, g2: float = 1.0, tolerance: float = 1e-6, cut: bool = True) -> tuple[DataFrame, DataFrame]:
+def rev2(e: DataFrame, rounds: int = 100, g1: float = 1.0, g2: float = 1.0, tolerance: float = 1e-6, aum: DataFrame | None = None, per: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Fairness of filers and goodness of securities on edges (cik, cusip, w) with w in [-1, 1].
 
-    Every round computes the edges' reliability from the old fairness and goodness, then both anew.
+    Every round computes the edges' reliability from the old fairness and goodness, then both anew. Fairness starts at
+    0.5 or, with ``aum`` (cik, total), at the logistic of the standardised logarithm of the assets (with ``per``, an
+    expression of ``cik``, standardised in its group); filers without assets at 0.5.
     """
     e = written(e.select("cik", "cusip", F.greatest(F.least("w", F.lit(1.0)), F.lit(-1.0)).alias("w")), "edges")
     fair = e.select("cik").distinct().withColumn("f", F.lit(0.5))
+    if aum is not None:
+        x = fair.join(aum.filter("total > 0").select("cik", F.ln("total").alias("x")), "cik", "left").withColumn("per", F.lit(0) if per is None else per)
+        s = x.groupBy("per").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+        z = F.coalesce(F.try_divide(F.col("x") - F.col("m"), F.col("s")), F.lit(0.0))
+        fair = x.join(s, "per").select("cik", (1 / (1 + F.exp(-z))).alias("f"))
     good = e.select("cusip").distinct().withColumn("g", F.lit(0.0))
-    for _ in range(rounds):
+    for i in range(rounds):
         rel = (g1 * F.col("f") + g2 * (1 - F.abs(F.col("w") - F.col("g")) / 2)) / (g1 + g2)
         r = e.join(fair, "cik").join(good, "cusip").select("cik", "cusip", "w", rel.alias("r"), "f", "g")
         f2 = r.groupBy("cik").agg(F.avg("r").alias("f"), F.max("f").alias("f_old"))
         g2_ = r.groupBy("cusip").agg(F.avg(F.col("r") * F.col("w")).alias("g"), F.max("g").alias("g_old"))
-        f2, g2_ = (written(f2, "fair"), written(g2_, "good")) if cut else (f2, g2_)
+        before = (fair, good)
+        f2, g2_ = written(f2, "fair"), written(g2_, "good")
         fair, good = f2.select("cik", "f"), g2_.select("cusip", "g")
+        if i:
+            discard(before[0])
+            discard(before[1])
         if tolerance:
             moved = max(f2.agg(F.max(F.abs(F.col("f") - F.col("f_old")))).first()[0] or 0.0, g2_.agg(F.max(F.abs(F.col("g") - F.col("g_old")))).first()[0] or 0.0)
             if moved < tolerance:
@@ -203,14 +274,18 @@ def rev2(e: DataFrame, rounds: int = 100, g1: float = 1.0, g2: float = 1.0, tole
     return fair, good
 
 
-def propagate(e: DataFrame, features: DataFrame, layers: int = 3, weight: str | None = None) -> DataFrame:
+def propagate(e: DataFrame, features: DataFrame, layers: int = 3, weight: str | None = None, self_loops: bool = True, activation: bool = False, last: bool = False) -> DataFrame:
     """Neighbour sums with symmetric degree normalisation, averaged over the layers.
 
-    ``features``: (node, x) with nodes named 'f:…' and 's:…'. A layer is one join and one aggregation.
+    ``features``: (node, x) with nodes named 'f:…' and 's:…'. With ``self_loops`` a node counts as its own neighbour,
+    with weight 1. ``activation``: negative values become 0 after every layer but the last; ``last``: only the last
+    layer's values. A layer is one join and one aggregation.
     """
     w = F.col(weight) if weight else F.lit(1.0)
     one = e.select(F.concat(F.lit("f:"), "cik").alias("a"), F.concat(F.lit("s:"), "cusip").alias("b"), w.alias("w"))
     links = one.union(one.select("b", "a", "w"))
+    if self_loops:
+        links = links.union(links.select("a", F.col("a").alias("b"), F.lit(1.0).alias("w")).distinct())
     deg = links.groupBy("a").agg(F.sum("w").alias("d"))
     links = links.join(deg, "a").join(deg.select(F.col("a").alias("b"), F.col("d").alias("db")), "b")
     links = written(links.select("a", "b", (F.col("w") / F.sqrt(F.col("d") * F.col("db"))).alias("n")), "links")
@@ -218,14 +293,27 @@ def propagate(e: DataFrame, features: DataFrame, layers: int = 3, weight: str |
     total = x.withColumn("layer", F.lit(0))
     for i in range(layers):
         x = links.join(x, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.sum(F.col("n") * F.col("x")).alias("x"))
+        x = x.withColumn("x", F.greatest("x", F.lit(0.0))) if activation and i < layers - 1 else x
         x = written(x, "layer")
         total = total.unionByName(x.withColumn("layer", F.lit(i + 1)))
-    return total.groupBy("node").agg((F.sum("x") / (layers + 1)).alias("x"))
+    return x if last else total.groupBy("node").agg((F.sum("x") / (layers + 1)).alias("x"))
+
+
+def sage_mean(e: DataFrame, features: DataFrame, key: str, other: str, columns: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Mean of the neighbours' features (the aggregation of a SAGE layer), weighted by the edges' absolute
+    ``weight`` if one is named."""
+    both = e.join(features, other)
+    if weight is None:
+        return both.groupBy(key).agg(*[F.avg(c).alias(c) for c in columns])
+    w = F.abs(F.col(weight))
+    return both.groupBy(key).agg(*[F.try_divide(F.sum(w * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), w))).alias(c) for c in columns])
 
 
-def sage_mean(e: DataFrame, features: DataFrame, key: str, other: str, columns: Sequence[str]) -> DataFrame:
-    """Mean of the neighbours' features (the aggregation of a SAGE layer)."""
-    return e.join(features, other).groupBy(key).agg(*[F.avg(c).alias(c) for c in columns])
+def sample_two_hops(e: DataFrame, seeds: DataFrame, first: int, second: int, order: Column, order_back: Column) -> DataFrame:
+    """(seed, cusip, cik): for every seed security up to ``first`` of its filers and for each of these up to ``second`` securities."""
+    near = sample_neighbours(e.join(seeds.select("cusip").distinct(), "cusip", "left_semi"), "cusip", "cik", first, order)
+    far = sample_neighbours(e.join(near.select("cik").distinct(), "cik", "left_semi"), "cik", "cusip", second, order_back)
+    return near.select(F.col("cusip").alias("seed"), "cik").join(far, "cik").select("seed", "cik", "cusip")
 
 
 def sample_neighbours(e: DataFrame, key: str, other: str, fan_out: int, order: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quarterloom.operators.graph import projection
+from quarterloom.session import written
 
 
 def windows(quarters: DataFrame, k: int, offset: int = 1) -> DataFrame:
@@ -52,23 +52,32 @@ def negatives(nodes_a: DataFrame, nodes_b: DataFrame, known: DataFrame, per_node
     return tries.withColumn("b", pick).join(nodes_b, "b").select("cik", "cusip").distinct().join(known, ["cik", "cusip"], "left_anti")
 
 
-def split(rows: DataFrame, order: Column, train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """Adds ``part`` by a deterministic order of the rows (floors; the remainder is test).
+def split(rows: DataFrame, order: Column, train: float = 0.8, val: float = 0.1, per: Column | None = None) -> DataFrame:
+    """Adds ``part`` by a deterministic order of the rows (floors; the remainder is test); with ``per``, an expression
+    of the row, in each of its groups.
 
     The order is counted by value first, so positions come from a window over the distinct order values
     of coarse blocks, not over all rows.
     """
-    r = rows.withColumn("__o", order)
     block = F.floor(F.col("__o") / 1000)
-    per = r.groupBy(block.alias("__bl")).agg(F.count(F.lit(1)).alias("__c"))
-    upto = per.select("__bl", (F.sum("__c").over(W.orderBy("__bl")) - F.col("__c")).alias("__before"), F.sum("__c").over(W.partitionBy(F.lit(1))).alias("__n"))
-    r = r.withColumn("__bl", block).join(upto, "__bl")
-    i = F.col("__before") + F.row_number().over(W.partitionBy("__bl").orderBy("__o", *rows.columns)) - 1
+    r = rows.withColumns({"__o": order, "__per": F.lit(0) if per is None else per}).withColumn("__bl", block)
+    counts = r.groupBy("__per", "__bl").agg(F.count(F.lit(1)).alias("__c"))
+    group = W.partitionBy("__per")  # at most a thousand blocks
+    upto = counts.select("__per", "__bl", (F.sum("__c").over(group.orderBy("__bl")) - F.col("__c")).alias("__before"), F.sum("__c").over(group).alias("__n"))
+    r = r.join(upto, ["__per", "__bl"])
+    i = F.col("__before") + F.row_number().over(W.partitionBy("__per", "__bl").orderBy("__o", *rows.columns)) - 1
     cut1, cut2 = F.floor(F.col("__n") * train), F.floor(F.col("__n") * train) + F.floor(F.col("__n") * val)
     part = F.when(F.col("__i") < cut1, "train").when(F.col("__i") < cut2, "val").otherwise("test")
     return r.withColumn("__i", i).withColumn("part", part).select(*rows.columns, "part")
 
 
+def top_k(scored: DataFrame, group: str, item: str, k: int) -> DataFrame:
+    """The ``k`` best-scored items of every group with their ``rank``; ties by item. Salted parts of a group are cut down first."""
+    order = [F.desc("score"), F.col(item)]
+    few = scored.withColumn("__r", F.row_number().over(W.partitionBy(group, F.pmod(F.xxhash64(item), F.lit(32))).orderBy(*order))).filter(F.col("__r") <= k)
+    return few.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order)).cast("bigint")).filter(F.col("rank") <= k).drop("__r")
+
+
 def repair_split(parts: DataFrame) -> DataFrame:
     """Validation and test edges with an end unseen in training move to training."""
     t = parts.filter("part = 'train'")
@@ -78,18 +87,25 @@ def repair_split(parts: DataFrame) -> DataFrame:
 
 
 def _scaled(scored: DataFrame, per: Column | None = None) -> DataFrame:
-    """By the maximum, or by that of each group ``per``, an expression of the pair."""
-    if per is not None:
-        scored = scored.withColumn("__per", per)
-        scored = scored.join(scored.groupBy("__per").agg(F.max("raw").alias("__top")), "__per")
-        return scored.withColumn("score", F.when(F.col("__top") > 0, F.col("raw") / F.col("__top")).otherwise(F.col("raw"))).drop("__per", "__top")
-    top = scored.agg(F.max("raw").alias("m")).scalar()
-    return scored.withColumn("score", F.when(top > 0, F.col("raw") / top).otherwise(F.col("raw")))
+    """By the maximum, or by that of each group ``per``, an expression of the pair. The scores are written once, as
+    they are read for the maximum and for the result."""
+    scored = written(scored, "scores").withColumn("__per", F.lit(0) if per is None else per)
+    scored = scored.join(scored.groupBy("__per").agg(F.max("raw").alias("__top")), "__per")
+    return scored.withColumn("score", F.when(F.col("__top") > 0, F.col("raw") / F.col("__top")).otherwise(F.col("raw"))).drop("__per", "__top")
 
 
 def _co_holders(pairs: DataFrame, e: DataFrame) -> DataFrame:
-    """(cik, cusip, other): other holders of the pair's security."""
-    return pairs.select("cik", "cusip").join(e.select(F.col("cik").alias("other"), "cusip"), "cusip").filter("cik <> other")
+    """(cik, cusip, other, a, b): other holders of the pair's security; a and b are the two filers in order."""
+    got = pairs.select("cik", "cusip").join(e.select(F.col("cik").alias("other"), "cusip"), "cusip").filter("cik <> other")
+    return got.withColumns({"a": F.least("cik", "other"), "b": F.greatest("cik", "other")})
+
+
+def _common(pairs: DataFrame, e: DataFrame) -> DataFrame:
+    """(a, b, common), a < b, of filers of which one at least occurs in the pairs: each two are counted once for both."""
+    mine = pairs.select("cik").distinct().withColumn("m", F.lit(1))
+    side = e.join(mine, "cik", "left").select("cusip", "cik", F.col("m").isNotNull().alias("m"))
+    x, y = side.select("cusip", F.col("cik").alias("a"), F.col("m").alias("ma")), side.select("cusip", F.col("cik").alias("b"), F.col("m").alias("mb"))
+    return x.join(y, "cusip").filter("a < b AND (ma OR mb)").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
 
 
 def adamic_adar(pairs: DataFrame, e: DataFrame, per: Column | None = None) -> DataFrame:
@@ -99,27 +115,23 @@ def adamic_adar(pairs: DataFrame, e: DataFrame, per: Column | None = None) -> Da
     """
     deg = e.groupBy("cik").agg(F.count(F.lit(1)).alias("d"))
     w = deg.select(F.col("cik").alias("other"), F.when(F.col("d") > 1, 1 / F.ln("d")).otherwise(0.0).alias("w"))
-    common = projection_for(pairs, e)
-    hit = _co_holders(pairs, e).join(common, ["cik", "other"]).join(w, "other")
+    hit = _co_holders(pairs, e).join(w, "other").join(_common(pairs, e), ["a", "b"])
     s = hit.groupBy("cik", "cusip").agg(F.sum(F.col("common") * F.col("w")).alias("raw"))
     return _scaled(pairs.select("cik", "cusip").join(s, ["cik", "cusip"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0))), per)
 
 
-def projection_for(pairs: DataFrame, e: DataFrame) -> DataFrame:
-    """(cik, other, common) for the pairs' filers."""
-    mine = e.join(pairs.select("cik").distinct(), "cik", "left_semi")
-    both = mine.join(e.select(F.col("cik").alias("other"), "cusip"), "cusip").filter("cik <> other")
-    return both.groupBy("cik", "other").agg(F.count(F.lit(1)).alias("common"))
-
-
 def jaccard(pairs: DataFrame, e: DataFrame, per: Column | None = None) -> DataFrame:
     """Mean Jaccard similarity with all other holders of the security, scaled by the maximum."""
     deg = e.groupBy("cik").agg(F.count(F.lit(1)).alias("d"))
-    j = projection_for(pairs, e).join(deg, "cik").join(deg.select(F.col("cik").alias("other"), F.col("d").alias("d2")), "other")
-    j = j.select("cik", "other", (F.col("common") / (F.col("d") + F.col("d2") - F.col("common"))).alias("j"))
-    hit = _co_holders(pairs, e).join(j, ["cik", "other"], "left")
-    s = hit.groupBy("cik", "cusip").agg((F.sum(F.coalesce("j", F.lit(0.0))) / F.count(F.lit(1))).alias("raw"))
-    return _scaled(pairs.select("cik", "cusip").join(s, ["cik", "cusip"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0))), per)
+    j = _common(pairs, e).join(deg.select(F.col("cik").alias("a"), F.col("d").alias("da")), "a").join(deg.select(F.col("cik").alias("b"), F.col("d").alias("db")), "b")
+    j = j.select("a", "b", (F.col("common") / (F.col("da") + F.col("db") - F.col("common"))).alias("j"))
+    hit = _co_holders(pairs, e).join(j, ["a", "b"])  # they share this security
+    s = hit.groupBy("cik", "cusip").agg(F.sum("j").alias("j"))
+    n = e.groupBy("cusip").agg(F.count(F.lit(1)).alias("n"))
+    own = e.withColumn("__own", F.lit(1))
+    got = pairs.select("cik", "cusip").join(s, ["cik", "cusip"], "left").join(n, "cusip", "left").join(own, ["cik", "cusip"], "left")
+    others = F.col("n") - F.coalesce("__own", F.lit(0))
+    return _scaled(got.select("cik", "cusip", F.coalesce(F.try_divide("j", others.cast("double")), F.lit(0.0)).alias("raw")), per)
 
 
 def preferential(pairs: DataFrame, e: DataFrame, per: Column | None = None) -> DataFrame:

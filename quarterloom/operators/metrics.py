@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quarterloom.operators.skew import running_sums
+
 
 def _levels(rows: DataFrame, *by: str) -> DataFrame:
     """Positives and negatives per distinct score: all further metrics only need these."""
@@ -16,17 +18,15 @@ def _levels(rows: DataFrame, *by: str) -> DataFrame:
 
 def auc(rows: DataFrame, *by: str) -> DataFrame:
     """Area under the ROC curve; equal scores count half. NULL without both classes."""
-    lv = _levels(rows, *by)
-    below = F.coalesce(F.sum("neg").over(W.partitionBy(*by).orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    lv = lv.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    lv = running_sums(_levels(rows, *by), by, "score", ["neg"])
+    lv = lv.withColumn("won", F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2))
     return lv.groupBy(*by).agg(F.try_divide(F.sum("won"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
 def _curve(rows: DataFrame, *by: str) -> DataFrame:
     """Precision and recall at every distinct threshold."""
-    lv = _levels(rows, *by)
-    w = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    c = lv.select(*by, "score", "pos", F.sum("pos").over(w).alias("tp"), F.sum(F.col("pos") + F.col("neg")).over(w).alias("n"), F.sum("pos").over(W.partitionBy(*by)).alias("all"))
+    lv = running_sums(_levels(rows, *by), by, "score", ["pos", "neg"], descending=True)
+    c = lv.select(*by, "score", "pos", F.col("pos_upto").alias("tp"), (F.col("pos_upto") + F.col("neg_upto")).alias("n"), F.col("pos_all").alias("all"))
     return c.withColumns({"precision": F.col("tp") / F.col("n"), "recall": F.try_divide(F.col("tp"), F.col("all"))})
 
 
@@ -99,9 +99,8 @@ def kendall(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     c = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("c"))
     ys = c.select(*by, "y").distinct().withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("y")) - 1)
     cells = c.join(ys, [*by, "y"])
-    bits = cells.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(31))))
     top = ys.groupBy(*by).agg(F.max("r").alias("top"))
-    bits = bits.join(top, list(by)).filter(F.expr("shiftright(top, bit)") > 0)
+    bits = cells.join(top, list(by)).filter("top > 0").withColumn("bit", F.explode(F.sequence(F.lit(0), F.length(F.bin("top")) - 1)))
     one = F.expr("shiftright(r, bit)").bitwiseAND(F.lit(1))
     bits = bits.select(*by, "x", "bit", F.expr("shiftright(r, bit + 1)").alias("high"), F.when(one == 1, F.col("c")).otherwise(0).alias("ones"), F.when(one == 0, F.col("c")).otherwise(0).alias("zeros"))
     at = bits.groupBy(*by, "bit", "high", "x").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))

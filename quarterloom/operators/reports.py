@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarterloom.operators.metrics import pearson
+from quarterloom.operators.skew import exact_median
 
 
 def describe(rows: DataFrame, c: str, thresholds: Sequence[float] = ()) -> DataFrame:
@@ -18,8 +19,9 @@ def describe(rows: DataFrame, c: str, thresholds: Sequence[float] = ()) -> DataF
     mean = rows.agg(F.avg(c)).scalar()
     x = rows.filter(F.col(c).isNotNull()).withColumn("__d", F.col(c) - mean)
     m = lambda k: F.avg(F.pow("__d", F.lit(float(k))))
-    return x.agg(
-        F.count(F.lit(1)).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_samp(c).alias("std"),
+    middle = exact_median(rows, c).scalar()
+    return x.withColumn("__m", middle).agg(
+        F.count(F.lit(1)).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.first("__m").alias("median"), F.stddev_samp(c).alias("std"),
         (m(3) / F.pow(m(2), F.lit(1.5))).alias("skew"), (m(4) / F.pow(m(2), F.lit(2.0)) - 3).alias("kurtosis"),
         *[F.avg((F.col(c) >= t).cast("int")).alias(f"share_{str(t).replace('.', '_')}") for t in thresholds],
     )

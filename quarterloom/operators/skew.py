@@ -51,6 +51,38 @@ def key_profile(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return best.select(*keys, "n_rows", "n_values", "n_distinct", "total", F.col("m.v").alias("mode"), (-F.col("m.f")).alias("mode_freq"))
 
 
+def running_sums(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], descending: bool = False) -> DataFrame:
+    """``df``, which has each (keys, order) once, with v_upto and v_all of every value v: its sum over the key's rows up
+    to this one in ``order``, and over all.
+
+    The rows are range-partitioned by (keys, order); a block's sums are carried into the blocks behind it, so that no task
+    orders one key's rows as a whole, even if there is only one key or, with no ``keys``, none.
+    """
+    rows = written(df.repartitionByRange(*keys, order).withColumn("__block", F.spark_partition_id()), "blocks")  # fixes the block of every row
+    blocks = rows.groupBy(*keys, "__block").agg(F.min(order).alias("__lo"), *[F.sum(v).alias(v) for v in values])
+    # one row per key and block: at most the number of range partitions for any key
+    w = W.partitionBy(*keys).orderBy(F.desc("__lo") if descending else F.asc("__lo"))
+    blocks = blocks.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__block").alias("__b"),
+        *[(F.sum(v).over(w) - F.col(v)).alias(f"__before_{v}") for v in values], *[F.sum(v).over(W.partitionBy(*keys)).alias(f"{v}_all") for v in values],
+    )
+    on = F.col("__block") == F.col("__b")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    own = W.partitionBy(*keys, "__block").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(W.unboundedPreceding, 0)
+    upto = {f"{v}_upto": F.col(f"__before_{v}") + F.sum(v).over(own) for v in values}
+    return rows.join(blocks, on).withColumns(upto).select(*df.columns, *upto, *[f"{v}_all" for v in values])
+
+
+def exact_median(df: DataFrame, value: str) -> DataFrame:
+    """One row, ``median``: the mean of the two middle values of all rows; NULL and NaN are left out, and an empty table gives NULL."""
+    v = F.col(value).cast("double")
+    freq = compress(df.select(F.when(~F.isnan(v), v).alias("__v")).filter(F.col("__v").isNotNull()), [], "__v")
+    n, upto = F.col("freq_all"), F.col("freq_upto")
+    middle = [F.min(F.when(upto >= at, F.col("__v"))) for at in (F.floor((n + 1) / 2), F.floor(n / 2) + 1)]
+    return running_sums(freq, [], "__v", ["freq"]).agg(((middle[0] + middle[1]) / 2).alias("median"))
+
+
 def key_percentiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float]) -> DataFrame:
     """Exact discrete percentiles per key: the smallest value whose share of the key's rows reaches p.
 
@@ -62,24 +94,11 @@ def key_percentiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         v = F.when(~F.isnan(v), v)
     rows = df.select(*keys, v.alias("__v")).filter(F.col("__v").isNotNull())
-    freq = compress(rows, keys, "__v").repartitionByRange(*keys, "__v").withColumn("__block", F.spark_partition_id())
-    freq = written(freq, "blocks")  # fixes the block of every value
-    blocks = freq.groupBy(*keys, "__block").agg(F.sum("freq").alias("__w"), F.min("__v").alias("__lo"))
-    # one row per key and block: at most the number of range partitions for any key
-    w = W.partitionBy(*keys).orderBy("__lo")
-    blocks = blocks.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__block").alias("__b"),
-        (F.sum("__w").over(w) - F.col("__w")).alias("__before"), F.sum("__w").over(W.partitionBy(*keys)).alias("__n"),
-    )
-    on = F.col("__block") == F.col("__b")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    upto = F.col("__before") + F.sum("freq").over(W.partitionBy(*keys, "__block").orderBy("__v").rowsBetween(W.unboundedPreceding, 0))
-    ranked = freq.join(blocks, on).withColumn("__upto", upto)
+    ranked = running_sums(compress(rows, keys, "__v"), keys, "__v", ["freq"])
     picks = []
     for p in at:
-        rank = F.greatest(F.ceil(F.round(F.col("__n") * F.lit(float(p)), 9)), F.lit(1))
-        picks.append(F.min(F.when(F.col("__upto") >= rank, F.col("__v"))))
+        rank = F.greatest(F.ceil(F.round(F.col("freq_all") * F.lit(float(p)), 9)), F.lit(1))
+        picks.append(F.min(F.when(F.col("freq_upto") >= rank, F.col("__v"))))
     return ranked.groupBy(*keys).agg(F.array(*picks).alias("percentiles"))
 
 

@@ -51,23 +51,24 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vect
 def mean_score(left: DataFrame, right: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(item, score): mean over the left rows of the logistic of the dot product, for each right row.
 
-    The left rows are packed into blocks; each task adds up a block's scores before they are summed.
+    Both sides are packed into blocks of 256 vectors. Every left block is sent to every right block, each pair is one
+    matrix product, and only sums per item leave the task: the arithmetic is that of all pairs by definition, the rows
+    moved are those of the blocks.
     """
     ship(left.sparkSession)
-    a = left.select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    packed = a.withColumn("blk", F.floor(F.col("k") / BLOCK)).groupBy("blk").agg(F.collect_list("v").alias("vs"))
-    b = right.select(F.col(key).cast("bigint").alias("item"), F.col(vector).cast("array<double>").alias("w"))
-    work = b.join(packed, F.lit(True))
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        one = df.select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.floor(F.col("k") / BLOCK))
+        return one.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias(name)).drop("b")
+
+    work = packed(right, "rs").join(packed(left, "ls"), F.lit(True))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items, sums, counts = [], [], []
-            for item, w, vs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                m = np.array(vs.as_py()) @ np.array(w.as_py())
-                items.append(item)
-                sums.append(float((1 / (1 + np.exp(-m))).sum()))
-                counts.append(len(m))
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(sums, pa.float64()), pa.array(counts, pa.int64())], ["item", "s", "n"])
-
-    got = work.select("item", "w", "vs").mapInArrow(score, "item long, s double, n long")
+            for rs, ls in zip(batch.column(0), batch.column(1)):
+                r, l = (np.array(x.values.field("v").to_pylist()) for x in (rs, ls))
+                s = (1 / (1 + np.exp(-(r @ l.T)))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([rs.values.field("k").cast(pa.int64()), pa.array(s), pa.array(np.full(len(s), len(l)))], ["item", "s", "n"])
+
+    got = work.select("rs", "ls").mapInArrow(score, "item long, s double, n long")
     return got.groupBy("item").agg((F.sum("s") / F.sum("n")).alias("score"))

@@ -1,4 +1,4 @@
-"""Queries on the bipartite graph and on link prediction."""
+"""Queries on the bipartite graph of all quarters; those of windows and of single quarters are in ``windows``."""
 
 from __future__ import annotations
 
@@ -8,21 +8,9 @@ from pyspark.sql import functions as F
 from quarterloom.operators import graph as G
 from quarterloom.operators import holdings as H
 from quarterloom.operators import linkpred as L
-from quarterloom.operators import metrics as M
-from quarterloom.plans.base import RATIOS, Base, big, rnd
+from quarterloom.plans.base import Base, big, rnd
 from quarterloom.plans.registry import query
 
-FIRST, LASTQ, TEST = 8088, 8090, 8091  # train quarters 2022Q1-Q3, test quarter 2022Q4
-ED = f"ed AS MATERIALIZED (SELECT DISTINCT cik, cusip FROM buys WHERE p BETWEEN {FIRST} AND {LASTQ}), te AS MATERIALIZED (SELECT DISTINCT cik, cusip FROM buys WHERE p = {TEST})"
-
-
-def _train(b: Base) -> DataFrame:
-    return G.edges(b.buys().filter(F.col("p").between(FIRST, LASTQ)))
-
-
-def _test(b: Base) -> DataFrame:
-    return G.edges(b.buys().filter(F.col("p") == TEST))
-
 
 @query("graph_build", "SELECT CAST(p AS BIGINT) AS p, count(DISTINCT cik) AS n_funds, count(DISTINCT cusip) AS n_stocks, count(DISTINCT cik || cusip) AS n_edges FROM buys GROUP BY 1")
 def graph_build(spark: SparkSession, d: str) -> DataFrame:
@@ -31,121 +19,18 @@ def graph_build(spark: SparkSession, d: str) -> DataFrame:
     return side("cik", "n_funds").join(side("cusip", "n_stocks"), "p").join(e.groupBy("p").agg(F.count(F.lit(1)).alias("n_edges")), "p").withColumn("p", F.col("p").cast("bigint"))
 
 
-@query("combined_graph", f"SELECT cik, cusip, round(arg_max(dw, p), 9) AS dw FROM buys WHERE p BETWEEN {FIRST} AND {LASTQ} GROUP BY 1, 2")
-def combined_graph(spark: SparkSession, d: str) -> DataFrame:
-    got = G.latest_edges(Base(spark, d).buys().filter(F.col("p").between(FIRST, LASTQ)), "dw")
-    return got.select("cik", "cusip", *rnd("dw", digits=9))
-
-
-@query("degree_distribution", f", {ED} SELECT degree, count(*) AS n FROM (SELECT cik, count(*) AS degree FROM ed, (SELECT 1 FROM buys LIMIT 1) GROUP BY 1) GROUP BY 1")
-def degree_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return G.degree_frequency(_train(Base(spark, d)), "cik")
-
-
 @query("degree_series", "SELECT CAST(p AS BIGINT) AS p, cusip, count(DISTINCT cik) AS degree FROM ch GROUP BY 1, 2")
 def degree_series(spark: SparkSession, d: str) -> DataFrame:
     e = Base(spark, d).ch().select("p", "cik", "cusip").distinct()
     return G.degrees(e, "cusip", "p").withColumn("p", F.col("p").cast("bigint"))
 
 
-@query("degree_shares", f", {ED}, dg AS (SELECT cusip, count(*) AS degree FROM ed GROUP BY 1), a AS (SELECT avg(degree) AS a FROM dg, (SELECT 1 FROM buys LIMIT 1)) SELECT round(max(a), 6) AS avg_degree, round(avg((degree > a)::INT), 6) AS above_avg, round(avg((degree > 2 * a)::INT), 6) AS above_twice FROM dg, a")
-def degree_shares(spark: SparkSession, d: str) -> DataFrame:
-    return G.degree_shares(_train(Base(spark, d)), "cusip").select(*rnd("avg_degree", "above_avg", "above_twice"))
-
-
 @query("weight_histogram", """, x AS (SELECT log10(abs(dw)) AS x FROM ch WHERE dw <> 0), e AS (SELECT min(x) AS lo, max(x) AS hi FROM x)
 SELECT CAST(least(floor((x - lo) / ((hi - lo) / 40)), 39) AS BIGINT) AS bin, count(*) AS n FROM x, e GROUP BY 1""")
 def weight_histogram(spark: SparkSession, d: str) -> DataFrame:
     return G.log_histogram(Base(spark, d).ch(), "dw")
 
 
-PAIRS = "pr AS MATERIALIZED (SELECT x.cik AS a, y.cik AS b, count(*) AS common FROM ed x JOIN ed y ON x.cusip = y.cusip AND x.cik <> y.cik GROUP BY 1, 2)"
-ANY = "(SELECT 1 FROM buys LIMIT 1)"
-
-
-@query("fund_projection", f", {ED}, {PAIRS} SELECT a, b, common FROM pr, {ANY}")
-def fund_projection(spark: SparkSession, d: str) -> DataFrame:
-    return G.projection(_train(Base(spark, d)))
-
-
-@query("degree_centrality", f", {ED}, {PAIRS}, n AS (SELECT DISTINCT cik FROM ed, {ANY}) SELECT n.cik, round((SELECT count(*) FROM pr WHERE a = n.cik) / ((SELECT count(*) FROM n) - 1), 6) AS centrality FROM n")
-def degree_centrality(spark: SparkSession, d: str) -> DataFrame:
-    e = _train(Base(spark, d))
-    return G.degree_centrality(G.projection(e), e.select("cik").distinct()).select("cik", *rnd("centrality"))
-
-
-def _rank_sql(rounds: int) -> str:
-    parts = [f"{ED}, {PAIRS}, o AS (SELECT a, sum(common) AS t FROM pr GROUP BY 1), l AS MATERIALIZED (SELECT pr.a, b, common / t AS w FROM pr JOIN o ON o.a = pr.a), c AS (SELECT count(*) AS n FROM o), r0 AS (SELECT a AS node, 1.0 / n AS r FROM o, c)"]
-    for i in range(rounds):
-        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT o.a AS node, 0.15 / n + 0.85 * coalesce(s.s, 0) AS r FROM o CROSS JOIN c LEFT JOIN (SELECT b, sum(w * r) AS s FROM l JOIN r{i} ON r{i}.node = l.a GROUP BY 1) s ON s.b = o.a)")
-    return ", " + ", ".join(parts) + f" SELECT node, round(r, 9) AS rank FROM r{rounds}, {ANY}"
-
-
-def _weighted(b: Base) -> DataFrame:
-    return G.projection(_train(b)).withColumnRenamed("common", "weight")
-
-
-@query("pagerank", _rank_sql(5))
-def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return G.pagerank(_weighted(Base(spark, d)), rounds=5).select("node", *rnd("rank", digits=9))
-
-
-def _hits_sql(rounds: int) -> str:
-    parts = [f"{ED}, {PAIRS}, h0 AS (SELECT DISTINCT a AS node, 1.0 AS h FROM pr)"]
-    for i in range(rounds):
-        parts.append(f"g{i + 1} AS MATERIALIZED (SELECT a, sum(common * h) AS h FROM pr JOIN h{i} ON node = b GROUP BY 1), h{i + 1} AS MATERIALIZED (SELECT a AS node, h / (SELECT sum(h) FROM g{i + 1}) AS h FROM g{i + 1})")
-    return ", " + ", ".join(parts) + f" SELECT node, round(h, 9) AS hub FROM h{rounds}, {ANY}"
-
-
-@query("hits", _hits_sql(5))
-def hits(spark: SparkSession, d: str) -> DataFrame:
-    return G.hits(_weighted(Base(spark, d)), rounds=5).select("node", *rnd("hub", digits=9))
-
-
-def _component_sql(rounds: int) -> str:
-    parts = [f"{ED}, k AS (SELECT 'f:' || cik AS a, 's:' || cusip AS b FROM ed), l AS MATERIALIZED (SELECT a, b FROM k UNION SELECT b, a FROM k), c0 AS (SELECT DISTINCT a AS node, a AS c FROM l)"]
-    for i in range(rounds):
-        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT x.node, least(x.c, min(y.c)) AS c FROM c{i} x JOIN l ON l.a = x.node JOIN c{i} y ON y.node = l.b GROUP BY x.node, x.c)")
-    return ", " + ", ".join(parts) + f" SELECT node, c AS component FROM c{rounds}, {ANY}"
-
-
-@query("components", _component_sql(12))
-def components(spark: SparkSession, d: str) -> DataFrame:
-    return G.components(_train(Base(spark, d)))
-
-
-@query("communities")
-def communities(spark: SparkSession, d: str) -> DataFrame:
-    return G.communities(_weighted(Base(spark, d)))
-
-
-@query("closeness")
-def closeness(spark: SparkSession, d: str) -> DataFrame:
-    e = _train(Base(spark, d))
-    return G.closeness(G.projection(e), e.select(F.col("cik").alias("node")))
-
-
-def _rev2_sql(rounds: int) -> str:
-    parts = [f"e AS MATERIALIZED (SELECT cik, cusip, greatest(least(avg(dw), 1), -1) AS w FROM ch WHERE dw IS NOT NULL AND p = {TEST} GROUP BY 1, 2), f0 AS (SELECT DISTINCT cik, 0.5 AS f FROM e), g0 AS (SELECT DISTINCT cusip, 0.0 AS g FROM e)"]
-    for i in range(rounds):
-        parts.append(f"r{i} AS MATERIALIZED (SELECT e.*, (f + (1 - abs(w - g) / 2)) / 2 AS r FROM e JOIN f{i} USING (cik) JOIN g{i} USING (cusip)), f{i + 1} AS (SELECT cik, avg(r) AS f FROM r{i} GROUP BY 1), g{i + 1} AS (SELECT cusip, avg(r * w) AS g FROM r{i} GROUP BY 1)")
-    return ", " + ", ".join(parts) + f" SELECT cusip, round(g, 9) + 0.0 AS goodness FROM g{rounds}, (SELECT 1 FROM ch LIMIT 1)"
-
-
-def _signed(b: Base) -> DataFrame:
-    return b.ch().filter(F.col("dw").isNotNull() & (F.col("p") == TEST)).groupBy("cik", "cusip").agg(F.avg("dw").alias("w"))
-
-
-@query("rev2_goodness", _rev2_sql(4))
-def rev2_goodness(spark: SparkSession, d: str) -> DataFrame:
-    return G.rev2(_signed(Base(spark, d)), rounds=4, tolerance=0)[1].select("cusip", (F.round("g", 9) + 0.0).alias("goodness"))
-
-
-@query("goodness_baseline", f"SELECT cusip, round(avg(dw), 9) + 0.0 AS g FROM ch WHERE dw IS NOT NULL AND p = {TEST} GROUP BY 1")
-def goodness_baseline(spark: SparkSession, d: str) -> DataFrame:
-    return Base(spark, d).ch().filter(F.col("dw").isNotNull() & (F.col("p") == TEST)).groupBy("cusip").agg((F.round(F.avg("dw"), 9) + 0.0).alias("g"))
-
-
 @query("tertile_labels", ", c AS (SELECT p, quantile_cont(log_return, 1.0::DOUBLE / 3) AS t1, quantile_cont(log_return, 2.0::DOUBLE / 3) AS t2 FROM ret WHERE log_return IS NOT NULL GROUP BY 1) SELECT cusip, CAST(ret.p AS BIGINT) AS p, CASE WHEN log_return <= t1 THEN 0 WHEN log_return <= t2 THEN 1 ELSE 2 END AS label FROM ret JOIN c ON c.p = ret.p WHERE log_return IS NOT NULL")
 def tertile_labels(spark: SparkSession, d: str) -> DataFrame:
     r = Base(spark, d).ret().filter("log_return IS NOT NULL")
@@ -160,63 +45,12 @@ def median_labels(spark: SparkSession, d: str) -> DataFrame:
     return r.join(c, "p").select("cusip", *big("p"), (F.col("log_return") > F.col("m")).cast("int").alias("label"))
 
 
-def _z_sql(cols: list[str], source: str) -> str:
-    med = ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in cols)
-    fill = ", ".join(f"coalesce(s.{c}, m.{c}) AS {c}" for c in cols)
-    st = ", ".join(f"avg({c}) AS {c}_a, stddev_samp({c}) AS {c}_s" for c in cols)
-    z = ", ".join(f"round(CASE WHEN coalesce({c}_s, 0) = 0 THEN 0 ELSE ({c} - {c}_a) / {c}_s END, 6) + 0.0 AS {c}" for c in cols)
-    return f"src AS ({source}), m AS (SELECT {med} FROM src), fl AS (SELECT s.cusip, {fill} FROM src s, m), st AS (SELECT {st} FROM fl), zs AS (SELECT cusip, {z} FROM fl, st)"
-
-
-@query("zscore_features", ", " + _z_sql(RATIOS, f"SELECT * FROM fd WHERE p = {TEST}") + " SELECT * FROM zs")
-def zscore_features(spark: SparkSession, d: str) -> DataFrame:
-    f = Base(spark, d).fd().filter(F.col("p") == TEST)
-    return G.zscores(f, RATIOS).select("cusip", *rnd(*RATIOS))
-
-
 @query("profitability", "SELECT nh.cik, CAST(nh.p AS BIGINT) AS p, round(sum(weight * log_return), 6) + 0.0 AS profit FROM nh JOIN ret ON ret.cusip = nh.cusip AND ret.p = nh.p + 1 GROUP BY 1, 2")
 def profitability(spark: SparkSession, d: str) -> DataFrame:
     b = Base(spark, d)
     return G.profitability(b.nh(), b.ret()).select("cik", *big("p"), *rnd("profit"))
 
 
-FUND = f"""SELECT coalesce(a.cik, n.cik) AS cusip, ln(greatest(coalesce(a.total, (SELECT quantile_cont(total, 0.5) FROM aum WHERE p = {TEST})), 1)) AS log_aum, coalesce(n.n, 0) AS n_holdings, coalesce(f.profit, 0) AS profit
-  FROM (SELECT * FROM aum WHERE p = {TEST}) a FULL JOIN (SELECT cik, count(*) AS n FROM te GROUP BY 1) n ON n.cik = a.cik
-  LEFT JOIN (SELECT nh.cik, sum(weight * log_return) AS profit FROM nh JOIN ret ON ret.cusip = nh.cusip AND ret.p = nh.p + 1 WHERE nh.p = {TEST - 1} GROUP BY 1) f ON f.cik = coalesce(a.cik, n.cik)"""
-
-
-@query("node_features", f", {ED}, " + _z_sql(["log_aum", "n_holdings", "profit"], FUND) + f" SELECT e.cik, coalesce(log_aum, 0) AS log_aum, coalesce(n_holdings, 0) AS n_holdings, coalesce(profit, 0) AS profit FROM (SELECT DISTINCT cik FROM te) e LEFT JOIN zs ON zs.cusip = e.cik, {ANY}")
-def node_features(spark: SparkSession, d: str) -> DataFrame:
-    b = Base(spark, d).kept()
-    te = _test(b)
-    aum = b.aum().filter(F.col("p") == TEST).select("cik", "total")
-    med = aum.agg(F.median("total")).scalar()
-    n = te.groupBy("cik").agg(F.count(F.lit(1)).alias("n"))
-    prof = G.profitability(b.nh().filter(F.col("p") == TEST - 1), b.ret()).select("cik", "profit")
-    f = aum.join(n, "cik", "full_outer").join(prof, "cik", "left")
-    f = f.select("cik", F.ln(F.greatest(F.coalesce("total", med), F.lit(1.0))).alias("log_aum"), F.coalesce("n", F.lit(0)).cast("double").alias("n_holdings"), F.coalesce("profit", F.lit(0.0)).alias("profit"))
-    cols = ["log_aum", "n_holdings", "profit"]
-    z = G.zscores(f, cols).select("cik", *rnd(*cols))
-    return te.select("cik").distinct().join(z, "cik", "left").select("cik", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in cols])
-
-
-@query("edge_attr", f""", {ED}, x AS (SELECT b.cik, b.cusip, b.dw * ln(greatest(a.total, 1)) AS x FROM (SELECT cik, cusip, max(dw) AS dw FROM buys WHERE p = {TEST} GROUP BY 1, 2) b JOIN aum a ON a.cik = b.cik AND a.p = {TEST}),
-s AS (SELECT avg(x) AS m, stddev_pop(x) AS s FROM x) SELECT cik, cusip, round((x - m) / s, 6) + 0.0 AS attr FROM x, s""")
-def edge_attr(spark: SparkSession, d: str) -> DataFrame:
-    b = Base(spark, d)
-    e = b.buys().filter(F.col("p") == TEST).groupBy("cik", "cusip").agg(F.max("dw").alias("dw"))
-    x = e.join(b.aum().filter(F.col("p") == TEST), "cik").select("cik", "cusip", (F.col("dw") * F.ln(F.greatest("total", F.lit(1.0)))).alias("x"))
-    s = x.agg(F.struct(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).alias("s")).scalar()
-    return x.withColumn("s", s).select("cik", "cusip", (F.round((F.col("x") - F.col("s.m")) / F.col("s.s"), 6) + 0.0).alias("attr"))
-
-
-@query("temporal_stack", f"SELECT cusip, count(DISTINCT CASE WHEN p = {FIRST} THEN cik END) AS slot_0, count(DISTINCT CASE WHEN p = {FIRST + 1} THEN cik END) AS slot_1, count(DISTINCT CASE WHEN p = {FIRST + 2} THEN cik END) AS slot_2 FROM buys WHERE p BETWEEN {FIRST} AND {LASTQ} GROUP BY 1")
-def temporal_stack(spark: SparkSession, d: str) -> DataFrame:
-    e = Base(spark, d).buys().filter(F.col("p").between(FIRST, LASTQ)).select("cusip", "cik", "p").distinct()
-    slots = e.withColumn("slot", F.concat(F.lit("slot_"), F.col("p") - FIRST)).groupBy("cusip").pivot("slot", ["slot_0", "slot_1", "slot_2"]).agg(F.count(F.lit(1)))
-    return slots.fillna(0)
-
-
 @query("available_pairs", "SELECT CAST(p AS BIGINT) AS p, CAST(p + 1 AS BIGINT) AS next_p FROM (SELECT DISTINCT p FROM buys) WHERE p + 1 IN (SELECT p FROM buys) AND p - 1 IN (SELECT p FROM buys)")
 def available_pairs(spark: SparkSession, d: str) -> DataFrame:
     q = Base(spark, d).buys().select("p").distinct()
@@ -224,37 +58,6 @@ def available_pairs(spark: SparkSession, d: str) -> DataFrame:
     return q.join(nxt, "p", "left_semi").join(prev, "p", "left_semi").select(*big("p"), (F.col("p") + 1).cast("bigint").alias("next_p"))
 
 
-@query("propagate_two_layers", f""", {ED}, k AS (SELECT 'f:' || cik AS a, 's:' || cusip AS b FROM ed), l0 AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k), dg AS (SELECT a, count(*) AS d FROM l0 GROUP BY 1),
-l AS MATERIALIZED (SELECT l0.a, l0.b, 1 / sqrt(x.d * y.d) AS n FROM l0 JOIN dg x ON x.a = l0.a JOIN dg y ON y.a = l0.b), x0 AS (SELECT a AS node, CAST(d AS DOUBLE) AS x FROM dg),
-x1 AS (SELECT a AS node, sum(n * x) AS x FROM l JOIN x0 ON node = b GROUP BY 1), x2 AS (SELECT a AS node, sum(n * x) AS x FROM l JOIN x1 ON node = b GROUP BY 1)
-SELECT node, round((x0.x + x1.x + x2.x) / 3, 6) AS x FROM x0 JOIN x1 USING (node) JOIN x2 USING (node), {ANY}""")
-def propagate_two_layers(spark: SparkSession, d: str) -> DataFrame:
-    e = _train(Base(spark, d))
-    f = e.select(F.concat(F.lit("f:"), "cik").alias("node")).union(e.select(F.concat(F.lit("s:"), "cusip"))).groupBy("node").agg(F.count(F.lit(1)).cast("double").alias("x"))
-    return G.propagate(e, f, layers=2).select("node", *rnd("x"))
-
-
-@query("sage_aggregate", f", {ED} SELECT ed.cik, round(avg(price), 6) AS price FROM ed JOIN px ON px.cusip = ed.cusip AND px.p = {LASTQ}, {ANY} GROUP BY 1")
-def sage_aggregate(spark: SparkSession, d: str) -> DataFrame:
-    b = Base(spark, d)
-    return G.sage_mean(_train(b), b.px().filter(F.col("p") == LASTQ).select("cusip", "price"), "cik", "cusip", ["price"]).select("cik", *rnd("price"))
-
-
-HASH = "((({0}) * 7919) % 1000003)"
-NUM = "CAST(right(cik, 7) AS BIGINT)"
-
-
-@query("neighbour_sample", f", {ED} SELECT cik, cusip FROM (SELECT cik, cusip, row_number() OVER (PARTITION BY cusip ORDER BY {HASH.format(f'{NUM} * 31 + 5')}, cik) AS rn FROM ed, {ANY}) WHERE rn <= 10")
-def neighbour_sample(spark: SparkSession, d: str) -> DataFrame:
-    order = L.hash_order(5, F.substring("cik", 4, 7).cast("bigint"))
-    return G.sample_neighbours(_train(Base(spark, d)), "cusip", "cik", 10, order).select("cik", "cusip")
-
-
-@query("node_numbers", f", {ED} SELECT cik, row_number() OVER (ORDER BY cik) - 1 AS id FROM (SELECT DISTINCT cik FROM ed, {ANY})")
-def node_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return G.number_nodes(_train(Base(spark, d)), "cik").select("cik", *big("id"))
-
-
 # ---------------------------------------------------------------- link prediction
 
 
@@ -264,192 +67,6 @@ def window_splits(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.col("window").cast("bigint").alias("win"), *big("p"), "role")
 
 
-SHARED = "sh AS MATERIALIZED (SELECT * FROM te WHERE cik IN (SELECT cik FROM ed) AND cusip IN (SELECT cusip FROM ed))"
-
-
-@query("shared_universe", f", {ED}, {SHARED} SELECT count(DISTINCT cik) AS funds, count(DISTINCT cusip) AS stocks, count(*) AS edges FROM sh, {ANY}")
-def shared_universe(spark: SparkSession, d: str) -> DataFrame:
-    b = Base(spark, d)
-    return L.shared(_test(b), _train(b)).agg(F.count_distinct("cik").alias("funds"), F.count_distinct("cusip").alias("stocks"), F.count(F.lit(1)).alias("edges"))
-
-
-@query("target_pairs", f", {ED}, {SHARED} SELECT cik, cusip FROM sh, {ANY}")
-def target_pairs(spark: SparkSession, d: str) -> DataFrame:
-    b = Base(spark, d)
-    return L.shared(_test(b), _train(b)).select("cik", "cusip")
-
-
-@query("new_edges", f", {ED}, {SHARED} SELECT cik, cusip FROM sh, {ANY} WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.cik = sh.cik AND ed.cusip = sh.cusip)")
-def new_edges(spark: SparkSession, d: str) -> DataFrame:
-    b = Base(spark, d)
-    e = _train(b)
-    return L.new_edges(L.shared(_test(b), e), e).select("cik", "cusip")
-
-
-NEG = f"""na AS (SELECT cik, row_number() OVER (ORDER BY cik) - 1 AS a FROM (SELECT DISTINCT cik FROM ed)), nb AS MATERIALIZED (SELECT cusip, row_number() OVER (ORDER BY cusip) - 1 AS b FROM (SELECT DISTINCT cusip FROM ed)),
-cand AS (SELECT DISTINCT cik, {HASH.format('a * 31 + t * 17 + 7')} % (SELECT count(*) FROM nb) AS b FROM na, (SELECT unnest(range(4)) AS t)),
-ng AS MATERIALIZED (SELECT cik, cusip FROM cand JOIN nb USING (b) WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.cik = cand.cik AND ed.cusip = nb.cusip) AND NOT EXISTS (SELECT 1 FROM te WHERE te.cik = cand.cik AND te.cusip = nb.cusip))"""
-
-
-def _negatives(b: Base, e: DataFrame) -> DataFrame:
-    na = G.number_nodes(e, "cik").withColumnRenamed("id", "a")
-    nb = G.number_nodes(e, "cusip").withColumnRenamed("id", "b")
-    return L.negatives(na, nb, e.union(_test(b)).distinct(), 4, 7)
-
-
-@query("negatives", f", {ED}, {NEG} SELECT cik, cusip FROM ng, {ANY}")
-def negatives(spark: SparkSession, d: str) -> DataFrame:
-    b = Base(spark, d)
-    return _negatives(b, _train(b)).select("cik", "cusip")
-
-
-LETTERS = " + ".join(f"ascii(substr(cusip, {i}, 1)) * {7 * i + 1}" for i in range(1, 10))  # a number of any cusip
-SPLIT = f"""o AS (SELECT cik, cusip, row_number() OVER (ORDER BY {HASH.format(NUM + " * 31 + (" + LETTERS + ") * 17 + 3")}, cik, cusip) - 1 AS i FROM ed),
-n AS (SELECT count(*) AS n FROM o), sp AS MATERIALIZED (SELECT cik, cusip, CASE WHEN i < floor(n * 0.8) THEN 'train' WHEN i < floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS part FROM o, n)"""
-
-
-def _split(b: Base) -> DataFrame:
-    return L.split(_train(b), L.hash_order(3, F.substring("cik", 4, 7).cast("bigint"), F.expr(LETTERS).cast("bigint")))
-
-
-@query("split_80_10_10", f", {ED}, {SPLIT} SELECT cik, cusip, part FROM sp, {ANY}")
-def split_80_10_10(spark: SparkSession, d: str) -> DataFrame:
-    return _split(Base(spark, d))
-
-
-@query("split_repair", f", {ED}, {SPLIT} SELECT cik, cusip, CASE WHEN cik IN (SELECT cik FROM sp WHERE part = 'train') AND cusip IN (SELECT cusip FROM sp WHERE part = 'train') THEN part ELSE 'train' END AS part FROM sp, {ANY}")
-def split_repair(spark: SparkSession, d: str) -> DataFrame:
-    return L.repair_split(_split(Base(spark, d)))
-
-
-EVAL = f"{ED}, {SHARED}, {NEG}, ev AS MATERIALIZED (SELECT cik, cusip, 1 AS label FROM sh UNION ALL SELECT cik, cusip, 0 FROM ng)"
-DEG = "df AS (SELECT cik, count(*) AS d FROM ed GROUP BY 1), ds AS (SELECT cusip, count(*) AS d FROM ed GROUP BY 1)"
-
-
-def _eval(b: Base, e: DataFrame) -> DataFrame:
-    pos = L.shared(_test(b), e).select("cik", "cusip").withColumn("label", F.lit(1))
-    return pos.unionByName(_negatives(b, e).select("cik", "cusip").withColumn("label", F.lit(0)))
-
-
-AA = f"""{EVAL}, {PAIRS}, {DEG}, aw AS (SELECT cik, CASE WHEN d > 1 THEN 1 / ln(d) ELSE 0 END AS w FROM df),
-raw AS MATERIALIZED (SELECT ev.cik, ev.cusip, ev.label, coalesce(sum(common * w), 0) AS raw FROM ev LEFT JOIN ed x ON x.cusip = ev.cusip AND x.cik <> ev.cik LEFT JOIN pr ON pr.a = ev.cik AND pr.b = x.cik LEFT JOIN aw ON aw.cik = x.cik GROUP BY 1, 2, 3)"""
-JC = f"""{EVAL}, {PAIRS}, {DEG}, j AS (SELECT a, b, common / (x.d + y.d - common) AS j FROM pr JOIN df x ON x.cik = a JOIN df y ON y.cik = b),
-raw AS MATERIALIZED (SELECT ev.cik, ev.cusip, ev.label, CASE WHEN count(x.cik) = 0 THEN 0 ELSE coalesce(sum(j), 0) / count(x.cik) END AS raw FROM ev LEFT JOIN ed x ON x.cusip = ev.cusip AND x.cik <> ev.cik LEFT JOIN j ON j.a = ev.cik AND j.b = x.cik GROUP BY 1, 2, 3)"""
-PA = f"{EVAL}, {DEG}, raw AS MATERIALIZED (SELECT ev.cik, ev.cusip, ev.label, CAST(coalesce(df.d, 0) * coalesce(ds.d, 0) AS DOUBLE) AS raw FROM ev LEFT JOIN df ON df.cik = ev.cik LEFT JOIN ds ON ds.cusip = ev.cusip)"
-SCORE = f" SELECT cik, cusip, round(raw / (SELECT max(raw) FROM raw), 6) AS score FROM raw, {ANY}"
-
-
-@query("adamic_adar", f", {AA}{SCORE}")
-def adamic_adar(spark: SparkSession, d: str) -> DataFrame:
-    b = Base(spark, d)
-    e = _train(b)
-    return L.adamic_adar(_eval(b, e), e).select("cik", "cusip", *rnd("score"))
-
-
-@query("jaccard_link", f", {JC}{SCORE}")
-def jaccard_link(spark: SparkSession, d: str) -> DataFrame:
-    b = Base(spark, d)
-    e = _train(b)
-    return L.jaccard(_eval(b, e), e).select("cik", "cusip", *rnd("score"))
-
-
-@query("pref_attachment", f", {PA}{SCORE}")
-def pref_attachment(spark: SparkSession, d: str) -> DataFrame:
-    b = Base(spark, d)
-    e = _train(b)
-    return L.preferential(_eval(b, e), e).select("cik", "cusip", *rnd("score"))
-
-
-@query("persistence", f", {EVAL} SELECT cik, cusip, CAST(EXISTS (SELECT 1 FROM buys WHERE buys.cik = ev.cik AND buys.cusip = ev.cusip AND p = {LASTQ}) AS DOUBLE) AS score FROM ev")
-def persistence(spark: SparkSession, d: str) -> DataFrame:
-    b = Base(spark, d)
-    return L.persistence(_eval(b, _train(b)), b.buys().filter(F.col("p") == LASTQ))
-
-
-@query("popularity", f", n AS (SELECT cusip, count(*) AS n FROM (SELECT DISTINCT p, cik, cusip FROM buys WHERE p BETWEEN {FIRST} AND {LASTQ}) GROUP BY 1) SELECT cusip, n, round(n / (SELECT max(n) FROM n), 6) AS prob, n >= (SELECT quantile_cont(n, 0.9) FROM n) AS popular FROM n")
-def popularity(spark: SparkSession, d: str) -> DataFrame:
-    return L.popularity(Base(spark, d).buys().filter(F.col("p").between(FIRST, LASTQ))).select("cusip", "n", *rnd("prob"), "popular")
-
-
-# ---------------------------------------------------------------- metrics of the scores
-
-
-def _scored(b: Base) -> DataFrame:
-    e = _train(b)
-    ev = _eval(b, e)
-    s = L.preferential(ev, e).select("cik", "cusip", (F.col("score")).alias("score"))
-    return ev.join(s, ["cik", "cusip"])
-
-
-SC = f"{PA}, sc AS MATERIALIZED (SELECT cik, cusip, label, raw / (SELECT max(raw) FROM raw) AS score FROM raw)"
-
-
-@query("auc", f", {SC}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rk FROM sc) SELECT round((sum(rk * label) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * sum(1 - label)), 6) AS auc FROM r, {ANY}")
-def auc(spark: SparkSession, d: str) -> DataFrame:
-    return M.auc(_scored(Base(spark, d))).select(*rnd("auc"))
-
-
-CURVE = f"{SC}, lv AS (SELECT score, sum(label) AS pos, count(*) AS c FROM sc, {ANY} GROUP BY 1), cv AS (SELECT score, pos, sum(pos) OVER w / sum(c) OVER w AS pre, sum(pos) OVER w / (SELECT sum(pos) FROM lv) AS rec FROM lv WINDOW w AS (ORDER BY score DESC))"
-
-
-@query("avg_precision", f", {CURVE} SELECT round(sum(pre * pos) / sum(pos), 6) AS ap FROM cv")
-def avg_precision(spark: SparkSession, d: str) -> DataFrame:
-    return M.average_precision(_scored(Base(spark, d))).select(*rnd("ap"))
-
-
-@query("best_f1", f", {CURVE}, f AS (SELECT score, round(CASE WHEN pre + rec > 0 THEN 2 * pre * rec / (pre + rec) ELSE 0 END, 12) AS f1, pre, rec FROM cv) SELECT round(f1, 6) AS f1, round(score, 9) AS threshold, round(pre, 6) AS precision, round(rec, 6) AS recall FROM f ORDER BY f.f1 DESC, f.score LIMIT 1")
-def best_f1(spark: SparkSession, d: str) -> DataFrame:
-    return M.best_f1(_scored(Base(spark, d))).select(*rnd("f1"), *rnd("threshold", digits=9), *rnd("precision", "recall"))
-
-
-@query("precision_recall_at", f", {SC} SELECT round(sum(CASE WHEN score >= 0.05 THEN label ELSE 0 END) / sum(CASE WHEN score >= 0.05 THEN 1 ELSE 0 END), 6) AS precision, round(sum(CASE WHEN score >= 0.05 THEN label ELSE 0 END) / sum(label), 6) AS recall FROM sc, {ANY}")
-def precision_recall_at(spark: SparkSession, d: str) -> DataFrame:
-    return M.at_threshold(_scored(Base(spark, d)), 0.05).select(*rnd("precision", "recall"))
-
-
-def _ndcg_sql(ks: tuple[int, ...]) -> str:
-    per = ", ".join(f"max(CASE WHEN rn <= {k} AND label = 1 THEN 1.0 ELSE 0 END) AS h{k}, sum(CASE WHEN rn <= {k} AND label = 1 THEN 1 / log2(rn + 1) ELSE 0 END) / list_sum(list_transform(range(1, least({k}, max(np)) + 1), lambda x: 1 / log2(x + 1))) AS n{k}" for k in ks)
-    out = ", ".join(f"round(avg(h{k}), 6) AS hit_{k}, round(avg(n{k}), 6) AS ndcg_{k}" for k in ks)
-    return f", {SC}, rr AS (SELECT cik, label, row_number() OVER (PARTITION BY cik ORDER BY score DESC, cusip) AS rn, CAST(sum(label) OVER (PARTITION BY cik) AS BIGINT) AS np FROM sc), pg AS (SELECT cik, {per} FROM rr WHERE np > 0 GROUP BY 1) SELECT {out}, count(*) AS groups FROM pg, {ANY}"
-
-
-@query("hit_ndcg", _ndcg_sql((5, 10)))
-def hit_ndcg(spark: SparkSession, d: str) -> DataFrame:
-    got = M.hit_ndcg(_scored(Base(spark, d)), "cik", "cusip", [5, 10])
-    return got.select(*rnd("hit_5", "ndcg_5", "hit_10", "ndcg_10"), "groups")
-
-
-@query("top_k_per_fund", f", {SC} SELECT cik, cusip, rn AS rank FROM (SELECT cik, cusip, row_number() OVER (PARTITION BY cik ORDER BY score DESC, cusip) AS rn FROM sc, {ANY}) WHERE rn <= 3")
-def top_k_per_fund(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window as W
-
-    order = [F.desc("score"), F.col("cusip")]
-    s = _scored(Base(spark, d))
-    few = s.withColumn("r", F.row_number().over(W.partitionBy("cik", F.pmod(F.xxhash64("cusip"), F.lit(32))).orderBy(*order))).filter("r <= 3")
-    return few.withColumn("rank", F.row_number().over(W.partitionBy("cik").orderBy(*order)).cast("bigint")).filter("rank <= 3").select("cik", "cusip", "rank")
-
-
-@query("learned_baselines")
-def learned_baselines(spark: SparkSession, d: str) -> DataFrame:
-    """Area under the curve of the classifiers on held-out pairs, with degrees and three scores as features."""
-    from quarterloom.operators.baselines import fit_and_score
-    from quarterloom.session import written
-
-    b = Base(spark, d)
-    e = written(_train(b), "edges")
-    ev = written(_eval(b, e), "pairs")
-    f = ev
-    for n, s in (("aa", L.adamic_adar(ev, e)), ("jc", L.jaccard(ev, e)), ("pa", L.preferential(ev, e))):
-        f = f.join(s.select("cik", "cusip", F.col("score").alias(n)), ["cik", "cusip"])
-    f = written(f.withColumn("part", F.pmod(F.xxhash64("cik", "cusip"), F.lit(5))), "features")
-    got = None
-    for kind in ("logistic", "boosted", "perceptron"):
-        scored = fit_and_score(f.filter("part > 0"), f.filter("part = 0"), ["aa", "jc", "pa"], kind)
-        one = M.auc(scored).select(F.lit(kind).alias("model"), *rnd("auc"))
-        got = one if got is None else got.unionByName(one)
-    return got
-
-
 @query("min_max_weights", "SELECT cik, cusip, CAST(p AS BIGINT) AS p, round(CASE WHEN hi = lo THEN 1 ELSE (dw - lo) / (hi - lo) END, 6) AS scaled FROM buys JOIN (SELECT p, min(dw) AS lo, max(dw) AS hi FROM buys GROUP BY 1) USING (p)")
 def min_max_weights(spark: SparkSession, d: str) -> DataFrame:
     """Per quarter; a quarter without variation gives 1."""
