@@ -17,7 +17,7 @@ from quarterloom.session import discard, written
 
 CUT_EVERY = 3
 #: Sources of one row of the breadth-first search, in words of 64.
-BLOCK = 1024
+BLOCK = 256
 
 
 def edges(rows: DataFrame, left: str = "cik", right: str = "cusip") -> DataFrame:
@@ -200,7 +200,7 @@ def _spread(links: DataFrame, front: DataFrame) -> DataFrame:
 
 def degree_centrality(e: DataFrame, per: Column | None = None) -> DataFrame:
     """(node, centrality): a node's neighbours in the projection over the number of other nodes (with ``per``, an
-    expression of ``node``, of its group). Neighbours are counted as bits in blocks of 1,024 nodes, so no pairs are formed."""
+    expression of ``node``, of its group). Neighbours are counted as bits in blocks of 256 nodes, so no pairs are formed."""
     links, ids, own = _sources(e)
     d = _spread(links, own).groupBy("f").agg((F.sum(sum((F.bit_count(f"b{i}") for i in _WORDS), F.lit(0))) - 1).alias("d"))
     nodes = ids.withColumn("per", F.lit(0) if per is None else per)
@@ -213,7 +213,7 @@ def closeness(e: DataFrame, per: Column | None = None) -> DataFrame:
     largest component of n nodes (the one with the least node on ties), 0 for the others.
     With ``per``, an expression of ``node``, each such group of nodes has a largest component.
 
-    All nodes are sources at once: a row holds, for a node and a block of 1,024 sources, one bit per
+    All nodes are sources at once: a row holds, for a node and a block of 256 sources, one bit per
     source that has reached it. A level is a bitwise OR over each security and back, repeated until no
     bit is new. As neighbours are mutual, the bits of a node also count what it reaches itself.
     """

@@ -172,33 +172,63 @@ def _cells(
         *[F.first(f, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias(f"__lead_{f}") for f in names],
         *[F.collect_list(f).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias(f"__all_{f}") for f in names],
     )
-    cells = cells.select(
+    cells = cells.select("*", *[F.sort_array(f"__all_{f}").alias(f"__sorted_{f}") for f in names]).select(
         *one.columns, *[F.col(f"__last_{f}.p").alias(f"{f}_from") for f in names], *[F.col(f"__last_{f}.v").alias(f"__lag_{f}") for f in names], *[f"__lead_{f}" for f in names],
-        *[_median_of_others(F.sort_array(f"__all_{f}"), F.col(f)).alias(f"__mid_{f}") for f in names], F.pmod(F.xxhash64(entity, period), F.lit(2**31)).alias("__hash"),
+        *[_median_of_others(F.col(f"__sorted_{f}"), F.col(f)).alias(f"__mid_{f}") for f in names], F.pmod(F.xxhash64(entity, period), F.lit(2**31)).alias("__hash"),
     )
     cells = written(cells, "cells")
 
     near = [*[f"__lag_{f}" for f in names], *[f"__lead_{f}" for f in names]]
     columns = [*names, *context, *near]
     anchors = {c: f"__mid_{f}" for f in names for c in (f, f"__lag_{f}", f"__lead_{f}")}
-    bent = cells.select(*[F.asinh(c).alias(c) for c in dict.fromkeys([*columns, *anchors.values()])])
-    stat = bent.agg(*[x for c in columns for x in (
-        F.avg(c), F.stddev_pop(c), F.min(c), F.max(c), F.stddev_pop(F.col(c) - F.col(anchors[c])) if c in anchors else F.lit(None).cast("double")
-    )]).first()
-    at = lambda k, other: np.array([stat[5 * i + k] or other for i in range(len(columns))], float)
-    low, high = ([None if (x := stat[5 * i + k]) is None else float(np.sinh(x)) for i in range(len(columns))] for k in (2, 3))
+    mean, sd, low, high, step = _statistics(cells, columns, anchors)
     levels = {}
     for c in cats:
         found = cells.select(c).filter(F.col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
         if len(found) > MAX_LEVELS:
             raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
         levels[c] = sorted(r[0] for r in found)
-    model = _Factors(names, _Cells(columns, anchors, at(0, 0.0), at(1, 1.0), at(4, 1.0), levels, weight=0.5), low, high, reg, np.zeros((0, rank)), np.zeros(len(names)))
+    model = _Factors(names, _Cells(columns, anchors, mean, sd, step, levels, weight=0.5), low, high, reg, np.zeros((0, rank)), np.zeros(len(names)))
     model.factors = _fit(cells, model, rank, rounds, seed)
     model.belief = _calibrate(cells, model)
     return cells, model
 
 
+def _statistics(cells: DataFrame, columns: list[str], anchors: dict[str, str]) -> tuple[np.ndarray, np.ndarray, list, list, np.ndarray]:
+    """Of every column, in one pass: mean and sd of its asinh (0 and 1 without values or variation), its least and greatest value
+    (None without values), and the sd of the asinh's distance from its anchor (else 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, lo, hi = np.zeros((len(columns), 6)), np.full(len(columns), np.inf), np.full(len(columns), -np.inf)
+        for b in batches:
+            for j, c in enumerate(columns):
+                v = b.column(b.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                x = np.arcsinh(v[np.isfinite(v)])
+                s[j, :3] += len(x), x.sum(), (x * x).sum()
+                lo[j], hi[j] = min(lo[j], v[np.isfinite(v)].min(initial=np.inf)), max(hi[j], v[np.isfinite(v)].max(initial=-np.inf))
+                if c in anchors:
+                    a = b.column(b.schema.get_field_index(anchors[c])).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                    ok = np.isfinite(v) & np.isfinite(a)
+                    d = np.arcsinh(v[ok]) - np.arcsinh(a[ok])
+                    s[j, 3:] += len(d), d.sum(), (d * d).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(columns))), *map(pa.array, s.T), pa.array(lo), pa.array(hi)], ["i", *[f"s{i}" for i in range(6)], "lo", "hi"])
+
+    sums, low, high = np.zeros((len(columns), 6)), [None] * len(columns), [None] * len(columns)
+    got = cells.mapInArrow(run, "i long, " + ", ".join(f"s{i} double" for i in range(6)) + ", lo double, hi double")
+    for r in got.groupBy("i").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(6)], F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect():
+        sums[r["i"]] = [r[f"s{i}"] for i in range(6)]
+        if r["s0"]:
+            low[r["i"]], high[r["i"]] = r["lo"], r["hi"]
+
+    def spread(n: np.ndarray, x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m = x / np.maximum(n, 1)
+        v = q / np.maximum(n, 1) - m * m
+        return m, np.where(v > 1e-12, np.sqrt(np.maximum(v, 0)), 1.0)
+
+    mean, sd = spread(*sums[:, :3].T)
+    return mean, sd, low, high, spread(*sums[:, 3:].T)[1]
+
+
 def _gather(cells: DataFrame, one: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
     """The sum of what ``one`` gives for every batch."""
 

@@ -61,10 +61,10 @@ def growth(aum: DataFrame) -> DataFrame:
     return a.select("cik", "aum_log_std", (F.pow(F.col("a1") / F.col("a0"), 1 / years) - 1).alias("aum_cagr"))
 
 
-def profile(w: DataFrame, aum: DataFrame, last: int) -> DataFrame:
-    """The expanding profile of every filer up to a quarter."""
-    h = w.filter((F.col("weight") > 0) & (F.col("p") <= last))
-    a = aum.filter((F.col("total") > 0) & (F.col("p") <= last))
+def profile(w: DataFrame, aum: DataFrame, last: int | None = None) -> DataFrame:
+    """The expanding profile of every filer, up to a quarter if one is given."""
+    upto = F.lit(True) if last is None else F.col("p") <= last
+    h, a = w.filter((F.col("weight") > 0) & upto), aum.filter((F.col("total") > 0) & upto)
     per = concentration(h).join(a, ["cik", "p"], "left")
     base = per.groupBy("cik").agg(
         F.count_distinct("p").alias("n_quarters"), F.min("p").alias("first_p"), F.max("p").alias("last_p"), F.avg("total").alias("mean_aum"), F.median("total").alias("median_aum"),

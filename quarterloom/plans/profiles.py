@@ -9,15 +9,13 @@ from quarterloom.operators import profile as P
 from quarterloom.plans.base import Base, big, rnd
 from quarterloom.plans.registry import query
 
-LAST = 8095  # 2023Q4
-
 PER = "per AS (SELECT cik, p, count(*) AS n, sum(weight * weight) AS hhi, sum(CASE WHEN rn <= 5 THEN weight ELSE 0 END) AS top5 FROM (SELECT *, row_number() OVER (PARTITION BY cik, p ORDER BY weight DESC) AS rn FROM nh WHERE weight > 0) GROUP BY 1, 2)"
-CHURN = """s AS (SELECT cik, cusip, p, sum(w1) AS w1, sum(w0) AS w0 FROM (SELECT cik, cusip, p, weight AS w1, 0 AS w0 FROM nh WHERE p <= {0} UNION ALL SELECT cik, cusip, p + 1, 0, weight FROM nh WHERE p <= {0}) GROUP BY 1, 2, 3),
+CHURN = """s AS (SELECT cik, cusip, p, sum(w1) AS w1, sum(w0) AS w0 FROM (SELECT cik, cusip, p, weight AS w1, 0 AS w0 FROM nh UNION ALL SELECT cik, cusip, p + 1, 0, weight FROM nh) GROUP BY 1, 2, 3),
 tv AS (SELECT cik, p, 0.5 * sum(abs(w1 - w0)) AS turnover, count(*) FILTER (WHERE w1 > 0 AND w0 = 0) / nullif(count(*) FILTER (WHERE w1 > 0), 0) AS open_rate, count(*) FILTER (WHERE w1 = 0 AND w0 > 0) / nullif(count(*) FILTER (WHERE w0 > 0), 0) AS close_rate
   FROM s GROUP BY 1, 2 HAVING count(*) FILTER (WHERE w0 > 0) > 0)"""
-DUR = "dur AS (SELECT cik, avg(n) AS avg_holding_duration FROM (SELECT cik, cusip, g, count(*) AS n FROM (SELECT cik, cusip, p - row_number() OVER (PARTITION BY cik, cusip ORDER BY p) AS g FROM nh WHERE p <= {0}) GROUP BY 1, 2, 3) GROUP BY 1)"
-GROW = "gr AS (SELECT cik, stddev_samp(ln(total)) AS aum_log_std, pow(arg_max(total, p) / arg_min(total, p), 1 / greatest(0.25, (max(p) - min(p)) / 4)) - 1 AS aum_cagr FROM aum WHERE total > 0 AND p <= {0} GROUP BY 1)"
-PROFILE = f""", {PER.replace("weight > 0)", f"weight > 0 AND p <= {LAST})")}, {CHURN.format(LAST)}, {DUR.format(LAST)}, {GROW.format(LAST)},
+DUR = "dur AS (SELECT cik, avg(n) AS avg_holding_duration FROM (SELECT cik, cusip, g, count(*) AS n FROM (SELECT cik, cusip, p - row_number() OVER (PARTITION BY cik, cusip ORDER BY p) AS g FROM nh) GROUP BY 1, 2, 3) GROUP BY 1)"
+GROW = "gr AS (SELECT cik, stddev_samp(ln(total)) AS aum_log_std, pow(arg_max(total, p) / arg_min(total, p), 1 / greatest(0.25, (max(p) - min(p)) / 4)) - 1 AS aum_cagr FROM aum WHERE total > 0 GROUP BY 1)"
+PROFILE = f""", {PER}, {CHURN}, {DUR}, {GROW},
 b AS (SELECT per.cik, count(DISTINCT per.p) AS n_quarters, min(per.p) AS first_p, max(per.p) AS last_p, avg(a.total) AS mean_aum, quantile_cont(a.total, 0.5) AS median_aum, avg(n) AS mean_holdings, stddev_samp(n) AS std_holdings, avg(hhi) AS mean_hhi, avg(top5) AS mean_top5
   FROM per LEFT JOIN (SELECT * FROM aum WHERE total > 0) a ON a.cik = per.cik AND a.p = per.p GROUP BY 1),
 c AS (SELECT cik, avg(turnover) AS mean_turnover, stddev_samp(turnover) AS std_turnover, avg(open_rate) AS mean_open_rate, stddev_samp(open_rate) AS std_open_rate, avg(close_rate) AS mean_close_rate, stddev_samp(close_rate) AS std_close_rate FROM tv GROUP BY 1),
@@ -27,7 +25,7 @@ METRICS = ["mean_holdings", "std_holdings", "mean_hhi", "mean_top5", "aum_log_st
 
 def _profile(spark: SparkSession, d: str) -> DataFrame:
     b = Base(spark, d).kept()
-    return P.profile(b.nh(), b.aum(), LAST)
+    return P.profile(b.nh(), b.aum())
 
 
 @query("concentration", f", {PER} SELECT cik, CAST(p AS BIGINT) AS p, n AS n_holdings, round(hhi, 6) AS hhi, round(top5, 6) AS top5 FROM per JOIN (SELECT DISTINCT cik, p FROM nh) USING (cik, p)")
@@ -35,24 +33,24 @@ def concentration(spark: SparkSession, d: str) -> DataFrame:
     return P.concentration(Base(spark, d).nh()).select("cik", *big("p"), "n_holdings", *rnd("hhi", "top5"))
 
 
-@query("turnover", f", {CHURN.format(9999)}, q AS (SELECT 1 FROM nh LIMIT 1) SELECT cik, CAST(p AS BIGINT) AS p, round(turnover, 6) AS turnover, round(open_rate, 6) AS open_rate, round(close_rate, 6) AS close_rate FROM tv")
+@query("turnover", f", {CHURN}, q AS (SELECT 1 FROM nh LIMIT 1) SELECT cik, CAST(p AS BIGINT) AS p, round(turnover, 6) AS turnover, round(open_rate, 6) AS open_rate, round(close_rate, 6) AS close_rate FROM tv")
 def turnover(spark: SparkSession, d: str) -> DataFrame:
     return P.churn(Base(spark, d).nh()).select("cik", *big("p"), *rnd("turnover", "open_rate", "close_rate"))
 
 
-@query("holding_duration", f", {DUR.format(9999)}, q AS (SELECT 1 FROM nh LIMIT 1) SELECT cik, round(avg_holding_duration, 6) AS avg_holding_duration FROM dur")
+@query("holding_duration", f", {DUR}, q AS (SELECT 1 FROM nh LIMIT 1) SELECT cik, round(avg_holding_duration, 6) AS avg_holding_duration FROM dur")
 def holding_duration(spark: SparkSession, d: str) -> DataFrame:
     return P.holding_duration(Base(spark, d).nh()).select("cik", *rnd("avg_holding_duration"))
 
 
-@query("aum_growth", f", {GROW.format(9999)}, q AS (SELECT 1 FROM aum LIMIT 1) SELECT cik, round(aum_log_std, 6) AS aum_log_std, round(aum_cagr, 6) + 0.0 AS aum_cagr FROM gr")
+@query("aum_growth", f", {GROW}, q AS (SELECT 1 FROM aum LIMIT 1) SELECT cik, round(aum_log_std, 6) AS aum_log_std, round(aum_cagr, 6) + 0.0 AS aum_cagr FROM gr")
 def aum_growth(spark: SparkSession, d: str) -> DataFrame:
     return P.growth(Base(spark, d).aum()).select("cik", *rnd("aum_log_std", "aum_cagr"))
 
 
-@query("cik_profile", PROFILE + ", q AS (SELECT 1 FROM aum, nh LIMIT 1) SELECT cik, n_quarters, CAST(first_p AS BIGINT) AS first_p, CAST(last_p AS BIGINT) AS last_p, round(mean_aum + 0.0000131, 3) AS mean_aum, round(median_aum + 0.0000131, 3) AS median_aum, " + ", ".join(f"round({m}, 6) + 0.0 AS {m}" for m in METRICS) + " FROM prof")
+@query("cik_profile", PROFILE + ", q AS (SELECT 1 FROM aum, nh LIMIT 1) SELECT cik, n_quarters, CAST(first_p AS BIGINT) AS first_p, CAST(last_p AS BIGINT) AS last_p, round(round(mean_aum, 4)) AS mean_aum, round(round(median_aum, 4)) AS median_aum, " + ", ".join(f"round({m}, 6) + 0.0 AS {m}" for m in METRICS) + " FROM prof")
 def cik_profile(spark: SparkSession, d: str) -> DataFrame:
-    return _profile(spark, d).select("cik", "n_quarters", *big("first_p", "last_p"), *[F.round(F.col(c) + 0.0000131, 3).alias(c) for c in ("mean_aum", "median_aum")], *rnd(*METRICS))
+    return _profile(spark, d).select("cik", "n_quarters", *big("first_p", "last_p"), *[F.round(F.round(c, 4), 0).alias(c) for c in ("mean_aum", "median_aum")], *rnd(*METRICS))
 
 
 ARCH = """, cut AS (SELECT quantile_cont(mean_turnover, 0.25) AS t0, quantile_cont(mean_turnover, 0.75) AS t1, quantile_cont(avg_holding_duration, 0.75) AS d1, quantile_cont(mean_open_rate, 0.75) AS o1, quantile_cont(mean_hhi, 0.25) AS h0, quantile_cont(mean_hhi, 0.75) AS h1 FROM prof),

@@ -169,7 +169,7 @@ SELECT node, round((x0.x + x1.x + x2.x) / 3, 6) AS x FROM x0 JOIN x1 USING (node
 
 
 ONE["sage_aggregate"] = f""", w AS (SELECT cik, cusip, arg_max(dw, (p, dw)) AS dw FROM buys WHERE p BETWEEN {FIRST} AND {LASTQ} GROUP BY 1, 2)
-SELECT w.cik, round(avg(price), 3) AS price, round(sum(dw * price) / sum(dw), 3) AS weighted_price FROM w JOIN px ON px.cusip = w.cusip AND px.p = {LASTQ}, {ANY} GROUP BY 1"""
+SELECT w.cik, round(avg(price), 9) AS price, round(sum(dw * price) / sum(dw), 9) AS weighted_price FROM w JOIN px ON px.cusip = w.cusip AND px.p = {LASTQ}, {ANY} GROUP BY 1"""
 
 
 HASH = "((({0}) * 7919) % 1000003)"
@@ -416,7 +416,7 @@ def sage_aggregate(spark: SparkSession, d: str) -> DataFrame:
     price = w.base.px().join(F.broadcast(last), "p").select(_name("cusip", "window"), "price", F.col("price").alias("weighted_price"))
     e = G.latest_edges(w.train, "dw")
     plain, weighted = G.sage_mean(e, price, "cik", "cusip", ["price"]), G.sage_mean(e, price, "cik", "cusip", ["weighted_price"], "dw")
-    return _plain(plain.join(weighted, "cik"), "cik").select("win", "cik", *rnd("price", "weighted_price", digits=3))
+    return _plain(plain.join(weighted, "cik"), "cik").select("win", "cik", *rnd("price", "weighted_price", digits=9))
 
 
 @query("two_hop_sample_windows", _over("two_hop_sample", True))

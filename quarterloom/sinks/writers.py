@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterloom.operators.fundamentals import insert_new
@@ -60,16 +60,78 @@ def insert_if_absent(df: DataFrame, path: str, keys: Sequence[str]) -> int:
     return n
 
 
-def replace_atomically(df: DataFrame, path: str) -> None:
-    """Writes beside the table, then renames: readers see the old table or the new one."""
+def replace_table(df: DataFrame, path: str) -> None:
+    """Writes the new table beside the old one, then exchanges them by renaming. If the second renaming fails, the old
+    table is put back. Between the two there is a moment without a table at ``path``: readers that run at the same
+    time use ``write_version``."""
     spark = df.sparkSession
     tmp, old = f"{path}.tmp-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(tmp)
     fs, p = _fs(spark, path)
-    if fs.exists(p):
-        fs.rename(p, _fs(spark, old)[1])
-    fs.rename(_fs(spark, tmp)[1], p)
-    fs.delete(_fs(spark, old)[1], True)
+    new, aside = _fs(spark, tmp)[1], _fs(spark, old)[1]
+    had = fs.exists(p)
+    if had and not fs.rename(p, aside):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(new, p):
+        if had and not fs.rename(aside, p):
+            raise OSError(f"{path} is at {old}: it could be neither replaced nor put back")
+        raise OSError(f"{path} could not be replaced")
+    if had:
+        fs.delete(aside, True)
+
+
+CURRENT = "_current"
+
+
+def write_version(df: DataFrame, path: str) -> str:
+    """A table of versions: every write is a folder of its own under ``path``, and a small pointer file, replaced last, names
+    the one that holds. Readers see the old version or the new one, never none; a failed write changes nothing."""
+    spark = df.sparkSession
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(f"{path}/{name}")
+    spark.createDataFrame([(name,)], "version string").coalesce(1).write.mode("append").parquet(f"{path}/{CURRENT}")
+    return name
+
+
+def read_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version that can be read: a version whose files are damaged or gone is passed over for the one before;
+    None if there is none."""
+    if not exists(spark, f"{path}/{CURRENT}"):
+        return None
+    pointers = spark.read.parquet(f"{path}/{CURRENT}").select("version", F.col("_metadata.file_modification_time").alias("t"))
+    for r in pointers.orderBy(F.desc("t")).collect():  # one row per write of the table
+        try:
+            df = spark.read.parquet(f"{path}/{r['version']}")
+            df.write.format("noop").mode("overwrite").save()
+            return df
+        except Exception:  # noqa: BLE001 - whatever makes it unreadable
+            continue
+    return None
+
+
+def create_table(spark: SparkSession, name: str, like: DataFrame, by: Sequence[str] = ()) -> bool:
+    """Creates a parquet table with the columns of ``like``, partitioned by ``by``, if there is none; whether it did."""
+    if spark.catalog.tableExists(name):
+        return False
+    w = like.limit(0).write.format("parquet")
+    (w.partitionBy(*by) if by else w).saveAsTable(name)
+    return True
+
+
+def create_database(spark: SparkSession, name: str) -> None:
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+
+
+def copy_table(spark: SparkSession, source: str, target: str) -> int:
+    """Copies a table into another, which is replaced; the number of its rows."""
+    spark.table(source).write.mode("overwrite").saveAsTable(target)
+    return spark.table(target).count()
+
+
+def backfill_column(spark: SparkSession, path: str, column: str, value: Column, by: Sequence[str] = ("year", "quarter")) -> None:
+    """Adds or recomputes a column of a partitioned table: written to a new table, which then takes the old one's place."""
+    df = written(spark.read.parquet(path).withColumn(column, value), "backfill")
+    write_partitioned(df, path, by, "replace")
 
 
 def remaining(todo: DataFrame, path: str, keys: Sequence[str], done: Sequence[str] = ()) -> DataFrame:
@@ -111,6 +173,6 @@ def save_best(metrics: DataFrame, payload: DataFrame, path: str, metric: str) ->
         old = spark.read.parquet(f"{path}/metrics").agg(F.max(metric)).first()[0]
         if old is not None and (new is None or new <= old):
             return False
-    replace_atomically(payload, f"{path}/payload")
-    replace_atomically(metrics, f"{path}/metrics")
+    replace_table(payload, f"{path}/payload")
+    replace_table(metrics, f"{path}/metrics")
     return True

@@ -35,7 +35,8 @@ def _finish(query) -> None:
 
 
 def event_windows(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Event-time windows with a watermark: rows later than ``late`` are left out of closed windows."""
+    """Event-time windows with a watermark: in append or update mode rows later than ``late`` are left out of closed
+    windows; complete mode keeps all windows and rows."""
     w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
     return w.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
@@ -57,21 +58,24 @@ def ingest_quarters(stream: DataFrame, path: str, checkpoint: str, by: tuple[str
 
 def running_change(stream: DataFrame) -> DataFrame:
     """Stateful difference of a user's event values against the last one seen before: (user_id, n, last,
-    change). The latest value of a call is that of its greatest (ts, event_id), whatever the chunks its rows
-    come in. The state is two numbers per user, so no user's history is held."""
+    change). The latest value is that of the greatest (ts, event_id) seen so far, whatever the chunks and batches
+    its rows come in: an older event that comes later counts but changes nothing. The state is four numbers per user, so no
+    user's history is held."""
     ship(stream.sparkSession)
     schema = "user_id long, n long, last double, change double"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last = state.get if state.exists else (0, None)
-        start, newest = last, None
+        n, last, ts, event = state.get if state.exists else (0, None, None, None)
+        start, newest = last, None if ts is None else (ts, event)
         for b in batches:  # in no order among themselves
+            b = b[b["ts"].notna() & b["event_id"].notna()]
             if len(b):
-                at = b.sort_values(["ts", "event_id"], na_position="first").iloc[-1]
-                if newest is None or pd.isna(newest[0]) or (at["ts"], at["event_id"]) > newest:
-                    newest, last = (at["ts"], at["event_id"]), float(at["value"])
+                at = b.sort_values(["ts", "event_id"]).iloc[-1]
+                mine = (int(at["ts"].value), int(at["event_id"]))
+                if newest is None or mine > newest:
+                    newest, last = mine, float(at["value"])
                 n += len(b)
-        state.update((n, last))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last": [last], "change": [None if start is None else last - start]})
+        state.update((n, last, *(newest or (None, None))))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last": [last], "change": [None if start is None or last is None else last - start]})
 
-    return stream.groupBy("user_id").applyInPandasWithState(step, schema, "n long, last double", "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("user_id").applyInPandasWithState(step, schema, "n long, last double, ts long, event long", "update", GroupStateTimeout.NoTimeout)
