@@ -38,3 +38,11 @@ def summary(c: DataFrame, digits: int = 4) -> DataFrame:
     r = F.round((F.col("r") - 1) * 100, digits) / 100
     a = c.agg(F.exp(F.sum(F.ln(1 + r))).alias("total"), F.count(F.lit(1)).alias("n"), F.avg(r).alias("m"), F.stddev_pop(r).alias("s"), F.min("drawdown").alias("max_drawdown"))
     return a.select((F.col("total") - 1).alias("total_return"), (F.pow("total", 4 / F.col("n")) - 1).alias("annualised"), F.when(F.col("s") > 0, F.col("m") / F.col("s") * 2).alias("sharpe"), "max_drawdown", F.col("n").alias("n_quarters"))
+
+
+def quarterly_ratio(prices: DataFrame, day: str, value: str) -> DataFrame:
+    """(p, close, ret): the last price of each quarter and its ratio to that of the quarter before (NULL if there is none or it is not positive)."""
+    p = F.year(day) * 4 + F.quarter(day) - 1
+    close = prices.groupBy(p.cast("int").alias("p")).agg(F.max_by(value, day).alias("close"))
+    before = close.filter("close > 0").select((F.col("p") + 1).alias("p"), F.col("close").alias("before"))
+    return close.join(before, "p", "left").select("p", "close", (F.col("close") / F.col("before")).alias("ret"))

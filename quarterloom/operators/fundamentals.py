@@ -62,6 +62,39 @@ def upsert_newest(existing: DataFrame, incoming: DataFrame, keys: Sequence[str],
     return best.select(*keys, *[F.col(f"__s.f_{c}").alias(c) for c in rest])
 
 
+STATEMENTS = "struct<Financials: map<string, struct<quarterly: map<string, map<string, string>>>>>"
+
+
+def statements(df: DataFrame, column: str, key: str) -> DataFrame:
+    """Quarterly figures from a column of four-level JSON (Financials, statement, quarterly, date): one row per ``key`` and date
+    of the income statement: key, date, year, quarter, net_income, revenue, ebitda, equity, shares, debt, cash, fcf and the ratios
+    diluted_eps, roe, debt_to_equity, fcf_per_share.
+
+    A figure that is missing, empty or no number counts as 0. Debt is the total or, where that is not given, short-term plus
+    long-term debt; cash is cash and short-term investments or their parts; free cash flow is as given or, where 0, the
+    operating cash flow less capital expenditures. Ratios on 0 are NULL. Dates that do not parse and documents that are no
+    such JSON give no rows.
+    """
+    f = df.select(F.col(key).alias("__k"), F.from_json(column, STATEMENTS)["Financials"].alias("__f"))
+    quarterly = lambda n: F.col("__f")[n]["quarterly"]
+    rows = f.select("__k", F.explode(quarterly("Income_Statement")).alias("date", "i"), quarterly("Balance_Sheet").alias("b"), quarterly("Cash_Flow").alias("c"))
+    rows = rows.select("__k", "date", F.try_to_date("date", "yyyy-MM-dd").alias("__d"), "i", F.col("b")[F.col("date")].alias("b"), F.col("c")[F.col("date")].alias("c")).filter("__d IS NOT NULL")
+    number = lambda m, n: F.coalesce(F.col(m)[n].try_cast("double"), F.lit(0.0))
+    given = lambda m, n: F.coalesce(F.col(m)[n] != "", F.lit(False))
+    debt = F.when(given("b", "shortLongTermDebtTotal"), number("b", "shortLongTermDebtTotal")).otherwise(number("b", "shortTermDebt") + number("b", "longTermDebt"))
+    cash = F.when(given("b", "cashAndShortTermInvestments"), number("b", "cashAndShortTermInvestments")).otherwise(number("b", "cash") + number("b", "shortTermInvestments"))
+    flow = number("c", "totalCashFromOperatingActivities")
+    fcf = F.when(number("c", "freeCashFlow") != 0, number("c", "freeCashFlow")).when(flow != 0, flow - number("c", "capitalExpenditures")).otherwise(0.0)
+    got = rows.select(
+        F.col("__k").alias(key), "date", F.year("__d").alias("year"), F.quarter("__d").alias("quarter"), number("i", "netIncome").alias("net_income"), number("i", "totalRevenue").alias("revenue"), number("i", "ebitda").alias("ebitda"),
+        number("b", "totalStockholderEquity").alias("equity"), number("b", "commonStockSharesOutstanding").alias("shares"), debt.alias("debt"), cash.alias("cash"), fcf.alias("fcf"),
+    )
+    x = F.col
+    return got.withColumns({
+        "diluted_eps": safe_ratio(x("net_income"), x("shares")), "roe": safe_ratio(x("net_income"), x("equity")), "debt_to_equity": safe_ratio(x("debt"), x("equity")), "fcf_per_share": safe_ratio(x("fcf"), x("shares")),
+    })
+
+
 NESTED = T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType()))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -52,6 +54,39 @@ def negatives(nodes_a: DataFrame, nodes_b: DataFrame, known: DataFrame, per_node
     return tries.withColumn("b", pick).join(nodes_b, "b").select("cik", "cusip").distinct().join(known, ["cik", "cusip"], "left_anti")
 
 
+def balanced_negatives(positives: DataFrame, nodes_b: DataFrame, known: DataFrame, seed: int, per: str, tries: int = 8) -> DataFrame:
+    """(cik, cusip): about one non-edge for every positive pair, of the same filer, so that a test set is balanced per filer.
+
+    Every positive proposes ``tries`` partners by hashed positions in the numbered b-side (cusip, ``per``, b, n) and takes the first
+    that is no known edge. A filer that holds nearly everything may find fewer; no cross product is formed. Equal proposals of
+    a filer are one.
+    """
+    own = nodes_b.select("cusip", per, F.col("b").alias("own"), "n")
+    p = positives.select("cik", "cusip").join(own, "cusip").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    number = F.pmod(F.xxhash64("cik"), F.lit(1_000_003))
+    p = p.withColumn("b", F.pmod(hash_order(seed, number, F.col("own"), F.col("t")), F.col("n"))).select("cik", F.col("cusip").alias("for"), per, "b", "t")
+    open_ = p.join(nodes_b.select("cusip", per, "b"), [per, "b"]).join(known, ["cik", "cusip"], "left_anti")
+    return open_.groupBy("cik", "for").agg(F.min_by("cusip", "t").alias("cusip")).select("cik", "cusip").distinct()
+
+
+def unseen_by_degree(e: DataFrame, group: str, item: str, k: int, per: Callable[[str], Column]) -> DataFrame:
+    """(group, item, score, rank): for every node of ``group`` its ``k`` best items among all that it has no edge with, by
+    preferential attachment, ties by item; ``per`` gives, of a column of names, the graph they belong to.
+
+    Items are ranked by degree once a graph. A node with d edges finds its k best within the first d + k of them, so not all
+    pairs are looked at but as many as there are edges, and k for every node.
+    """
+    items = e.groupBy(item).agg(F.count(F.lit(1)).alias("__i")).withColumn("__per", per(item))
+    order = W.partitionBy("__per").orderBy(F.desc("__i"), item)  # one row per item of a graph
+    items = written(items.withColumn("__at", F.row_number().over(order)), "ranked-items")
+    nodes = e.groupBy(group).agg(F.count(F.lit(1)).alias("__d")).withColumn("__per", per(group))
+    tries = nodes.withColumn("__at", F.explode(F.sequence(F.lit(1), (F.col("__d") + k).cast("int"))))
+    fresh = tries.join(items, ["__per", "__at"]).join(e, [group, item], "left_anti")
+    rank = F.row_number().over(W.partitionBy(group).orderBy("__at")).cast("bigint")  # up to d + k rows of a node
+    got = fresh.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return got.select(group, item, (F.col("__d") * F.col("__i")).cast("double").alias("score"), "rank")
+
+
 def split(rows: DataFrame, order: Column, train: float = 0.8, val: float = 0.1, per: Column | None = None) -> DataFrame:
     """Adds ``part`` by a deterministic order of the rows (floors; the remainder is test); with ``per``, an expression
     of the row, in each of its groups.

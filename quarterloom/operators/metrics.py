@@ -130,3 +130,11 @@ def macro_f1(rows: DataFrame, truth: str, guess: str, classes: Sequence[int]) ->
 def paired_t(rows: DataFrame, a: str, b: str) -> DataFrame:
     d = F.col(b) - F.col(a)
     return rows.agg(F.count(d).alias("n"), F.avg(d).alias("mean_diff"), F.try_divide(F.avg(d), F.stddev_samp(d) / F.sqrt(F.count(d))).alias("t"))
+
+
+def softmax(rows: DataFrame, score: str, *by: str) -> DataFrame:
+    """Adds ``probability``: exp(score) over the sum in its group, from the group's maximum so that nothing overflows."""
+    top = rows.groupBy(*by).agg(F.max(score).alias("__top"))
+    x = rows.join(top, list(by)).withColumn("__x", F.exp(F.col(score) - F.col("__top")))
+    total = x.groupBy(*by).agg(F.sum("__x").alias("__sum"))
+    return x.join(total, list(by)).withColumn("probability", F.col("__x") / F.col("__sum")).drop("__top", "__x", "__sum")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quarterloom.functions import text as X
 from quarterloom.operators import backtest as B
 from quarterloom.operators import holdings as H
 from quarterloom.operators import metrics as M
@@ -141,6 +142,28 @@ def benchmark_return(spark: SparkSession, d: str) -> DataFrame:
     return close.select(*big("year", "month"), F.round("close", 6).alias("close"), F.round(F.col("close") / F.lag("close").over(w), 6).alias("ret"))
 
 
+@query("benchmark_quarters", """WITH v AS (SELECT CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS v FROM orders GROUP BY 1), l AS (SELECT year(day) * 4 + quarter(day) - 1 AS p, arg_max(v, day) AS close FROM v GROUP BY 1)
+SELECT CAST(a.p AS BIGINT) AS p, round(a.close, 6) AS close, round(a.close / b.close, 6) AS ret FROM l a LEFT JOIN l b ON b.p = a.p - 1 AND b.close > 0""")
+def benchmark_quarters(spark: SparkSession, d: str) -> DataFrame:
+    """Last close of each quarter and its ratio to the quarter before, NULL if that has none."""
+    o = Base(spark, d).raw("orders")
+    return B.quarterly_ratio(o.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("v")), "day", "v").select(*big("p"), *rnd("close", "ret"))
+
+
+@query("softmax_of_net", "SELECT cusip, CAST(p AS BIGINT) AS p, round(exp(net - max(net) OVER w) / (sum(exp(net - t)) OVER w), 9) AS probability FROM (SELECT *, max(net) OVER (PARTITION BY p) AS t FROM rk) WINDOW w AS (PARTITION BY p)")
+def softmax_of_net(spark: SparkSession, d: str) -> DataFrame:
+    return M.softmax(Base(spark, d).rk().select("cusip", "p", "net"), "net", "p").select("cusip", *big("p"), *rnd("probability", digits=9))
+
+
+@query("formatted_report", """WITH n AS (SELECT year, quarter, count(*) AS n FROM changed_holdings GROUP BY 1, 2), t AS (SELECT sum(n) AS t FROM n)
+SELECT year || ' Q' || quarter AS label, format('{:,}', n) AS rows, printf('%.1f', 100.0 * n / t) || '%' AS share,
+  CASE WHEN n < 60 THEN printf('%.1f', n * 1.0) || 's' WHEN n < 3600 THEN (n // 60) || 'm ' || (n % 60) || 's' ELSE (n // 3600) || 'h ' || ((n % 3600) // 60) || 'm' END AS took FROM n, t""")
+def formatted_report(spark: SparkSession, d: str) -> DataFrame:
+    n = Base(spark, d).raw("changed_holdings").groupBy("year", "quarter").agg(F.count(F.lit(1)).alias("n"))
+    n = n.withColumn("t", n.agg(F.sum("n")).scalar())
+    return n.select(X.quarter_label(F.col("year"), F.col("quarter")).alias("label"), X.grouped(F.col("n")).alias("rows"), X.percent(F.col("n") / F.col("t"), 1).alias("share"), X.duration(F.col("n").cast("double")).alias("took"))
+
+
 @query("rank_fundamentals", ", k AS (SELECT cusip, pp, rank FROM rk WHERE rank <= 10) SELECT k.cusip, CAST(k.pp AS BIGINT) AS p, CAST(k.rank AS BIGINT) AS rank, round(fd.pe_ratio, 6) AS pe_ratio, tm.ticker FROM k LEFT JOIN fd ON fd.cusip = k.cusip AND fd.p = k.pp - 1 LEFT JOIN tm ON tm.cusip = k.cusip")
 def rank_fundamentals(spark: SparkSession, d: str) -> DataFrame:
     b = Base(spark, d)

@@ -51,9 +51,17 @@ def xml_scan(spark: SparkSession, d: str) -> DataFrame:
     return S.read_xml(spark, f).select("name", "cusip")
 
 
-@query("names_from_text", "WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL), c AS (SELECT trim(regexp_replace(regexp_replace(rtrim(line, chr(13)), '\\([a-z],?\\s?[a-z]?\\)', '', 'g'), '\\s*\\.{2,}.*$', '', 'g'), ' ') AS name FROM l) SELECT count(DISTINCT lower(name)) AS n FROM c WHERE length(name) BETWEEN 2 AND 150 AND NOT regexp_matches(name, '^[0-9]') AND lower(name) NOT IN ('company', 'ticker', 'page', 'russell', 'index', 'total', 'source')")
+LISTED = ", ".join(f"'{w}'" for w in S.NO_COMPANY)
+
+
+@query("names_from_text", f"""WITH f AS (SELECT unnest(regexp_extract_all(text, '{S.LISTING_LINE.replace("'", "''")}', 1)) AS name FROM (SELECT nameofissuer || '  ' || format('{{:,}}', sshprnamt) || '  $ ' || format('{{:,}}', CAST(floor(value) AS BIGINT)) AS text FROM holdings WHERE sshprnamt >= 0 AND value >= 0)),
+c AS (SELECT regexp_replace(regexp_replace(regexp_replace(name, '\\.[^.]*$', ''), '\\([a-z,]+\\)', '', 'g'), '^\\s+|\\s+$', '', 'g') AS name FROM f)
+SELECT min(name) AS name FROM c WHERE length(name) BETWEEN 2 AND 150 AND NOT regexp_matches(name, '^[0-9]') AND lower(name) NOT IN ({LISTED}) GROUP BY lower(name)""")
 def names_from_text(spark: SparkSession, d: str) -> DataFrame:
-    return S.names_from_text(Base(spark, d).raw("documents").filter("text IS NOT NULL"), "text").agg(F.count(F.lit(1)).alias("n"))
+    """Listing lines made of the holdings: issuer, shares, value."""
+    h = Base(spark, d).raw("holdings").filter("sshprnamt >= 0 AND value >= 0")
+    line = F.concat("nameofissuer", F.lit("  "), F.format_number("sshprnamt", 0), F.lit("  $ "), F.format_number(F.floor("value"), 0))
+    return S.names_from_text(h.select(line.alias("text")), "text")
 
 
 @query("partition_overwrite", "SELECT CAST(year AS BIGINT) AS year, count(*) AS n FROM changed_holdings GROUP BY 1")

@@ -238,3 +238,24 @@ def download_range(spark: SparkSession, d: str) -> DataFrame:
     q = quarter_end(F.floor(F.col("p") / 4).cast("int"), (F.col("p") % 4 + 1).cast("int"))
     f = Base(spark, d).fd().select("cusip", q.alias("q"))
     return f.groupBy("cusip").agg(F.date_sub(F.min("q"), 400).alias("from_day"), F.date_add(F.max("q"), 10).alias("to_day"))
+
+
+@query("statement_figures", """WITH q AS (SELECT l_suppkey AS k, year(l_shipdate) AS y, quarter(l_shipdate) AS q, count(*) AS n, round(sum(l_extendedprice)) AS v, sum(l_linenumber) AS m FROM lineitem GROUP BY 1, 2, 3),
+f AS (SELECT k, y, q, v AS net_income, CASE WHEN n % 3 = 0 THEN m ELSE n + 2 * m END AS debt, CASE WHEN n % 2 = 0 THEN n ELSE 3 * m END AS cash, CASE WHEN n % 4 = 0 THEN m WHEN n % 4 = 1 THEN v - m ELSE 0 END AS fcf, n * 10 AS shares FROM q)
+SELECT CAST(k AS BIGINT) AS supplier, CAST(y AS INT) AS year, CAST(q AS INT) AS quarter, CAST(net_income AS DOUBLE) AS net_income, CAST(debt AS DOUBLE) AS debt, CAST(cash AS DOUBLE) AS cash, CAST(fcf AS DOUBLE) AS fcf, round(net_income / shares, 6) AS diluted_eps, round(fcf / shares, 6) + 0.0 AS fcf_per_share FROM f""")
+def statement_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Statements as nested JSON, made of suppliers' lines as a stand-in, with figures left out so that others take their place."""
+    li = Base(spark, d).raw("lineitem").withColumns({"y": F.year("l_shipdate"), "q": F.quarter("l_shipdate")})
+    g = li.groupBy("l_suppkey", "y", "q").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice")).alias("v"), F.sum("l_linenumber").alias("m"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    fields = lambda **k: F.map_from_arrays(F.array(*[F.lit(x) for x in k]), F.array(*[text(v) for v in k.values()]))
+    n, v, m = F.col("n"), F.col("v"), F.col("m")
+    g = g.select("l_suppkey", F.date_format(F.make_date("y", F.col("q") * 3, F.lit(28)), "yyyy-MM-dd").alias("day"),
+        fields(netIncome=v).alias("i"),
+        fields(commonStockSharesOutstanding=n * 10, shortLongTermDebtTotal=F.when(n % 3 == 0, m), shortTermDebt=n, longTermDebt=2 * m, cashAndShortTermInvestments=F.when(n % 2 == 0, n), cash=m, shortTermInvestments=2 * m).alias("b"),
+        fields(freeCashFlow=F.when(n % 4 == 0, m).when(n % 4 == 2, F.lit(0)), totalCashFromOperatingActivities=F.when(n % 4 == 1, v), capitalExpenditures=m).alias("c"),
+    )
+    part = lambda c: F.struct(F.map_from_entries(F.collect_list(F.struct("day", c))).alias("quarterly"))
+    docs = g.groupBy(F.col("l_suppkey").alias("supplier")).agg(F.to_json(F.struct(F.struct(part("i").alias("Income_Statement"), part("b").alias("Balance_Sheet"), part("c").alias("Cash_Flow")).alias("Financials"))).alias("json"))  # some dozen quarters each
+    got = N.statements(docs, "json", "supplier")
+    return got.select(*big("supplier"), "year", "quarter", "net_income", "debt", "cash", "fcf", *rnd("diluted_eps", "fcf_per_share"))

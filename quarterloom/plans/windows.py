@@ -275,6 +275,20 @@ ONE["hit_ndcg"] = _ndcg_sql((5, 10))
 ONE["top_k_per_fund"] = f", {SC} SELECT cik, cusip, rn AS rank FROM (SELECT cik, cusip, row_number() OVER (PARTITION BY cik ORDER BY score DESC, cusip) AS rn FROM sc, {ANY}) WHERE rn <= 3"
 
 
+def _unseen_sql(group: str, item: str, k: int) -> str:
+    return f""", {ED}, {DEG}, a AS (SELECT df.cik, ds.cusip, df.d * ds.d AS s, row_number() OVER (PARTITION BY {group} ORDER BY df.d * ds.d DESC, {item}) AS rank FROM df, ds, {ANY} WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.cik = df.cik AND ed.cusip = ds.cusip))
+SELECT cik, cusip, CAST(s AS DOUBLE) AS score, rank FROM a WHERE rank <= {k}"""
+
+
+ONE["unseen_per_fund"] = _unseen_sql("df.cik", "ds.cusip", 10)
+ONE["unseen_per_stock"] = _unseen_sql("ds.cusip", "df.cik", 5)
+ONE["hit_unseen"] = _unseen_sql("df.cik", "ds.cusip", 10).replace("SELECT cik, cusip, CAST(s AS DOUBLE)", ", top AS (SELECT cik, cusip, CAST(s AS DOUBLE)").rstrip() + f"""), {SHARED},
+nw AS (SELECT cik, cusip FROM sh WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.cik = sh.cik AND ed.cusip = sh.cusip)), np AS (SELECT cik, count(*) AS np FROM nw GROUP BY 1),
+pg AS (SELECT np.cik, np.np, max(CASE WHEN nw.cusip IS NOT NULL THEN 1.0 ELSE 0 END) AS h, sum(CASE WHEN nw.cusip IS NOT NULL THEN 1 / log2(rank + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(10, np.np) + 1), lambda x: 1 / log2(x + 1))) AS n
+  FROM np LEFT JOIN top ON top.cik = np.cik LEFT JOIN nw ON nw.cik = top.cik AND nw.cusip = top.cusip GROUP BY 1, 2)
+SELECT round(avg(h), 6) AS hit_10, round(avg(n), 6) AS ndcg_10, count(*) AS groups FROM pg HAVING count(*) > 0"""
+
+
 # ---------------------------------------------------------------- plans of all windows
 
 
@@ -374,6 +388,38 @@ _of_windows("split_80_10_10", lambda w: w.split(), lambda: ["part"])
 _of_windows("split_repair", lambda w: L.repair_split(w.split()), lambda: ["part"])
 
 
+_of_windows("unseen_per_fund", lambda w: L.unseen_by_degree(w.e, "cik", "cusip", 10, _win), lambda: ["score", "rank"])
+_of_windows("unseen_per_stock", lambda w: L.unseen_by_degree(w.e, "cusip", "cik", 5, _win), lambda: ["score", "rank"])
+
+
+@query("hit_unseen_windows", _over("hit_unseen", True))
+def hit_unseen(spark: SparkSession, d: str) -> DataFrame:
+    """New edges among the ten best of all securities that a filer had no edge with, averaged over the filers with new edges."""
+    w = Windows(spark, d)
+    new = written(L.new_edges(w.targets(), w.e).withColumn("label", F.lit(1)), "new")
+    top = L.unseen_by_degree(w.e, "cik", "cusip", 10, _win).join(new, ["cik", "cusip"], "left")
+    gain = top.groupBy("cik").agg(F.max(F.coalesce(F.col("label"), F.lit(0)).cast("double")).alias("h"), F.sum(F.when(F.col("label") == 1, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"))
+    n = new.groupBy("cik").agg(F.count(F.lit(1)).alias("np"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(10), F.col("np").cast("int"))), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    per = n.join(gain, "cik", "left").fillna(0.0, ["h", "dcg"])
+    return per.groupBy(_win("cik").alias("win")).agg(F.round(F.avg("h"), 6).alias("hit_10"), F.round(F.avg(F.col("dcg") / ideal), 6).alias("ndcg_10"), F.count(F.lit(1)).alias("groups"))
+
+
+def _balanced(name: str, positives) -> None:
+    @query(f"{name}_windows")
+    def plan(spark: SparkSession, d: str) -> DataFrame:
+        w = Windows(spark, d)
+        pos = written(positives(w), "positives")
+        neg = L.balanced_negatives(pos, w.numbered("cusip", "b"), w.e.union(w.test).distinct(), 7, "w")
+        both = pos.select("cik", "cusip", F.lit(1).alias("label")).unionByName(neg.withColumn("label", F.lit(0)))
+        return _plain(both, "cik", "cusip").select("win", "cik", "cusip", "label")
+
+
+# positives: all test edges of the shared universe; the new ones of them
+_balanced("test_set_all", lambda w: w.targets())
+_balanced("test_set_new", lambda w: L.new_edges(w.targets(), w.e))
+
+
 @query("degree_distribution_windows", _over("degree_distribution", True))
 def degree_distribution(spark: SparkSession, d: str) -> DataFrame:
     return G.degrees(Windows(spark, d).e, "cik").groupBy(_win("cik").alias("win"), "degree").agg(F.count(F.lit(1)).alias("n"))

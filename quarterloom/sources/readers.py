@@ -97,17 +97,18 @@ def read_xml(spark: SparkSession, path: str, row_tag: str = "invstOrSec", schema
     return df.filter(F.col("name").isNotNull() & (F.trim("name") != ""))
 
 
-# Words that head a page and are no company.
-SKIP = ["company", "ticker", "page", "russell", "index", "total", "source"]
+# A listing's line (company, shares, value) and the words that are no company.
+LISTING_LINE = r"([A-Z][A-Za-z0-9\.\-&(),'/ ]+?)\s+(\d{1,3}(?:,\d{3})*)\s+\$?\s*(\d{1,3}(?:,\d{3})*)"
+NO_COMPANY = ["the", "and", "or", "of", "in", "on", "at", "to", "for", "common stocks", "schedule", "security", "shares", "value", "form n-q", "ishares", "russell"]
 
 
 def names_from_text(df: DataFrame, text: str) -> DataFrame:
-    """Company names, one per line of extracted text: footnotes and trailing dots cut, 2 to 150 characters,
-    no leading digit, no heading; each once in lower case (the least spelling stays)."""
-    line = F.explode(F.split(F.col(text), r"\r?\n")).alias("line")
-    c = F.trim(F.regexp_replace(F.regexp_replace("line", r"\([a-z],?\s?[a-z]?\)", ""), r"\s*\.{2,}.*$", ""))
-    got = df.select(line).select(c.alias("name"))
-    ok = F.length("name").between(2, 150) & ~F.col("name").rlike(r"^\d") & ~F.lower("name").isin(SKIP)
+    """Company names of a listing's lines in extracted text, each followed by its shares and value: cut at the last stop,
+    footnote marks left out, 2 to 150 characters, no leading digit, no heading; each once in lower case (the least spelling stays)."""
+    found = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(LISTING_LINE), 1)).alias("name"))
+    cut = F.regexp_replace(F.regexp_replace("name", r"\.[^.]*$", ""), r"\([a-z,]+\)", "")
+    got = found.select(F.regexp_replace(cut, r"^\s+|\s+$", "").alias("name"))
+    ok = F.length("name").between(2, 150) & ~F.col("name").rlike(r"^\d") & ~F.lower("name").isin(NO_COMPANY)
     return got.filter(ok).groupBy(F.lower("name").alias("key")).agg(F.min("name").alias("name")).select("name")
 
 
@@ -149,6 +150,10 @@ def flatten_config(spark: SparkSession, path: str, separator: str = "_") -> Data
     return whole.select(F.explode(m).alias("a", "m")).select("a", F.explode("m").alias("b", "value")).select(F.concat_ws(separator, "a", "b").alias("key"), "value")
 
 
+# Fixed value: how the page of a security names its ticker.
+TICKER_LINE = r"Ticker\s+Symbol[:\s]+([A-Za-z]{1,5})\*?"
+
+
 def ticker_from_html(c: Column) -> Column:
-    got = F.regexp_extract(c, r"Ticker\s+Symbol[:\s]+([A-Za-z]{1,5})\*?", 1)
+    got = F.regexp_extract(c, TICKER_LINE, 1)
     return F.when(got != "", F.upper(got))

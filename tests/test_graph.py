@@ -148,3 +148,37 @@ def test_propagation_with_self_loops_against_a_matrix(spark):
     assert got == pytest.approx(dict(zip(nodes, (x + n @ x + n @ n @ x) / 3)))
     got = {r["node"]: r["x"] for r in G.propagate(e, f, layers=2, activation=True, last=True).collect()}
     assert got == pytest.approx(dict(zip(nodes, n @ np.maximum(n @ x, 0))))
+
+
+def test_balanced_negatives(spark):
+    from pyspark.sql import functions as F
+
+    from quarterloom.operators import linkpred as L
+
+    rng = random.Random(1)
+    rows = sorted({(f"f{rng.randrange(40):02d}", f"s{rng.randrange(60):02d}") for _ in range(500)})
+    e = spark.createDataFrame(rows, "cik string, cusip string")
+    names = sorted({s for _, s in rows})
+    b = spark.createDataFrame([(s, i, len(names), 0) for i, s in enumerate(names)], "cusip string, b long, n long, w int")
+    pos = e.filter(F.col("cusip") < "s30")
+    neg = [tuple(r) for r in L.balanced_negatives(pos, b, e, 7, "w").collect()]
+    n = Counter(c for c, _ in pos.select("cik", "cusip").collect())
+    m = Counter(c for c, _ in neg)
+    assert len(set(neg)) == len(neg) and not set(neg) & set(rows)
+    assert all(m[c] <= n[c] for c in m) and sum(m.values()) > 0.85 * sum(n.values())
+    assert neg != [] and sorted(neg) == sorted(tuple(r) for r in L.balanced_negatives(pos, b, e, 7, "w").collect())
+
+
+def test_unseen_by_degree_against_all_pairs(spark):
+    from quarterloom.operators import linkpred as L
+    from pyspark.sql import functions as F
+
+    rows = some_edges(9)
+    e = spark.createDataFrame(rows, "cik string, cusip string")
+    d, n = Counter(s for _, s in rows), Counter(f for f, _ in rows)
+    got = {}
+    for r in L.unseen_by_degree(e, "cik", "cusip", 4, lambda c: F.lit(0)).collect():
+        got.setdefault(r["cik"], []).append((r["rank"], r["cusip"], r["score"]))
+    for f in n:
+        best = sorted((s for s in d if (f, s) not in set(rows)), key=lambda s: (-d[s], s))[:4]
+        assert sorted(got[f]) == [(i + 1, s, float(n[f] * d[s])) for i, s in enumerate(best)]
