@@ -20,7 +20,7 @@ from pyspark.sql.window import Window as W
 
 from quarterloom.session import written
 
-#: Above so many hot shards their list is joined by shuffle instead of a broadcast (about 40 bytes each).
+#: The list of hot shards is broadcast (about 40 bytes each); it is kept below this length.
 BROADCAST_ROWS = 200_000
 
 
@@ -69,10 +69,12 @@ def asof_known(
         .groupBy("__e", "__shard").agg(F.count(F.lit(1)).alias("__n")),
         "shards",
     )
-    hot = sizes.filter(F.col("__n") > hot_rows).select("__e", "__shard", F.ceil(F.col("__n") / hot_rows).cast("int").alias("__salts"))
+    # fewer than BROADCAST_ROWS shards can have more than the BROADCAST_ROWS-th part of all events
+    least = max(hot_rows, (sizes.agg(F.sum("__n")).first()[0] or 0) // BROADCAST_ROWS + 1)
+    hot = sizes.filter(F.col("__n") > least).select("__e", "__shard", F.ceil(F.col("__n") / hot_rows).cast("int").alias("__salts"))
     n_hot = hot.count()
     if n_hot:
-        hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+        hot = F.broadcast(hot)
         own = [F.col(f"__ev.`{c}`") for c in events.columns]
         if not drop_copies:  # copies are parted by a number, written so that a task run again sees the same
             e = written(e.withColumn("__copy", F.monotonically_increasing_id()), "events")

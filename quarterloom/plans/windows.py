@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quarterloom.operators import embed as V
 from quarterloom.operators import graph as G
 from quarterloom.operators import linkpred as L
 from quarterloom.operators import metrics as M
@@ -545,6 +546,17 @@ def learned_baselines(spark: SparkSession, d: str) -> DataFrame:
     return got
 
 
+@query("ranking_embeddings_windows")
+def ranking_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings trained by pairwise ranking on the train quarters; area under the curve on the new edges of the test quarter."""
+    w = Windows(spark, d)
+    new = written(L.new_edges(w.targets(), w.e), "new")
+    z = V.train(w.e, w.numbered("cusip", "b").withColumn("per", F.col("w")), _win)
+    neg = L.balanced_negatives(new, w.numbered("cusip", "b"), w.e.union(w.test).distinct(), 7, "w")
+    both = new.select("cik", "cusip", F.lit(1).alias("label")).unionByName(neg.withColumn("label", F.lit(0)))
+    return M.auc(V.score(z, both).withColumn("win", _win("cik")), "win").select("win", *rnd("auc"))
+
+
 # ---------------------------------------------------------------- every quarter
 
 
