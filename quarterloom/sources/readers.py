@@ -112,6 +112,20 @@ def names_from_text(df: DataFrame, text: str) -> DataFrame:
     return got.filter(ok).groupBy(F.lower("name").alias("key")).agg(F.min("name").alias("name")).select("name")
 
 
+#: Words that head a plain list and are no company.
+HEADINGS = ["company", "ticker", "page", "index", "total", "source"]
+
+
+def names_from_lines(df: DataFrame, text: str) -> DataFrame:
+    """Company names of a plain list, one per line: footnotes and trailing dots cut, 2 to 150 characters,
+    no leading digit, no heading; each once in lower case (the least spelling stays)."""
+    line = F.explode(F.split(F.col(text), r"\r?\n")).alias("line")
+    c = F.trim(F.regexp_replace(F.regexp_replace("line", r"\([a-z],?\s?[a-z]?\)", ""), r"\s*\.{2,}.*$", ""))
+    got = df.select(line).select(c.alias("name"))
+    ok = F.length("name").between(2, 150) & ~F.col("name").rlike(r"^\d") & ~F.lower("name").isin(HEADINGS)
+    return got.filter(ok).groupBy(F.lower("name").alias("key")).agg(F.min("name").alias("name")).select("name")
+
+
 def read_binary_text(spark: SparkSession, path: str, decode: Callable[[bytes], str]) -> DataFrame:
     """(path, text) of binary documents by a decoder, one file at a time within a task."""
     import pandas as pd
@@ -133,7 +147,7 @@ def read_index_file(spark: SparkSession, path: str, decode: Callable[[bytes], st
             raise ValueError("a decoder is needed for PDF files")
         return names_from_text(read_binary_text(spark, path, decode), "text")
     if suffix in ("csv", "txt"):
-        return names_from_text(spark.read.text(path), "value")
+        return names_from_lines(spark.read.text(path), "value")
     raise ValueError(f"no reader for .{suffix} files")
 
 

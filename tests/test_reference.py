@@ -182,8 +182,57 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sorted(r["name"] for r in S.read_index_file(spark, str(tmp_path / "russell2014.txt")).collect()) == ["Acme Corp", "Beta Inc"]
     df = spark.createDataFrame([(1, 2020, 1.0), (2, 2021, 2.0)], "k int, year int, m double")
     path = str(tmp_path / "t")
-    K.replace_atomically(df, path)
-    K.replace_atomically(df.filter("k = 1"), path)
+    K.replace_table(df, path)
+    K.replace_table(df.filter("k = 1"), path)
     assert spark.read.parquet(path).count() == 1
     assert K.save_best(df.filter("k = 1"), df, str(tmp_path / "best"), "m") and not K.save_best(df.filter("k = 1"), df, str(tmp_path / "best"), "m")
     assert [r["k"] for r in K.remaining(df, path, ["k"], ["m"]).collect()] == [2]
+
+
+def test_listing_lines_and_versions(spark, tmp_path):
+    from quarterloom.sinks import writers as K
+    from quarterloom.sources import readers as S
+
+    text = "SCHEDULE\nCommon Stocks  1,000  $ 2,000\nAcme & Co. (a)  12,345  $ 678,901\n3M Group 1 2\nBeta Inc 5  7 ACME & CO. 9 10\nno shares here"
+    got = S.names_from_text(spark.createDataFrame([(text,), (None,), ("",)], "t string"), "t")
+    assert sorted(r["name"] for r in got.collect()) == ["ACME & CO", "Beta Inc", "M Group"]
+    path = str(tmp_path / "v")
+    assert K.read_version(spark, path) is None
+    for n in (3, 5):
+        K.write_version(spark.range(n).toDF("k"), path)
+        assert K.read_version(spark, path).count() == n
+
+
+def test_a_failed_exchange_puts_the_old_table_back(spark, tmp_path, monkeypatch):
+    from quarterloom.sinks import writers as K
+
+    path = str(tmp_path / "t")
+    K.replace_table(spark.range(3).toDF("k"), path)
+    real = K._fs
+
+    class Failing:
+        """A file system on which the new table cannot be moved."""
+
+        def __init__(self, fs):
+            self.fs = fs
+
+        def rename(self, a, b):
+            return False if ".tmp-" in a.toString() else self.fs.rename(a, b)
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    monkeypatch.setattr(K, "_fs", lambda s, p: (Failing(real(s, p)[0]), real(s, p)[1]))
+    with pytest.raises(OSError):
+        K.replace_table(spark.range(9).toDF("k"), path)
+    monkeypatch.undo()
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_formats_and_softmax(spark):
+    from quarterloom.functions import text as X
+
+    df = spark.createDataFrame([(5.25,), (125.0,), (7300.0,)], "s double")
+    assert [r[0] for r in df.select(X.duration(F.col("s"))).collect()] == ["5.2s", "2m 5s", "2h 1m"]
+    got = M.softmax(spark.createDataFrame([("a", 1000.0), ("a", 1000.0), ("b", -5.0)], "g string, x double"), "x", "g").collect()
+    assert sorted((r["g"], r["probability"]) for r in got) == [("a", 0.5), ("a", 0.5), ("b", 1.0)]
