@@ -162,7 +162,7 @@ def create_and_copy(spark: SparkSession, d: str) -> DataFrame:
     from uuid import uuid4
 
     c, db, f = Base(spark, d).raw("changed_holdings"), f"quarterloom_{uuid4().hex[:8]}", J.folder(spark, "table")
-    K.create_database(spark, db)
+    K.create_database(spark, db, J.folder(spark, "database"))
     K.create_table(spark, f"{db}.loaded", c)
     if K.create_table(spark, f"{db}.loaded", c):
         raise AssertionError("a table was made twice")

@@ -118,8 +118,9 @@ def create_table(spark: SparkSession, name: str, like: DataFrame, by: Sequence[s
     return True
 
 
-def create_database(spark: SparkSession, name: str) -> None:
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+def create_database(spark: SparkSession, name: str, location: str | None = None) -> None:
+    """Creates a database if there is none, in the warehouse or in a folder of its own."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`" + (f" LOCATION '{location}'" if location else ""))
 
 
 def copy_table(spark: SparkSession, source: str, target: str) -> int:
