@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterloom.functions.keys import OPEN_END, cik_key, cusip_key, finite, period, period_quarter, period_year, quarter_end, ticker_key
+from quarterloom.operators import holdings as H
 from quarterloom.operators.asof import asof_known
 from quarterloom.operators.history import new_store
 from quarterloom.operators.impute import als_impute, held_out_errors
@@ -173,9 +174,7 @@ def p5_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cik, cusip, period, shares): lines with the same share count are one line delivered again."""
-    h = table(spark, sf_dir, "holdings").filter(F.col("sshprnamt").isNotNull())
-    lines = h.select(cik_key("cik").alias("cik"), cusip_key("cusip").alias("cusip"), period().alias("period"), "sshprnamt").distinct()
-    return lines.groupBy("cik", "cusip", "period").agg(F.sum("sshprnamt").alias("shares"))
+    return H.positions(table(spark, sf_dir, "holdings")).withColumnRenamed("p", "period")
 
 
 @query(
