@@ -9,15 +9,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quarterloom.session import discard, written
+from quarterloom.operators.hops import BLOCK as SOURCES
+from quarterloom.operators.hops import Lists, hop_sums, largest_component
+from quarterloom.session import discard, ship, written
 
 CUT_EVERY = 3
-#: Sources of one row of the breadth-first search, in words of 64.
+#: Nodes of one row of the bits that degree centrality counts, in words of 64.
 BLOCK = 256
+#: Nodes x edges that one task of closeness takes (a few seconds), and the most tasks of one graph.
+PART_COST, MAX_PARTS = 4e9, 16
 
 
 def edges(rows: DataFrame, left: str = "cik", right: str = "cusip") -> DataFrame:
@@ -208,37 +215,42 @@ def degree_centrality(e: DataFrame, per: Column | None = None) -> DataFrame:
     return nodes.join(n, "per").join(d, F.col("id") == F.col("f")).select("node", F.try_divide(F.col("d"), F.col("n") - 1).alias("centrality"))
 
 
+def _hop_sums_of_part(key: tuple[pa.Scalar, ...], lists: pa.Table) -> pa.Table:
+    """(node, n, d) of the largest component of the lists: its size and each node's hops to the sources of this part."""
+    part, parts = key[1].as_py(), key[2].as_py()
+    filers = lists.column("filers").combine_chunks()
+    code = filers.flatten().dictionary_encode()
+    order = pc.sort_indices(code.dictionary).to_numpy()  # by bytes, as Spark compares names
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    every = Lists(rank[code.indices.to_numpy()], pc.list_value_length(filers).to_numpy().astype(np.int64))
+    member = np.zeros(len(order), bool)
+    member[largest := largest_component(every, len(order))] = True
+    own = every.pick(np.flatnonzero(every.any(member)))
+    d = hop_sums(Lists((np.cumsum(member) - 1)[own.values], own.sizes), len(largest), part, parts)
+    return pa.table({"node": code.dictionary.take(pa.array(order[largest])).cast(pa.string()), "n": np.full(len(d), len(d)), "d": d})
+
+
 def closeness(e: DataFrame, per: Column | None = None) -> DataFrame:
     """(node, closeness) of all nodes cik of the edges, in their projection: (n - 1) / sum of hops within the
     largest component of n nodes (the one with the least node on ties), 0 for the others.
-    With ``per``, an expression of ``node``, each such group of nodes has a largest component.
+    With ``per``, an expression of ``node``, each such group of nodes is a graph of its own.
 
-    All nodes are sources at once: a row holds, for a node and a block of 256 sources, one bit per
-    source that has reached it. A level is a bitwise OR over each security and back, repeated until no
-    bit is new. As neighbours are mutual, the bits of a node also count what it reaches itself.
+    A security is the list of its filers. A task has the lists of one graph and every so many-th block of
+    512 sources, one bit each, and goes level by level over the lists and back (``hops``). So nothing quadratic is
+    stored or shuffled: a graph's lists go to as many tasks as its arithmetic (nodes x edges) asks for, at most
+    MAX_PARTS. As neighbours are mutual, the bits of a node also count what it reaches itself.
     """
-    links, ids, own = _sources(e)
-    none = F.lit(0).cast("long")
-    state = own.select(F.col("f").alias("node"), "block", *[F.col(f"b{i}").alias(f"{x}{i}") for x in "sf" for i in _WORDS], none.alias("d"))
-    hops, is_new = 0, " OR ".join(f"f{i} <> 0" for i in _WORDS)
-    while True:
-        hops += 1
-        front = state.filter(is_new).select(F.col("node").alias("f"), "block", *[F.col(f"f{i}").alias(f"b{i}") for i in _WORDS])
-        into = _spread(links, front).select(F.col("f").alias("node"), "block", *[F.col(f"b{i}").alias(f"n{i}") for i in _WORDS])
-        both = state.drop(*[f"f{i}" for i in _WORDS]).join(into, ["node", "block"], "full_outer").fillna(0)
-        both = both.select("node", "block", "d", *[F.expr(f"s{i} | n{i}").alias(f"s{i}") for i in _WORDS], *[F.expr(f"n{i} & ~s{i}").alias(f"f{i}") for i in _WORDS])
-        reached = sum((F.bit_count(f"f{i}") for i in _WORDS), F.lit(0))
-        old, state = state, written(both.withColumn("d", F.col("d") + hops * reached), "reached")
-        if hops > 1:
-            discard(old)
-        if state.filter(is_new).isEmpty():
-            break
-    least = F.coalesce(*[F.when(F.col(f"s{i}") != 0, F.col("block") * BLOCK + 64 * i + F.expr(f"coalesce(bit_count(~s{i} & try_subtract(s{i}, 1L)), 63)")) for i in _WORDS])
-    balls = state.groupBy("node").agg(F.sum(sum((F.bit_count(f"s{i}") for i in _WORDS), none)).alias("n"), F.sum("d").alias("d"), F.min(least).alias("c"))
-    balls = balls.join(ids, balls["node"] == ids["id"]).select(ids["node"], "n", "d", "c").withColumn("__per", per if per is not None else F.lit(0))
-    largest = balls.filter("n > 1").groupBy("__per").agg(F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("m"))
-    value = F.when((F.col("n") == F.col("m.n")) & (F.col("c") == -F.col("m.c")), F.try_divide(F.col("n") - 1, F.col("d")))
-    return balls.join(largest, "__per", "left").select("node", F.coalesce(value, F.lit(0.0)).alias("closeness"))
+    ship(e.sparkSession)
+    of_node = (F.lit(0) if per is None else per).alias("__per")
+    rows = e.select(F.col("cik").alias("node"), "cusip").filter("node IS NOT NULL AND cusip IS NOT NULL")
+    nodes = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("edges")).select("node", of_node, "edges"), "nodes")
+    lists = rows.select(of_node, "node", "cusip").groupBy("__per", "cusip").agg(F.collect_set("node").alias("filers")).filter(F.size("filers") > 1)
+    cost = F.count(F.lit(1)).cast("double") * F.sum("edges")
+    parts = nodes.groupBy("__per").agg(F.least(F.ceil(cost / PART_COST), F.ceil(F.count(F.lit(1)) / SOURCES), F.lit(MAX_PARTS)).cast("int").alias("parts"))
+    sent = lists.join(parts, lists["__per"].eqNullSafe(parts["__per"])).select(parts["__per"], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", "filers")
+    sums = sent.groupBy("__per", "part", "parts").applyInArrow(_hop_sums_of_part, "node string, n long, d long").groupBy("node").agg(F.max("n").alias("n"), F.sum("d").alias("d"))
+    return nodes.select("node").join(sums, "node", "left").select("node", F.coalesce(F.try_divide(F.col("n") - 1, F.col("d")), F.lit(0.0)).alias("closeness"))
 
 
 def rev2(e: DataFrame, rounds: int = 100, g1: float = 1.0, g2: float = 1.0, tolerance: float = 1e-6, aum: DataFrame | None = None, per: Column | None = None) -> tuple[DataFrame, DataFrame]:

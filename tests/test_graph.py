@@ -4,8 +4,10 @@ from collections import Counter, deque
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarterloom.operators import graph as G
+from quarterloom.operators.hops import Lists, hop_sums, largest_component
 
 
 def edges(spark, pairs):
@@ -52,6 +54,51 @@ def test_long_chain_small_parts_and_blocks(spark):
     check(spark, [("h0", f"n{i:04d}") for i in range(350)] + [("h1", f"n{i:04d}") for i in range(349, 700)])  # more than one block
 
 
+def test_closeness_stores_no_sources_by_nodes(spark, monkeypatch):
+    """Nothing that it writes has more rows than the graph has nodes and edges, also with several blocks and tasks."""
+    sizes, write = [], G.written
+
+    def counted(df, name="step"):
+        got = write(df, name)
+        sizes.append(got.count())
+        return got
+
+    monkeypatch.setattr(G, "written", counted)
+    monkeypatch.setattr(G, "PART_COST", 1.0, raising=False)  # as many tasks as there are blocks
+    pairs = [("h0", f"n{i:04d}") for i in range(600)] + [("h1", f"n{i:04d}") for i in range(599, 1300)]
+    _, want = brute(pairs)
+    got = {r["node"]: r["closeness"] for r in G.closeness(edges(spark, pairs)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-12 for n in want)
+    assert sum(sizes) <= len(want) + 2 * len(pairs)
+
+
+def test_closeness_of_groups(spark):
+    """Each group has its largest component; repeated edges count once, and missing names connect nothing."""
+    parts = {"a": [("a1", "a2"), ("a2", "a3"), ("a4", "a5")], "b": [("b1", "b2"), ("b3", "b4")]}
+    rows = [r for p in parts.values() for r in edges(spark, p).withColumn("cusip", F.concat(F.lit(p[0][0][0]), "cusip")).collect()]
+    e = spark.createDataFrame([*rows, *rows[:3], ("a1", None), ("b9", None)], "cik string, cusip string")
+    got = {r["node"]: r["closeness"] for r in G.closeness(e, F.substring("node", 1, 1)).collect()}
+    want = {n: v for p in parts.values() for n, v in brute(p)[1].items()}
+    assert {n: v for n, v in got.items() if n != "b9"} == pytest.approx(want) and want["b1"] == 1.0 and want["b3"] == 0.0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hop_sums_of_random_lists(seed):
+    rng = random.Random(seed)
+    lists = [sorted({rng.randrange(900) for _ in range(rng.randrange(2, 5))}) for _ in range(700)]
+    number = {x: i for i, x in enumerate(sorted({x for v in lists for x in v}))}
+    lists = [[number[x] for x in v] for v in lists]
+    _, want = brute([(a, b) for v in lists for a in v for b in v if a != b] + [(v[0], v[0]) for v in lists])
+    every = Lists(np.concatenate(lists), np.array([len(v) for v in lists]))
+    top = largest_component(every, len(number))
+    assert top.tolist() == sorted(n for n in want if want[n] > 0)
+    inside = np.isin(np.arange(len(number)), top)
+    own = every.pick(np.flatnonzero(every.any(inside)))
+    own = Lists((np.cumsum(inside) - 1)[own.values], own.sizes)
+    sums = sum(hop_sums(own, len(top), part, 2) for part in range(2))
+    assert [(len(top) - 1) / d for d in sums.tolist()] == pytest.approx([want[n] for n in top.tolist()])
+
+
 def matrix(rows):
     """The projection's weights by brute force."""
     f, s = sorted({a for a, _ in rows}), sorted({b for _, b in rows})
