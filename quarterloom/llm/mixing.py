@@ -1,8 +1,8 @@
 """Mixing sources to target weights by soft membership.
 
 One pass over the texts counts the tokens of every document with a label. A classifier (naive Bayes
-over hashed words, fitted on a bounded sample of labelled documents, the weight of the words calibrated
-on a part of it that is held out) gives every document a membership in the domains of the target table:
+over hashed words, fitted on all documents whose label names a domain, the weight of the words calibrated
+on a fifth of them that is held out) gives every document a membership in the domains of the target table:
 certain for documents whose label, however spelled, names a domain, the posterior for documents without
 a label, which are read once more for it. Nonnegative document rates, at most the domain's number of
 repeats, are fitted by projected-gradient least squares so that the expected tokens of every domain
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,11 +30,10 @@ from quarterloom.session import ship, written
 
 #: Hash buckets of words in the classifier; its table has domains x BUCKETS counts.
 BUCKETS = 8192
-#: Labelled documents that the classifier is fitted on: about so many in all, the same number of each domain
-#: (all of a domain that has fewer), chosen by a hash of id and text, copies of a text counting once.
-SAMPLE = 20_000
 ROUNDS, TOLERANCE = 40, 1e-9
 SLICES = 4096
+#: Documents whose words' evidence is added up at once.
+DOCUMENTS = 500
 #: Weights of the words' evidence that are tried.
 TRUSTS = (0.0, 0.01, 0.03, 0.1, 0.3, 1.0)
 
@@ -64,40 +64,64 @@ class Words:
         words = set(text.lower().split())
         if len(self.known) > 300_000:
             self.known.clear()
-        for w in words - self.known.keys():
+        for w in [w for w in words if w not in self.known]:  # words - known.keys() would go over all known ones
             self.known[w] = -1 if any(ch.isdigit() for ch in w) else zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS
         return np.unique([b for b in map(self.known.__getitem__, words) if b >= 0]).astype(np.int64)
 
 
-def labelled_sample(docs: DataFrame, counts: dict[str, int], size: int = SAMPLE) -> DataFrame:
-    """(label, held, buckets) of about ``size`` documents of the labels in ``counts``, written. ``docs``: doc_id,
-    label, text. A fifth of the texts is held out, by hash."""
+def labelled_sample(docs: DataFrame, counts: dict[str, int], size: int | None = None) -> DataFrame:
+    """(label, held, buckets) of all documents of the labels in ``counts``, copies of a text counting once, written.
+    ``docs``: doc_id, label, text. A fifth of the texts is held out, by hash. With ``size`` only about so many, the same
+    number of each label (all of one that has fewer), chosen by a hash of id and text; the mix sets none."""
     ship(docs.sparkSession)
-    per = size / max(len(counts), 1)
-    share = F.coalesce(*[F.when(F.col("label") == d, F.lit(min(1.0, per / n))) for d, n in counts.items() if n], F.lit(0.0))
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = docs.filter(place < share).groupBy("label", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    some = docs.filter(F.col("label").isin([d for d, n in counts.items() if n]))
+    if size is not None:
+        per = size / max(len(counts), 1)
+        share = F.coalesce(*[F.when(F.col("label") == d, F.lit(min(1.0, per / n))) for d, n in counts.items() if n], F.lit(0.0))
+        some = some.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
+    some = some.groupBy("label", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
             at = 0
             for piece in pieces(b.column(2)):
-                got = pa.array([words.buckets(t) for t in piece], pa.list_(pa.int64()))
+                each = [words.buckets(t) for t in piece]
+                ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
+                got = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(piece)), b.column(1).slice(at, len(piece)), got], ["label", "held", "buckets"])
                 at += len(piece)
 
     return written(some.select("label", (F.pmod("h", F.lit(5)) == 0).alias("held"), "text").mapInArrow(run, "label string, held boolean, buckets array<long>"), "sample")
 
 
+def _flat(b: pa.RecordBatch, domains: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch with label first and buckets last: the number of each document's domain (-1: none), all buckets in
+    one array, and how many each document has."""
+    of_doc = pc.fill_null(pc.index_in(b.column(0), pa.array(domains, b.column(0).type)), -1).to_numpy().astype(np.int64)
+    lists = b.column(b.num_columns - 1)
+    return of_doc, lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+
+
 def word_counts(sample: DataFrame, domains: list[str]) -> np.ndarray:
     """Per fold (kept, held out) and domain: documents per word bucket, and in the last column all of them."""
-    index, k = {d: i for i, d in enumerate(domains)}, len(domains)
+    k = len(domains)
     total = np.zeros((2, k, BUCKETS + 1))
-    cells = sample.select("label", "held", F.explode(F.concat("buckets", F.array(F.lit(BUCKETS).cast("long")))).alias("b"))
-    for r in cells.groupBy("label", "held", "b").agg(F.count(F.lit(1)).alias("n")).collect():  # at most 2 * k * (BUCKETS + 1) rows
-        if r["label"] in index:
-            total[int(r["held"]), index[r["label"]], r["b"]] = r["n"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(2 * k * (BUCKETS + 1), np.int64)
+        for b in batches:
+            of_doc, buckets, sizes = _flat(b, domains)
+            row = (b.column(1).to_numpy(zero_copy_only=False) * k + of_doc) * (BUCKETS + 1)
+            row[of_doc < 0] = -1
+            cells = np.repeat(row, sizes)
+            n += np.bincount((cells + buckets)[cells >= 0], minlength=len(n)) + np.bincount(row[row >= 0] + BUCKETS, minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
+
+    cells = sample.select("label", "held", "buckets").mapInArrow(add, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    for r in cells.collect():  # at most 2 * k * (BUCKETS + 1) rows
+        total.flat[r["cell"]] = r["n"]
     return total
 
 
@@ -123,18 +147,20 @@ def calibrated_trust(sample: DataFrame, domains: list[str], kept: np.ndarray) ->
     the others: 0, which leaves the domains' shares, if words tell nothing about the domain.
 
     The evidence of a document's words is added up once; every weight only scales it."""
-    spark, index = sample.sparkSession, {d: i for i, d in enumerate(domains)}
-    model, trusts = spark.sparkContext.broadcast(posterior_model(kept)), np.array(TRUSTS)
+    model, trusts = sample.sparkSession.sparkContext.broadcast(posterior_model(kept)), np.array(TRUSTS)
 
     def loss(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = np.zeros(len(trusts))
         word, base = model.value
-        for b in batches:
-            for label, buckets in zip(b.column(0).to_pylist(), b.column(1)):
-                if label in index:
-                    evidence = word[:, buckets.values.to_numpy()].sum(axis=1)
-                    p = _softmax(base + trusts[:, None] * evidence)[:, index[label]]
-                    s -= np.log(np.maximum(p, 1e-300))
+        for whole in batches:
+            for b in (whole.slice(at, DOCUMENTS) for at in range(0, whole.num_rows, DOCUMENTS)):
+                of_doc, buckets, sizes = _flat(b, domains)
+                sums = np.concatenate([np.zeros((1, len(domains))), np.cumsum(word.T[buckets], axis=0)])
+                ends = np.cumsum(sizes)
+                evidence = (sums[ends] - sums[ends - sizes])[of_doc >= 0]
+                at = np.arange(len(evidence)), of_doc[of_doc >= 0]
+                for i, trust in enumerate(trusts):
+                    s[i] -= np.log(np.maximum(_softmax(base + trust * evidence)[at], 1e-300)).sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(s))), pa.array(s)], ["i", "s"])
 
     got = sample.filter("held").select("label", "buckets").mapInArrow(loss, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
@@ -142,7 +168,7 @@ def calibrated_trust(sample: DataFrame, domains: list[str], kept: np.ndarray) ->
 
 
 def mix_sources(
-    docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", path: str = DEFAULT_PATH, seed: int = 0, sample: int = SAMPLE
+    docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", path: str = DEFAULT_PATH, seed: int = 0
 ) -> Mix:
     """Fits the mix of ``docs`` to ``targets`` (source, target_share, max_repeats; one row per source,
     a small table by its nature, which the driver reads).
@@ -151,8 +177,8 @@ def mix_sources(
     sources take no part; those without a name take part by their posterior, with the repeats of
     their likeliest domain. A source that cannot reach its share is used in full, max_repeats times;
     the others still get their tokens. ``copies`` rounds ``rate`` up or down by a hash of the id, so
-    that the size of each source is kept and no document exceeds its repeats. ``sample`` bounds the
-    labelled documents that the classifier is fitted on; all else covers all documents.
+    that the size of each source is kept and no document exceeds its repeats. All documents of the
+    targets' sources take part in the fit of the classifier.
 
     report: source (as in ``targets``), n_documents, n_tokens, target_share, max_repeats,
     target_tokens, expected_tokens, mixed_tokens (of copies), reached_share, short (its tokens times
@@ -188,10 +214,10 @@ def mix_sources(
     nameless = base.filter(F.col("label").isNull())
     trust, word, of_all = TRUSTS[0], np.zeros((k, BUCKETS)), np.zeros(k)
     if exact:
-        some = labelled_sample(base, {d: int(r["n"]) for d, r in exact.items()}, sample)
-        folds = word_counts(some, domains)
-        trust = calibrated_trust(some, domains, folds[0])
-        # the sample gives the words of each domain; the domains' shares are those of all documents
+        known = labelled_sample(base, {d: int(r["n"]) for d, r in exact.items()})
+        folds = word_counts(known, domains)
+        trust = calibrated_trust(known, domains, folds[0])
+        # the texts, each once, give the words of each domain; the domains' shares are those of all documents
         word, of_all = posterior_model(folds.sum(axis=0), trust)[0], np.log([(float(exact[d]["n"]) if d in exact else 0.0) + 0.5 for d in domains])
     model = spark.sparkContext.broadcast((word, of_all))
 

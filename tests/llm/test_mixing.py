@@ -1,10 +1,13 @@
 import random
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarterloom.llm import mixing
 from quarterloom.llm.bpe import token_counts
-from quarterloom.llm.mixing import Words, calibrated_trust, labelled_sample, mix_sources, posterior, posterior_model, word_counts
+from quarterloom.llm.mixing import BUCKETS, Words, calibrated_trust, labelled_sample, mix_sources, posterior, posterior_model, word_counts
 
 WORDS = {"red_news": "apple cherry rose ruby wine".split(), "blue_notes": "sky sea ink navy denim".split(), "tiny": "quartz flint slate marble chalk".split()}
 
@@ -126,3 +129,40 @@ def test_against_a_plain_loop(spark):
     for s, share, cap in t:
         assert rate[s] == pytest.approx(min(cap, share * total / rep[s]["n_tokens"]), rel=1e-6)
         assert rep[s]["expected_tokens"] == pytest.approx(rate[s] * rep[s]["n_tokens"])
+
+
+def test_all_labelled_documents_enter_the_classifier(spark, monkeypatch):
+    """26,000 labelled texts, of which one is copied: each counts once, and the rarest words of the largest source are known."""
+    letters = lambda n: "".join("abcdefghij"[int(c)] for c in str(n))
+    rows = [(i, f"common w{letters(i)}", "big") for i in range(25_000)] + [(30_000 + i, f"plain w{letters(i)}", "Small") for i in range(1000)]
+    rows += [(40_000, "common wa", "big"), (40_001, "of another", "unlisted"), (40_002, None, "Small"), (40_003, "no name", None)]
+    seen = []
+
+    def counted(sample, domains):
+        seen.append((domains, word_counts(sample, domains)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(mixing, "word_counts", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert mix_sources(df, targets(spark, [("big", 0.5, 2), ("small", 0.5, 2)])).documents.count() == len(rows)
+    [(domains, folds)] = seen
+    assert domains == ["big", "small"] and folds[:, :, -1].sum(axis=0).tolist() == [25_000, 1001]
+    want = np.zeros((2, BUCKETS))
+    for text, k in {(t, 0 if s == "big" else 1) for _, t, s in rows if t and s in ("big", "Small")}:
+        for w in set(text.split()):
+            want[k, zlib.crc32(w.encode()) % BUCKETS] += 1
+    spread = [len({zlib.crc32(w.encode()) % BUCKETS for w in t.split()}) < 2 for _, t, s in rows if t and s in ("big", "Small")]
+    assert np.abs(folds[:, :, :-1].sum(axis=0) - want).sum() <= sum(spread)  # two words of a text may share a bucket, which counts once
+    assert 0.15 < folds[1, 0, -1] / 25_000 < 0.25
+
+
+def test_words_that_are_known_are_not_gone_over_again():
+    """A text's buckets cost by its own words, not by all words seen before."""
+
+    class Counting(dict):
+        def keys(self):
+            raise AssertionError("all known words are read")
+
+    words = Words()
+    words.known = Counting()
+    assert words.buckets("a b a").tolist() == sorted({zlib.crc32(w) % BUCKETS for w in (b"a", b"b")}) and words.buckets("b4 B").tolist() == [zlib.crc32(b"b") % BUCKETS]
