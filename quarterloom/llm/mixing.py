@@ -7,9 +7,10 @@ certain for documents whose label, however spelled, names a domain, the posterio
 a label, which are read once more for it. Nonnegative document rates, at most the domain's number of
 repeats, are fitted by projected-gradient least squares so that the expected tokens of every domain
 meet its target. Documents of one label have the same membership and thus one rate, so they enter with
-their sum of tokens; for those without a label no rates are stored: a round ends with one residual per
-domain, and a document's rate is the replay of all residuals so far, so that a round is one pass over a
-compact table (tokens and memberships) that returns one number per domain.
+their sum of tokens; for those without a label a round ends with one residual per domain, and a
+document's rate is the replay of the residuals since the rates were last written, so that a round is one
+pass over a compact table (tokens, memberships, rates) that returns one number per domain. The steps have
+momentum, which starts anew where it leads uphill, and go on until the fit stands still.
 """
 
 from __future__ import annotations
@@ -26,11 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarterloom.llm.bpe import DEFAULT_PATH, Encoder, broadcast_vocabulary, pieces
-from quarterloom.session import ship, written
+from quarterloom.session import discard, ship, written
 
 #: Hash buckets of words in the classifier; its table has domains x BUCKETS counts.
 BUCKETS = 8192
-ROUNDS, TOLERANCE = 40, 1e-9
+#: The fit ends once a plain step moves no domain's expected tokens by more than this share of all.
+TOLERANCE = 1e-9
+#: Rounds whose steps are replayed, before the rates are written.
+REPLAY = 20
 SLICES = 4096
 #: Documents whose words' evidence is added up at once.
 DOCUMENTS = 500
@@ -221,6 +225,9 @@ def mix_sources(
         word, of_all = posterior_model(folds.sum(axis=0), trust)[0], np.log([(float(exact[d]["n"]) if d in exact else 0.0) + 0.5 for d in domains])
     model = spark.sparkContext.broadcast((word, of_all))
 
+    real = T.DoubleType()
+    fields = T.StructType([sized[0], sized[2], T.StructField("cap", real), T.StructField("member", T.ArrayType(real)), T.StructField("rate", real), T.StructField("before", real)])
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, words = Encoder(vocabulary.value), Words()
         for b in batches:
@@ -229,24 +236,22 @@ def mix_sources(
                 n = pa.array([len(ids) for ids in encoder.encode(piece)], pa.int64())
                 m = np.array([posterior(model.value, words.buckets(t)) for t in piece]).reshape(-1, k)
                 member = pa.ListArray.from_arrays(pa.array(np.arange(len(piece) + 1, dtype=np.int32) * k), pa.array(m.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(piece)), n, pa.array(repeats[m.argmax(axis=1)]), member], ["doc_id", "n_tokens", "cap", "member"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(piece)), n, pa.array(cap := repeats[m.argmax(axis=1)]), member, *[pa.array(np.minimum(1.0, cap))] * 2], fields.names)
                 at += len(piece)
 
-    fields = T.StructType([sized[0], sized[2], T.StructField("cap", T.DoubleType()), T.StructField("member", T.ArrayType(T.DoubleType()))])
     soft = written(nameless.select("doc_id", "text").mapInArrow(judge, fields), "memberships") if k else None
     any_soft = soft is not None and not soft.isEmpty()
 
-    def replay(b: pa.RecordBatch, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, memberships and rates of a batch: every step goes down the gradient, then back into the box."""
-        t = b.column(b.schema.get_field_index("n_tokens")).to_numpy().astype(float)
+    def replay(b: pa.RecordBatch, steps: list[tuple[float, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, memberships, rates and those of the round before: every step goes on as the last one did, by its
+        momentum, and down the gradient, then back into the box."""
+        t, cap, rate, before = (b.column(b.schema.get_field_index(c)).to_numpy().astype(float) for c in ("n_tokens", "cap", "rate", "before"))
         m = b.column(b.schema.get_field_index("member")).flatten().to_numpy().reshape(-1, k)
-        cap = b.column(b.schema.get_field_index("cap")).to_numpy()
-        rate = np.minimum(1.0, cap)
-        for g in steps:
-            rate = np.clip(rate - m @ g, 0.0, cap)
-        return t, m, rate
+        for beta, g in steps:
+            rate, before = np.clip(rate + beta * (rate - before) - m @ g, 0.0, cap), rate
+        return t, m, rate, before
 
-    def soft_sums(steps: list[np.ndarray] | None) -> np.ndarray:
+    def soft_sums(steps: list[tuple[float, np.ndarray]] | None) -> np.ndarray:
         """Expected tokens of the documents without a label per domain, at their rates or, without steps, at rate 1."""
         if not any_soft:
             return np.zeros(k)
@@ -254,28 +259,41 @@ def mix_sources(
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = np.zeros(k)
             for b in batches:
-                t, m, rate = replay(b, steps or [])
+                t, m, rate, _ = replay(b, steps or [])
                 s += (t * rate if steps is not None else t) @ m
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(s)], ["i", "s"])
 
         got = np.zeros(k)
-        for r in soft.select("n_tokens", "member", "cap").mapInArrow(gather, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():
+        for r in soft.select("n_tokens", "member", "cap", "rate", "before").mapInArrow(gather, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():
             got[r["i"]] = r["s"]
         return got
 
     mass = tokens + soft_sums(None)
     scale = np.where(mass > 0, mass, 1.0)
-    steps: list[np.ndarray] = []
-    rate, expected = np.minimum(1.0, repeats), np.zeros(k)  # the rate of each label's documents
-    for _ in range(ROUNDS):
-        found = tokens * rate + soft_sums(list(steps))
-        moved, expected = np.abs(found - expected).max(initial=0.0), found
-        if steps and moved <= TOLERANCE * max(total, 1.0):
+    steps: list[tuple[float, np.ndarray]] = []
+
+    def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, _, rate, before = replay(b, steps)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(rate), pa.array(before)], fields.names)
+
+    rate = before = np.minimum(1.0, repeats)  # of each label's documents
+    expected = last = tokens * rate + soft_sums([])
+    age = 0  # rounds since the momentum started
+    while True:
+        beta = age / (age + 3)
+        g = (expected + beta * (expected - last) - goal) / scale  # expected tokens are linear in the rates
+        steps.append((beta, g))
+        rate, before = np.clip(rate + beta * (rate - before) - g, 0.0, repeats), rate
+        expected, last = tokens * rate + soft_sums(steps), expected
+        still = np.abs(expected - last).max(initial=0.0) <= TOLERANCE * max(mass.sum(), 1.0)
+        if still and beta == 0:
             break
-        steps.append((expected - goal) / scale)
-        rate = np.clip(rate - steps[-1], 0.0, repeats)
-    else:
-        expected = tokens * rate + soft_sums(list(steps))
+        age = 0 if still or g @ (expected - last) > 0 else age + 1
+        if any_soft and len(steps) == REPLAY:
+            old, soft = soft, written(soft.mapInArrow(advance, fields), "memberships")
+            discard(old)
+            steps = []
 
     out = T.StructType([sized[0], sized[2], T.StructField("rate", T.DoubleType())])
 

@@ -166,3 +166,19 @@ def test_words_that_are_known_are_not_gone_over_again():
     words = Words()
     words.known = Counting()
     assert words.buckets("a b a").tolist() == sorted({zlib.crc32(w) % BUCKETS for w in (b"a", b"b")}) and words.buckets("b4 B").tolist() == [zlib.crc32(b"b") % BUCKETS]
+
+
+def test_fit_goes_on_until_it_stands_still(spark):
+    """With nine of ten labels missing and words that hardly tell the sources, many rounds are needed to reach the targets, which can be reached."""
+    rng, every = random.Random(7), sum(WORDS.values(), [])
+    rows = []
+    for i in range(400):
+        k = rng.choices(list(WORDS), [6, 3, 1])[0]
+        bag = [*WORDS[k], *every]
+        rows.append((i, " ".join(rng.choice(bag) for _ in range(rng.randrange(5, 40))), k if rng.random() > 0.9 else None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mix_sources(df, targets(spark, [("red_news", 0.3, 1), ("blue_notes", 0.45, 3), ("tiny", 0.25, 4)]))
+    for r in mix.report.collect():
+        assert r["expected_tokens"] == pytest.approx(r["target_tokens"], rel=1e-6)
+    docs = mix.documents.collect()
+    assert sorted(d["doc_id"] for d in docs) == list(range(400)) and all(0 <= d["rate"] <= 4 for d in docs)
